@@ -352,8 +352,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 rows = batch.slice(part, 256)
                 out: dict[str, list] = {c: [] for c in columns}
                 for value in rows.column(1):
-                    for name, x in _row(codec, as_text(value.as_py()), columns).items():
-                        out[name].append(x)
+                    made = _row(codec, as_text(value.as_py()), columns)
+                    for name in columns:
+                        out[name].append(made[name])
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), *(pa.array(out[c], ARROW[COLUMNS[c]]) for c in columns)], [id_col, *columns]
                 )
@@ -376,4 +377,4 @@ def _row(codec: Codec, text: str, columns: list[str]) -> dict:
         out["decoded_sha256"] = hashlib.sha256(out["decoded"].encode("utf-8")).hexdigest() if "decoded_sha256" in columns else None
     if "ids_sha256" in columns:
         out["ids_sha256"] = hashlib.sha256(packed).hexdigest()
-    return out | {"ids": ids.astype(np.int32), "n_tokens": len(ids)} if "ids" in columns else out | {"n_tokens": len(ids)}
+    return out | {"ids": ids.astype(np.int32), "n_tokens": len(ids)}
