@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepiece_codec
+from . import ann, embedding_dedup, sentencepiece_codec
 from .common import read
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -29,8 +30,22 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(read(spark, sf_dir, "documents"), model, columns=columns)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link counts and components of all embeddings at cosine 0.95."""
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), 0.95)
+
+
 def queries() -> dict:
-    return {"op1_sentencepiece": op1_sentencepiece}
+    return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op4_nearest": op4_nearest,
+        "op8_embedding_dedup": op8_embedding_dedup,
+    }
 
 
 def oracle_sql() -> dict:
