@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, sentencepiece_codec
+from . import ann, embedding_dedup, sentencepiece_codec, substring_dedup
 from .common import read
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -35,6 +35,11 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside repeated windows of 35 words."""
+    return substring_dedup.digests(read(spark, sf_dir, "documents"), width=35)
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link counts and components of all embeddings at cosine 0.95."""
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), 0.95)
@@ -44,6 +49,7 @@ def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op4_nearest": op4_nearest,
+        "op6_substring_dedup": op6_substring_dedup,
         "op8_embedding_dedup": op8_embedding_dedup,
     }
 
