@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, sentencepiece_codec, substring_dedup
+from . import ann, embedding_dedup, line_dedup, mixing, sentencepiece_codec, substring_dedup
 from .common import read
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -30,11 +30,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(read(spark, sf_dir, "documents"), model, columns=columns)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block, slot, release, deadline and position of every document under square-root weights."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.schedule(docs).select("doc_id", "source", "block", "slot", "release", "deadline", "position")
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every 20th vector."""
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped from every document, and a digest of what stays."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    kept = line_dedup.drop_boilerplate(docs, ratio=0.1, min_pages=5, counts=True)
+    return kept.select("doc_id", "source", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document outside repeated windows of 35 words."""
     return substring_dedup.digests(read(spark, sf_dir, "documents"), width=35)
@@ -48,11 +61,13 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_mixing": op2_mixing,
         "op4_nearest": op4_nearest,
+        "op5_line_dedup": op5_line_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_embedding_dedup": op8_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_mixing": mixing.SQL, "op5_line_dedup": line_dedup.SQL}
