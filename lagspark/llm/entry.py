@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, line_dedup, mixing, sentencepiece_codec, substring_dedup
-from .common import read
+from . import ann, embedding_dedup, language_id, line_dedup, mixing, sentencepiece_codec, substring_dedup
+from .common import held_out, read
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("LAGSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -58,6 +58,14 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.learn(docs.select("doc_id", "text", "lang"), ~held_out())
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
 def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -66,6 +74,7 @@ def queries() -> dict:
         "op5_line_dedup": op5_line_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_language_id": op9_language_id,
     }
 
 
