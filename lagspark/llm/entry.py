@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, language_id, line_dedup, mixing, sentencepiece_codec, substring_dedup
+from . import ann, embedding_dedup, html_extract, language_id, line_dedup, mixing, sentencepiece_codec, substring_dedup
 from .common import held_out, read
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -36,6 +36,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(docs).select("doc_id", "source", "block", "slot", "release", "deadline", "position")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every 20th vector."""
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
@@ -70,6 +75,7 @@ def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_mixing": op2_mixing,
+        "op3_html_extract": op3_html_extract,
         "op4_nearest": op4_nearest,
         "op5_line_dedup": op5_line_dedup,
         "op6_substring_dedup": op6_substring_dedup,
