@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html_extract, language_id, line_dedup, mixing, sentencepiece_codec, substring_dedup
+from . import ann, embedding_dedup, html_extract, language_id, line_dedup, mixing, sentencepiece_codec, substring_dedup, toxicity
 from .common import held_out, read
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -58,6 +58,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read(spark, sf_dir, "documents"), width=35)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scorer = toxicity.learn(docs, labels, ~held_out())
+    found = toxicity.score(docs, scorer, threshold=0.3)
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_clauses")
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link counts and components of all embeddings at cosine 0.95."""
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), 0.95)
@@ -79,6 +87,7 @@ def queries() -> dict:
         "op4_nearest": op4_nearest,
         "op5_line_dedup": op5_line_dedup,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_language_id": op9_language_id,
     }
