@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import os
 import re
 import tempfile
 
@@ -16,6 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file; LAGSPARK_TOKENIZERS names another folder."""
+    return os.path.join(os.environ.get("LAGSPARK_TOKENIZERS", "/opt/tokenizers"), name)
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
     """Make sure that a checkpoint folder is set.
 
@@ -53,6 +60,4 @@ def _one_each(error: UnicodeError) -> tuple[str, int]:
     return "�", error.start + 1
 
 
-import codecs  # noqa: E402
-
 codecs.register_error("one_each", _one_each)

@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html_extract, language_id, line_dedup, mixing, sentencepiece_codec, substring_dedup, toxicity
-from .common import held_out, read
-
-#: Folder of the public tokenizers' vocabulary files.
-TOKENIZERS = os.environ.get("LAGSPARK_TOKENIZERS", "/opt/tokenizers")
-
-
-def tokenizer_path(name: str) -> str:
-    try:
-        import public_tokenizers
-
-        return public_tokenizers.path(name)
-    except ImportError:
-        return os.path.join(TOKENIZERS, name)
-
+from . import ann, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec, substring_dedup, toxicity
+from .common import held_out, read, tokenizer_path
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoded text."""
@@ -79,6 +65,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: five-word shingles, similarity 0.8 or more."""
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -90,6 +81,8 @@ def queries() -> dict:
         "op7_toxicity": op7_toxicity,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_language_id": op9_language_id,
+        "op10_minhash_dedup": op10_minhash_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -198,3 +198,23 @@ def _batch(rows: pa.RecordBatch, id_col: str, model: Model, words: Likelihoods)
         ],
         [id_col, "lang_pred", "score", "languages", "proportions"],
     )
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The rows of docs, unchanged, whose text gets a language with at least min_score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        words = Likelihoods(model)
+        for batch in batches:
+            for part in range(0, batch.num_rows, 256):
+                some = batch.slice(part, 256)
+                words.fresh()
+                texts = some.column(place).cast(pa.binary())
+                made = _batch(pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["id", "text"]), "id", model, words)
+                keep = [p != UND and s >= min_score for p, s in zip(made.column(1).to_pylist(), made.column(2).to_pylist())]
+                yield some.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
