@@ -4,7 +4,8 @@ The text is normalised by longest-prefix matches in the model's compiled charact
 Each normalised byte remembers the source bytes it came from, so that every piece can be
 projected to its span [begin, end) in the UTF-8 bytes of the original text.
 BPE merges then run inside runs that no piece of the vocabulary crosses; such runs recur
-all over a corpus, so each task keeps a bounded memo of them.
+all over a corpus, so each task keeps a bounded memo of them. The runs that a block of texts
+adds are merged together, one merge of every run at a time, in arrays.
 
 Nulls count as empty texts. Repeated rows and ids give one row each. An empty text has
 the begin and end ids only and decodes to the empty text.
@@ -14,9 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,11 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 #: Runs that a task remembers; the memo starts anew beyond it.
-MEMO = 150_000
+MEMO = 200_000
+#: Widths of the arrays that runs are merged in; longer ones are merged one by one.
+WIDTHS = (8, 12, 16, 24, 40)
+WIDEST = WIDTHS[-1]
+NEVER = 1 << 62
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -158,6 +165,8 @@ class Codec:
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.runs = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.splits else "(?s).+")
         self.memo = Memo(self.run_ids)
+        self.chars = frozenset(p for p in self.ids if len(p) == 1)
+        self._pairs()
 
     # Normalising.
 
@@ -215,7 +224,82 @@ class Codec:
                 out += [self.bytes[b] for b in piece.encode("utf-8")]
             else:
                 out.append(self.unk)
-        return np.array(out, "<u4").tobytes()
+        return array("I", out).tobytes()
+
+    def _pairs(self) -> None:
+        """Sorted codes of the pairs of pieces that merge, with the rank of each and its merged piece."""
+        ids, found = self.ids, []
+        rank = {s: i for i, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        for piece, i in ids.items():
+            for k in range(1, len(piece)):
+                a, b = ids.get(piece[:k]), ids.get(piece[k:])
+                if a is not None and b is not None:
+                    found.append((a * len(self.pieces) + b, rank[self.scores[piece]], i))
+        table = np.array(sorted(found), np.int64).reshape(-1, 3)
+        self.pair_code, self.pair_rank, self.pair_piece = (np.append(table[:, k], NEVER) for k in range(3))
+
+    def learn_runs(self, runs: Iterable[str]) -> None:
+        """Put the ids of runs that are not in the memo yet into it."""
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        memo = self.memo
+        known, groups = self.chars.issuperset, {w: [] for w in WIDTHS}
+        width = [next(w for w in WIDTHS if n <= w) for n in range(WIDEST + 1)]
+        for run in set(runs):
+            if run in memo:
+                continue
+            n = len(run)
+            if n <= WIDEST and known(run):
+                groups[width[n]].append(run)
+            elif n <= 64:
+                self.memo[run] = self.run_ids(run)
+        for w, some in groups.items():
+            for k in range(0, len(some), 8192):
+                part = some[k : k + 8192]
+                self.memo.update(zip(part, self._merge_many(part, w)))
+
+    def _merge_many(self, runs: list[str], width: int) -> list[bytes]:
+        """Packed ids of runs of at most width characters that are pieces each."""
+        n, size = len(runs), len(self.pieces)
+        lengths = np.fromiter(map(len, runs), np.int64, n)
+        inside = np.arange(width) < lengths[:, None]
+        piece = np.full((n, width + 1), -1, np.int64)
+        piece[:, :width][inside] = np.fromiter(map(self.ids.__getitem__, "".join(runs)), np.int64, int(lengths.sum()))
+        after = np.where(np.arange(1, width + 2) < lengths[:, None], np.arange(1, width + 2), width)
+        before = np.tile(np.arange(-1, width), (n, 1))
+        rank = np.full((n, width + 1), NEVER, np.int64)
+        into = np.zeros((n, width + 1), np.int64)
+
+        def look(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            a, b = piece[rows, left], piece[rows, right]
+            code = np.where((a >= 0) & (b >= 0), a * size + b, -1)
+            at = np.searchsorted(self.pair_code, code)
+            hit = self.pair_code[at] == code
+            rank[rows, left] = np.where(hit, self.pair_rank[at], NEVER)
+            into[rows, left] = self.pair_piece[at]
+
+        rows, columns = np.nonzero(inside[:, 1:])
+        look(rows, columns, columns + 1)
+        live = np.arange(n)
+        while len(live):
+            best = rank[live].argmin(axis=1)
+            go = rank[live, best] < NEVER
+            live, best = live[go], best[go]
+            gone = after[live, best]
+            then = after[live, gone]
+            piece[live, best] = into[live, best]
+            piece[live, gone] = -1
+            rank[live, gone] = NEVER
+            after[live, best] = then
+            before[live, then] = best
+            look(live, best, then)
+            first = before[live, best]
+            has = first >= 0
+            look(live[has], first[has], best[has])
+        left = piece >= 0
+        packed = piece[left].astype("<u4").tobytes()
+        ends = np.cumsum(left.sum(axis=1)).tolist()
+        return [packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
 
     def merged(self, run: str) -> list[str]:
         """Pieces after all merges: best score first, then the leftmost."""
@@ -259,14 +343,17 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text with begin and end ids."""
-        return np.frombuffer(self.packed(text), "<u4")
+        return np.frombuffer(self.packed(self.split(text)), "<u4")
 
-    def packed(self, text: str) -> bytes:
+    def split(self, text: str) -> list[str]:
+        """The runs of the normalised text; none for the empty text."""
         if not text:
-            body = b""
-        else:
-            norm = SPACE + text.replace(" ", SPACE) if self.plain else self.normalise(text.encode("utf-8"))[0].decode("utf-8")
-            body = b"".join(map(self.memo.__getitem__, self.runs.findall(norm)))
+            return []
+        norm = SPACE + text.replace(" ", SPACE) if self.plain else self.normalise(text.encode("utf-8"))[0].decode("utf-8")
+        return self.runs.findall(norm)
+
+    def packed(self, runs: list[str]) -> bytes:
+        body = b"".join(map(self.memo.__getitem__, runs))
         return struct.pack("<I", self.bos) + body + struct.pack("<I", self.eos)
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,10 +392,8 @@ class Memo(dict):
         self.make = make
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
         out = self.make(run)
-        if len(run) <= 64:
+        if len(run) <= 64 and len(self) < 2 * MEMO:
             self[run] = out
         return out
 
@@ -348,11 +433,14 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_bytes.value)
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                rows = batch.slice(part, 256)
+            for part in range(0, batch.num_rows, 64):
+                rows = batch.slice(part, 64)
+                texts = [as_text(value.as_py()) for value in rows.column(1)]
+                split = [codec.split(text) for text in texts]
+                codec.learn_runs(itertools.chain.from_iterable(split))
                 out: dict[str, list] = {c: [] for c in columns}
-                for value in rows.column(1):
-                    made = _row(codec, as_text(value.as_py()), columns)
+                for text, runs in zip(texts, split):
+                    made = _row(codec, text, runs, columns)
                     for name in columns:
                         out[name].append(made[name])
                 yield pa.RecordBatch.from_arrays(
@@ -365,8 +453,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 ARROW = {"array<int>": pa.list_(pa.int32()), "string": pa.string(), "long": pa.int64()}
 
 
-def _row(codec: Codec, text: str, columns: list[str]) -> dict:
-    packed = codec.packed(text)
+def _row(codec: Codec, text: str, runs: list[str], columns: list[str]) -> dict:
+    packed = codec.packed(runs)
     ids = np.frombuffer(packed, "<u4")
     out: dict = {}
     if "begins" in columns or "ends" in columns or "covered_bytes" in columns:
