@@ -1,11 +1,575 @@
-"""Queries of the time-series operators and their SQL twins."""
+"""Queries of the time-series operators over the tables of a folder, and their SQL twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lagspark.functions import arrays as A
+from lagspark.operators import adapters, forecasts, gates, metrics, mixture, report, retrieval, windows
+from lagspark.sources import series as S
 
-def oracle_sql() -> dict:
-    return {}
+from .sql import SQL
+
+LAGS, HORIZON, PERIOD, STORE_STRIDE, QUERY_STRIDE, K, L2 = 48, 12, 24, 24, 6, 5, 1e-3
+PARAMS = {"lags": LAGS, "horizon": HORIZON, "period": PERIOD, "store_stride": STORE_STRIDE, "query_stride": QUERY_STRIDE, "k": K, "l2": L2}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# Shared inputs.
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.event_series(read(spark, sf_dir, "events"))
+
+
+def bounds(long: DataFrame) -> tuple[int, int, int, int]:
+    return windows.split_bounds(long.agg(F.max("t")).first()[0] + 1)
+
+
+def all_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int, int]]:
+    """Windows with statistics and features. Cached: queries, store and neighbour lookups all read them."""
+    long = series(spark, sf_dir)
+    rows = windows.features(windows.with_stats(windows.windows(long, LAGS, HORIZON)))
+    return rows.cache(), bounds(long)
+
+
+def queries_of(rows: DataFrame, ends: tuple[int, int, int, int], splits=windows.SPLITS) -> DataFrame:
+    some = [windows.query_starts(rows, s, ends, LAGS, HORIZON, QUERY_STRIDE) for s in splits]
+    out = some[0]
+    for df in some[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def online(**how) -> retrieval.StorePolicy:
+    return retrieval.StorePolicy(LAGS, HORIZON, PERIOD, STORE_STRIDE, **how)
+
+
+def neighbours(spark: SparkSession, sf_dir: str, splits=windows.SPLITS, metric: str = "euclidean", space: str = "instance"):
+    rows, ends = all_windows(spark, sf_dir)
+    feats = rows if space == "instance" else windows.features(rows, space)
+    q = queries_of(feats, ends, splits)
+    return retrieval.knn_join(q, feats, online(), K, metric), q, rows
+
+
+def payload_of(spark: SparkSession, sf_dir: str, splits=windows.SPLITS) -> DataFrame:
+    """The prediction table: persistence, and the blended forecaster given the neighbours."""
+    near, q, rows = neighbours(spark, sf_dir, splits)
+    out = forecasts.payload(q, near, rows, forecasts.persistence(HORIZON), forecasts.blended(HORIZON, PERIOD))
+    return out.where(F.size("nbrs") > 0).cache()
+
+
+def frame_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.neighbour_frame(payload_of(spark, sf_dir))
+
+
+def by_step(rows: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    out = rows.select("split", "qt", "qu", F.posexplode(column).alias("h", "v"))
+    return out.select("split", "qt", "qu", F.col("h").cast("long").alias("h"), F.round("v", 6).alias(name or column))
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# Ingest.
+
+
+def _long(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").withColumnRenamed("event_type", "series_name")
+    return S.resample(events, "h", how, tie="event_id").select("series_name", "ts", *r6("value"))
+
+
+@query
+def resample_sum(spark, sf_dir):
+    return series(spark, sf_dir).select("t", "ts", "series_id", "series_name", *r6("value"))
+
+
+@query
+def resample_mean_complete(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("series_name"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("value"))
+    return S.resample(orders, "d", "mean").select("series_name", "ts", *r6("value"))
+
+
+@query
+def resample_first(spark, sf_dir):
+    return _long(spark, sf_dir, "first")
+
+
+@query
+def resample_last(spark, sf_dir):
+    return _long(spark, sf_dir, "last")
+
+
+@query
+def asfreq_grid(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series_name"), F.col("o_orderdate").cast("timestamp").alias("ts")).agg(F.sum("o_totalprice").alias("value"))
+    return S.resample(orders, "w", "asfreq").select("series_name", "ts", *r6("value"))
+
+
+@query
+def complete_rows(spark, sf_dir):
+    items = read(spark, sf_dir, "lineitem").select(F.date_trunc("month", "l_shipdate").alias("ts"), F.lower(F.concat("l_returnflag", "l_linestatus")).alias("s"), "l_quantity")
+    wide = items.groupBy("ts").pivot("s", ["af", "nf", "rf"]).agg(F.sum("l_quantity"))
+    return S.complete_rows(wide).select("ts", *r6("af", "nf", "rf"))
+
+
+@query
+def drop_series(spark, sf_dir):
+    long = series(spark, sf_dir)
+    names = [r[0] for r in long.select("series_name").distinct().orderBy("series_name").collect()]  # one row a series
+    keep = S.drop_series(names, [1, names[-1]])
+    return long.where(F.col("series_name").isin(keep)).select("t", "series_name", *r6("value"))
+
+
+@query
+def rename_series(spark, sf_dir):
+    return series(spark, sf_dir).select("t", "series_id", F.concat(F.lit("user_"), F.col("series_id")).alias("series_name"), *r6("value"))
+
+
+@query
+def dense_position(spark, sf_dir):
+    return S.event_series(read(spark, sf_dir, "events"), how="mean").select("t", "ts", "series_id", "series_name", *r6("value"))
+
+
+# Windows.
+
+
+@query
+def split_bounds(spark, sf_dir):
+    return windows.bounds_table(series(spark, sf_dir))
+
+
+@query
+def query_starts(spark, sf_dir):
+    rows, ends = all_windows(spark, sf_dir)
+    return queries_of(rows, ends).select("split", "t", "series_id")
+
+
+@query
+def window_extract(spark, sf_dir):
+    rows = windows.windows(series(spark, sf_dir), LAGS, HORIZON).where("t % 60 = 0")
+    return rows.select("series_id", "t", A.rounded("x").alias("x"), A.rounded("y").alias("y"))
+
+
+@query
+def instance_norm(spark, sf_dir):
+    rows, _ = all_windows(spark, sf_dir)
+    return rows.where("t % 48 = 0").select("series_id", "t", A.rounded("feat").alias("feat"))
+
+
+@query
+def window_stats(spark, sf_dir):
+    rows, _ = all_windows(spark, sf_dir)
+    return rows.select("series_id", "t", *r6("mu", "sd"))
+
+
+@query
+def patch_unfold(spark, sf_dir):
+    rows, ends = all_windows(spark, sf_dir)
+    cut = windows.patches(queries_of(rows, ends, ("eval",)), 16, 8)
+    out = cut.select("series_id", "t", F.posexplode("patches").alias("patch", "v"))
+    return out.select("series_id", "t", F.col("patch").cast("long").alias("patch"), A.rounded("v").alias("v"))
+
+
+@query
+def moving_average(spark, sf_dir):
+    rows, ends = all_windows(spark, sf_dir)
+    out = windows.moving_average(queries_of(rows, ends, ("eval",)), 5)
+    return out.select("series_id", "t", A.rounded("trend").alias("trend"), A.rounded("residual").alias("residual"))
+
+
+@query
+def fourier_features(spark, sf_dir):
+    rows, ends = all_windows(spark, sf_dir)
+    return windows.features(queries_of(rows, ends, ("eval",)), "fourier").select("series_id", "t", A.rounded("feat").alias("feat"))
+
+
+@query
+def encoder_features(spark, sf_dir):
+    rows, ends = all_windows(spark, sf_dir)
+    basis = np.cos(np.outer(np.arange(LAGS), np.arange(8)) * np.pi / LAGS)
+    return windows.embed(queries_of(rows, ends, ("eval",)), lambda x: x @ basis).select("series_id", "t", A.rounded("feat").alias("feat"))
+
+
+# Retrieval.
+
+
+def _store(spark, sf_dir, policy: retrieval.StorePolicy) -> DataFrame:
+    rows, ends = all_windows(spark, sf_dir)
+    out = retrieval.store_bounds(queries_of(rows, ends), policy).where("keep_n > 0")
+    return out.select("split", "t", "series_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "keep_n")
+
+
+@query
+def store_online(spark, sf_dir):
+    return _store(spark, sf_dir, online())
+
+
+@query
+def store_fixed(spark, sf_dir):
+    end = bounds(series(spark, sf_dir))[0]
+    return _store(spark, sf_dir, online(online=False, store_end=end))
+
+
+@query
+def store_capped(spark, sf_dir):
+    return _store(spark, sf_dir, online(min_dates=5, max_dates=5, max_windows=40, n_series=5))
+
+
+@query
+def eligible_queries(spark, sf_dir):
+    rows, ends = all_windows(spark, sf_dir)
+    return retrieval.eligible(queries_of(rows, ends), online(min_dates=12), K).select("split", "t", "series_id")
+
+
+@query
+def knn_euclidean(spark, sf_dir):
+    near, *_ = neighbours(spark, sf_dir, ("eval",))
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+@query
+def knn_cosine(spark, sf_dir):
+    near, *_ = neighbours(spark, sf_dir, ("eval",), "cosine", "raw")
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+@query
+def knn_pearson(spark, sf_dir):
+    near, *_ = neighbours(spark, sf_dir, ("eval",), "pearson", "raw")
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+@query
+def knn_blocked(spark, sf_dir):
+    rows, ends = all_windows(spark, sf_dir)
+    near = retrieval.knn_blocks(queries_of(rows, ends, ("eval",)), rows, online(), K)
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+@query
+def knn_embeddings(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.transform("embedding", lambda e: e.cast("double")).alias("feat"), F.lit(0).cast("long").alias("series_id"))
+    policy = retrieval.StorePolicy(0, 0, 1, 1, online=False, align=False, store_end=1 << 62)
+    near = retrieval.knn_blocks(rows.where("t % 100 = 0").withColumn("split", F.lit("all")), rows, policy, K + 1)
+    # The query itself is among its own k + 1 nearest, or hidden behind as many copies of it.
+    from pyspark.sql.window import Window
+
+    others = near.where("qt <> nt").withColumn("rank", F.row_number().over(Window.partitionBy("qt").orderBy("distance", "nt")).cast("long"))
+    return others.where(F.col("rank") <= K).select(F.col("qt").alias("qid"), "rank", F.col("nt").alias("nid"), *r6("distance"))
+
+
+@query
+def neighbor_lookup(spark, sf_dir):
+    near, _, rows = neighbours(spark, sf_dir, ("eval",))
+    return retrieval.lookup(near, rows).select("qt", "qu", "rank", A.rounded("xc").alias("xc"), A.rounded("yc").alias("yc"))
+
+
+@query
+def leave_one_out_context(spark, sf_dir):
+    near, _, rows = neighbours(spark, sf_dir, ("eval",))
+    each = retrieval.leave_one_out(retrieval.lookup(near, rows)).select("qt", "qu", "rank", F.posexplode("context").alias("i", "w"))
+    other = F.when(F.col("i") + 1 < F.col("rank"), F.col("i") + 1).otherwise(F.col("i") + 2).cast("long")
+    return each.select("qt", "qu", "rank", other.alias("other"), A.rounded(F.slice("w", -HORIZON, HORIZON)).alias("y"))
+
+
+@query
+def same_series(spark, sf_dir):
+    return metrics.feature_table(payload_of(spark, sf_dir)).select("split", "qt", "qu", "same_user_fraction")
+
+
+# Forecasts.
+
+
+@query
+def persistence_forecast(spark, sf_dir):
+    return by_step(payload_of(spark, sf_dir), "pred")
+
+
+@query
+def context_forecast(spark, sf_dir):
+    return by_step(payload_of(spark, sf_dir), "pred_ctx", "pred")
+
+
+@query
+def linear_forecast(spark, sf_dir):
+    rows, ends = all_windows(spark, sf_dir)
+    model = forecasts.load_model("linear", weights=np.full((1, LAGS), 1 / LAGS), bias=np.ones(1))
+    return queries_of(rows, ends).select("split", F.col("t").alias("qt"), F.col("series_id").alias("qu"), F.round(model(F.col("x"), None)[0], 6).alias("pred"))
+
+
+def _nbrs(spark, sf_dir, splits=windows.SPLITS) -> DataFrame:
+    return payload_of(spark, sf_dir, splits).select("split", "qt", "qu", F.explode("nbrs").alias("n")).select("split", "qt", "qu", "n.*")
+
+
+@query
+def scale_transfer(spark, sf_dir):
+    return _nbrs(spark, sf_dir, ("eval",)).select("split", "qt", "qu", "rank", A.rounded("ys").alias("ys"))
+
+
+@query
+def residual_transfer(spark, sf_dir):
+    return _nbrs(spark, sf_dir, ("eval",)).select("split", "qt", "qu", "rank", A.rounded("es").alias("es"))
+
+
+@query
+def payload(spark, sf_dir):
+    return _nbrs(spark, sf_dir).select("split", "qt", "qu", "rank", "nt", "nu", *r6("distance", "mu", "sd"))
+
+
+# Metrics and adapters.
+
+
+@query
+def window_losses(spark, sf_dir):
+    out = metrics.window_losses(payload_of(spark, sf_dir))
+    return out.select("split", "qt", "qu", F.round("mse", 4).alias("mse"), *r6("mae", "nmse"))
+
+
+@query
+def loss_summary(spark, sf_dir):
+    out = metrics.loss_summary(metrics.window_losses(payload_of(spark, sf_dir)))
+    return out.select("split", "metric", *(F.round(c, 4).alias(c) for c in ("mean", "std", "w10_user_mean")))
+
+
+@query
+def user_losses(spark, sf_dir):
+    return metrics.user_losses(metrics.window_losses(payload_of(spark, sf_dir))).select("split", "qu", *r6("nmse_mean", "nmse_std"))
+
+
+@query
+def horizon_profile(spark, sf_dir):
+    return metrics.horizon_profile(payload_of(spark, sf_dir)).withColumn("mse", F.round("mse", 4))
+
+
+@query
+def distance_weights(spark, sf_dir):
+    rows = payload_of(spark, sf_dir).select("split", "qt", "qu", F.posexplode(adapters.weights()).alias("r", "w"))
+    return rows.select("split", "qt", "qu", (F.col("r") + 1).cast("long").alias("rank"), *r6("w"))
+
+
+@query
+def knn_weighted(spark, sf_dir):
+    return by_step(frame_of(spark, sf_dir), "yw")
+
+
+@query
+def knn_mean(spark, sf_dir):
+    return by_step(frame_of(spark, sf_dir), "ym")
+
+
+@query
+def residual_knn(spark, sf_dir):
+    return by_step(frame_of(spark, sf_dir), "ew")
+
+
+@query
+def mix_scalars(spark, sf_dir):
+    c = adapters.fit(payload_of(spark, sf_dir).where("split = 'train'"), K, L2)
+    return spark.createDataFrame([(round(float(c["horizon_mix_scalar"][0]), 6), round(float(c["residual_mix_scalar"][0]), 6))], "horizon_mix double, residual_mix double")
+
+
+def _scores(predictions: DataFrame) -> DataFrame:
+    out = metrics.method_scores(predictions)
+    return out.select(
+        "split", "method", F.round("mse", 4).alias("mse"), F.round("mae", 5).alias("mae"), F.round("nmse", 6).alias("nmse"),
+        F.round("relative_nmse_improvement_pct", 5).alias("relative_nmse_improvement_pct"),
+    )
+
+
+SIMPLE = ("vanilla", "context_forecast", "horizon_knn_weighted", "horizon_knn_mean", "residual_knn_weighted", "horizon_mix_scalar", "residual_mix_scalar")
+
+
+@query
+def method_scores(spark, sf_dir):
+    return _scores(adapters.run(payload_of(spark, sf_dir), K, L2).where(F.col("method").isin(list(SIMPLE))))
+
+
+@query
+def ridge_scores(spark, sf_dir):
+    """All eleven methods and the six evaluation-fitted bounds."""
+    return _scores(adapters.run(payload_of(spark, sf_dir), K, L2, fit_on_eval=True))
+
+
+@query
+def ridge_coefficients(spark, sf_dir):
+    c = adapters.fit(payload_of(spark, sf_dir).where("split = 'train'"), K, L2)
+    rows = [(m, h, i, float(v)) for m, x in c.items() for h, line in enumerate(np.atleast_2d(x)) for i, v in enumerate(line)]
+    return spark.createDataFrame(rows, "method string, h int, i int, value double")
+
+
+@query
+def feature_table(spark, sf_dir):
+    out = metrics.feature_table(payload_of(spark, sf_dir))
+    r4 = [F.round(c, 4).alias(c) for c in ("base_loss", "context_loss", "oracle_loss")]
+    return out.select(
+        "split", "qt", "qu", *r4, "context_better", F.round("improvement_pct", 5).alias("improvement_pct"), "neighbours",
+        *r6("distance_mean", "distance_std", "same_user_fraction", "age_mean", "age_std", "neighbour_mean_mean", "neighbour_std_std"),
+    )
+
+
+@query
+def scale_quantiles(spark, sf_dir):
+    rows, ends = all_windows(spark, sf_dir)
+    return metrics.scale_diagnostics(queries_of(rows, ends)).select("split", *r6("q0", "q5", "q50"), "below_1e3")
+
+
+# Gates.
+
+
+def _gate_nmse(predictions: DataFrame) -> DataFrame:
+    return predictions.groupBy("split", "method").agg(F.round(F.avg(A.nmse("yhat", "y", "sd")), 6).alias("nmse"))
+
+
+@query
+def bayes_gates(spark, sf_dir):
+    return _gate_nmse(gates.bayes_gates(payload_of(spark, sf_dir)))
+
+
+@query
+def oracle_gates(spark, sf_dir):
+    return _gate_nmse(gates.oracles(payload_of(spark, sf_dir)))
+
+
+@query
+def gate_features(spark, sf_dir):
+    names = ("context_shift_mean", "context_shift_std", "weighted_minus_pred_mean", "weighted_residual_mean", "neighbour_mean_std", "same_user_ratio", "age_mean", "weight_std", "weight_max")
+    return gates.gate_features(payload_of(spark, sf_dir)).select("split", "qt", "qu", *r6(*names), F.round("target", 4).alias("target"))
+
+
+@query
+def boosted_gates(spark, sf_dir):
+    return _gate_nmse(gates.run(payload_of(spark, sf_dir), HORIZON, iterations=5, per_step=False))
+
+
+def _gate_scores(rows: DataFrame) -> DataFrame:
+    """A score of our own for the diagnostics: how far the context forecast lies below the plain one."""
+    f = gates.gate_features(rows).where("split = 'eval'")
+    return f.select("split", "qt", "qu", F.round(-F.col("context_shift_mean"), 6).alias("score"), F.round("target", 6).alias("target"))
+
+
+@query
+def roc_curve(spark, sf_dir):
+    return gates.roc_curve(_gate_scores(payload_of(spark, sf_dir))).select("score", "tp", "fp", *r6("tpr", "fpr"))
+
+
+@query
+def roc_auc(spark, sf_dir):
+    return gates.roc_auc(_gate_scores(payload_of(spark, sf_dir))).select(*r6("auc", "accuracy"), "n")
+
+
+@query
+def threshold_sweep(spark, sf_dir):
+    rows = payload_of(spark, sf_dir)
+    return gates.threshold_sweep(rows, _gate_scores(rows)).select("i", *r6("threshold", "right_pct", "nmse"))
+
+
+@query
+def gate_summary(spark, sf_dir):
+    rows = payload_of(spark, sf_dir)
+    return gates.gate_summary(rows, gates.oracles(rows).where("method = 'oracle_context_scalar'")).select("split", "method", *r6("right_pct", "nmse"))
+
+
+@query
+def metric_views(spark, sf_dir):
+    rows = adapters.predict(payload_of(spark, sf_dir), {}, K)
+    return metrics.metric_view(rows, "horizon_knn_mean", "vanilla", "relative").select("split", F.col("h").cast("long").alias("h"), *r6("value"))
+
+
+@query
+def feature_correlation(spark, sf_dir):
+    return metrics.correlation(metrics.feature_table(payload_of(spark, sf_dir)), "distance_mean", "improvement_pct").select("n", *r6("r"))
+
+
+@query
+def loss_histogram(spark, sf_dir):
+    return metrics.histogram(gates.gate_features(payload_of(spark, sf_dir)), "target")
+
+
+# Report and mixture.
+
+
+def _means(spark, sf_dir) -> DataFrame:
+    """Result records of three made-up runs, from the method scores."""
+    s = metrics.method_scores(adapters.run(payload_of(spark, sf_dir), K, L2).where(F.col("method").isin(list(SIMPLE))))
+    s = s.select("split", "method", "nmse")
+    one = s.select("*", F.lit("events").alias("dataset"), F.lit("48_12").alias("setting"))
+    two = s.select("split", "method", (F.col("nmse") * F.when(F.col("method") == "vanilla", 9.0).otherwise(8.1)).alias("nmse"), F.lit("events").alias("dataset"), F.lit("96_24").alias("setting"))
+    three = s.select("split", "method", (F.col("nmse") * 0.5).alias("nmse"), F.lit("shifted").alias("dataset"), F.lit("48_12").alias("setting"))
+    records = one.unionByName(two).unionByName(three).withColumn("metric", F.lit("nmse")).withColumnRenamed("nmse", "value")
+    return report.averaged(report.filtered(records, "NMSE", "EVAL"))
+
+
+@query
+def results_pivot(spark, sf_dir):
+    names = ["vanilla", "horizon_knn_mean", "context_forecast"]
+    return report.pivoted(_means(spark, sf_dir), names).select("dataset", "setting", *r6(*names))
+
+
+@query
+def improvement_of_averages(spark, sf_dir):
+    out = report.improvements(_means(spark, sf_dir), "vanilla")
+    return out.select("level", "dataset", "setting", "method", *r6("value"), F.round("improvement_pct", 5).alias("improvement_pct"))
+
+
+@query
+def positive_only(spark, sf_dir):
+    return report.positive_only(_means(spark, sf_dir), "vanilla").select("dataset", "setting", "method", *r6("value"))
+
+
+@query
+def best_flag(spark, sf_dir):
+    return report.best_flags(_means(spark, sf_dir)).select("dataset", "setting", "method", "best")
+
+
+@query
+def scale_exponents(spark, sf_dir):
+    return report.scale_exponents(_means(spark, sf_dir), "vanilla")
+
+
+@query
+def sweep_matrix(spark, sf_dir):
+    means = _means(spark, sf_dir).withColumn("method", F.concat_ws("/", "setting", "method"))
+    out = report.sweep_matrix(means, ["vanilla", "horizon_knn_mean", "missing"], ["48_12", "96_24"], 2.0)
+    return out.select("variant", "run", *r6("value"), F.round("improvement_pct", 5).alias("improvement_pct"))
+
+
+@query
+def adapter_identity_init(spark, sf_dir):
+    return by_step(payload_of(spark, sf_dir).withColumn("yhat", mixture.identity_mixture()), "yhat")
+
+
+@query
+def adapter_loss(spark, sf_dir):
+    rows = frame_of(spark, sf_dir)
+    memory = F.zip_with("yw", "pred", lambda a, b: a - b)
+    return mixture.loss(rows, F.col("pred_ctx"), F.col("ew"), memory).withColumn("loss", F.round("loss", 6))
+
+
+@query
+def trained_mixture(spark, sf_dir):
+    rows = frame_of(spark, sf_dir)
+    fitted = mixture.fit_mixture(rows.where("split = 'train'"), HORIZON, rounds=10)
+    return _gate_nmse(mixture.apply_mixture(rows, fitted))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: SQL[name] for name in QUERIES if name in SQL}
