@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +85,6 @@ def load_model(name: str, normalization: str = "none", **options) -> Forecaster:
 
 def batch_model(rows: DataFrame, predict: Callable[[np.ndarray], np.ndarray], column: str = "pred", x: str = "x") -> DataFrame:
     """A model that must run in Python: lookbacks go to it a batch at a time by Arrow."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(v: pd.Series) -> pd.Series:
         return pd.Series(list(np.asarray(predict(np.stack(v.to_list())), float))) if len(v) else pd.Series([], dtype=object)

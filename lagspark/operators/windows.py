@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,8 +62,6 @@ def features(rows: DataFrame, space: str = "instance") -> DataFrame:
 
 
 def _magnitudes(column: str):
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
         return x.map(lambda v: np.abs(np.fft.fft(np.asarray(v, float))))
@@ -101,8 +100,6 @@ def moving_average(rows: DataFrame, width: int, x: str = "x") -> DataFrame:
 
 def embed(rows: DataFrame, model, column: str = "feat", x: str = "x") -> DataFrame:
     """Encoder space: model maps a matrix of lookbacks to one of embeddings, a batch at a time."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(v: pd.Series) -> pd.Series:
         return pd.Series(list(np.asarray(model(np.stack(v.to_list())), float))) if len(v) else pd.Series([], dtype=object)

@@ -81,6 +81,12 @@ def by_step(rows: DataFrame, column: str, name: str | None = None) -> DataFrame:
     return out.select("split", "qt", "qu", F.col("h").cast("long").alias("h"), F.round("v", 6).alias(name or column))
 
 
+def flat(rows: DataFrame, keys: list[str], arrays: list[str], n: int) -> DataFrame:
+    """One row a place in parallel arrays of at most n values, rounded; places past an array's end are null."""
+    out = rows.select(*keys, *arrays, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    return out.select(*keys, F.col("i").cast("long").alias("i"), *(F.round(F.get(F.col(c), F.col("i") - 1), 6).alias(c) for c in arrays))
+
+
 def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -162,13 +168,13 @@ def query_starts(spark, sf_dir):
 @query
 def window_extract(spark, sf_dir):
     rows = windows.windows(series(spark, sf_dir), LAGS, HORIZON).where("t % 60 = 0")
-    return rows.select("series_id", "t", A.rounded("x").alias("x"), A.rounded("y").alias("y"))
+    return flat(rows, ["series_id", "t"], ["x", "y"], LAGS)
 
 
 @query
 def instance_norm(spark, sf_dir):
     rows, _ = all_windows(spark, sf_dir)
-    return rows.where("t % 48 = 0").select("series_id", "t", A.rounded("feat").alias("feat"))
+    return flat(rows.where("t % 48 = 0"), ["series_id", "t"], ["feat"], LAGS)
 
 
 @query
@@ -182,14 +188,14 @@ def patch_unfold(spark, sf_dir):
     rows, ends = all_windows(spark, sf_dir)
     cut = windows.patches(queries_of(rows, ends, ("eval",)), 16, 8)
     out = cut.select("series_id", "t", F.posexplode("patches").alias("patch", "v"))
-    return out.select("series_id", "t", F.col("patch").cast("long").alias("patch"), A.rounded("v").alias("v"))
+    return flat(out.withColumn("patch", F.col("patch").cast("long")), ["series_id", "t", "patch"], ["v"], 16)
 
 
 @query
 def moving_average(spark, sf_dir):
     rows, ends = all_windows(spark, sf_dir)
     out = windows.moving_average(queries_of(rows, ends, ("eval",)), 5)
-    return out.select("series_id", "t", A.rounded("trend").alias("trend"), A.rounded("residual").alias("residual"))
+    return flat(out, ["series_id", "t"], ["trend", "residual"], LAGS)
 
 
 @query
@@ -276,7 +282,7 @@ def knn_embeddings(spark, sf_dir):
 @query
 def neighbor_lookup(spark, sf_dir):
     near, _, rows = neighbours(spark, sf_dir, ("eval",))
-    return retrieval.lookup(near, rows).select("qt", "qu", "rank", A.rounded("xc").alias("xc"), A.rounded("yc").alias("yc"))
+    return flat(retrieval.lookup(near, rows), ["qt", "qu", "rank"], ["xc", "yc"], LAGS)
 
 
 @query
@@ -284,7 +290,8 @@ def leave_one_out_context(spark, sf_dir):
     near, _, rows = neighbours(spark, sf_dir, ("eval",))
     each = retrieval.leave_one_out(retrieval.lookup(near, rows)).select("qt", "qu", "rank", F.posexplode("context").alias("i", "w"))
     other = F.when(F.col("i") + 1 < F.col("rank"), F.col("i") + 1).otherwise(F.col("i") + 2).cast("long")
-    return each.select("qt", "qu", "rank", other.alias("other"), A.rounded(F.slice("w", -HORIZON, HORIZON)).alias("y"))
+    each = each.select("qt", "qu", "rank", other.alias("other"), F.slice("w", -HORIZON, HORIZON).alias("y"))
+    return flat(each, ["qt", "qu", "rank", "other"], ["y"], HORIZON)
 
 
 @query
@@ -318,12 +325,12 @@ def _nbrs(spark, sf_dir, splits=windows.SPLITS) -> DataFrame:
 
 @query
 def scale_transfer(spark, sf_dir):
-    return _nbrs(spark, sf_dir, ("eval",)).select("split", "qt", "qu", "rank", A.rounded("ys").alias("ys"))
+    return _nbrs(spark, sf_dir, ("eval",)).transform(flat, ["split", "qt", "qu", "rank"], ["ys"], HORIZON)
 
 
 @query
 def residual_transfer(spark, sf_dir):
-    return _nbrs(spark, sf_dir, ("eval",)).select("split", "qt", "qu", "rank", A.rounded("es").alias("es"))
+    return _nbrs(spark, sf_dir, ("eval",)).transform(flat, ["split", "qt", "qu", "rank"], ["es"], HORIZON)
 
 
 @query
@@ -337,13 +344,13 @@ def payload(spark, sf_dir):
 @query
 def window_losses(spark, sf_dir):
     out = metrics.window_losses(payload_of(spark, sf_dir))
-    return out.select("split", "qt", "qu", F.round("mse", 4).alias("mse"), *r6("mae", "nmse"))
+    return out.select("split", "qt", "qu", F.round("mse", 6).alias("mse"), *r6("mae", "nmse"))
 
 
 @query
 def loss_summary(spark, sf_dir):
     out = metrics.loss_summary(metrics.window_losses(payload_of(spark, sf_dir)))
-    return out.select("split", "metric", *(F.round(c, 4).alias(c) for c in ("mean", "std", "w10_user_mean")))
+    return out.select("split", "metric", *(F.round(c, 6).alias(c) for c in ("mean", "std", "w10_user_mean")))
 
 
 @query
@@ -353,7 +360,7 @@ def user_losses(spark, sf_dir):
 
 @query
 def horizon_profile(spark, sf_dir):
-    return metrics.horizon_profile(payload_of(spark, sf_dir)).withColumn("mse", F.round("mse", 4))
+    return metrics.horizon_profile(payload_of(spark, sf_dir)).withColumn("mse", F.round("mse", 6))
 
 
 @query
@@ -386,7 +393,7 @@ def mix_scalars(spark, sf_dir):
 def _scores(predictions: DataFrame) -> DataFrame:
     out = metrics.method_scores(predictions)
     return out.select(
-        "split", "method", F.round("mse", 4).alias("mse"), F.round("mae", 5).alias("mae"), F.round("nmse", 6).alias("nmse"),
+        "split", "method", F.round("mse", 6).alias("mse"), F.round("mae", 5).alias("mae"), F.round("nmse", 6).alias("nmse"),
         F.round("relative_nmse_improvement_pct", 5).alias("relative_nmse_improvement_pct"),
     )
 
@@ -415,7 +422,7 @@ def ridge_coefficients(spark, sf_dir):
 @query
 def feature_table(spark, sf_dir):
     out = metrics.feature_table(payload_of(spark, sf_dir))
-    r4 = [F.round(c, 4).alias(c) for c in ("base_loss", "context_loss", "oracle_loss")]
+    r4 = [F.round(c, 6).alias(c) for c in ("base_loss", "context_loss", "oracle_loss")]
     return out.select(
         "split", "qt", "qu", *r4, "context_better", F.round("improvement_pct", 5).alias("improvement_pct"), "neighbours",
         *r6("distance_mean", "distance_std", "same_user_fraction", "age_mean", "age_std", "neighbour_mean_mean", "neighbour_std_std"),
@@ -448,7 +455,7 @@ def oracle_gates(spark, sf_dir):
 @query
 def gate_features(spark, sf_dir):
     names = ("context_shift_mean", "context_shift_std", "weighted_minus_pred_mean", "weighted_residual_mean", "neighbour_mean_std", "same_user_ratio", "age_mean", "weight_std", "weight_max")
-    return gates.gate_features(payload_of(spark, sf_dir)).select("split", "qt", "qu", *r6(*names), F.round("target", 4).alias("target"))
+    return gates.gate_features(payload_of(spark, sf_dir)).select("split", "qt", "qu", *r6(*names), F.round("target", 6).alias("target"))
 
 
 @query

@@ -117,7 +117,13 @@ def twin(final: str) -> str:
     return f"WITH {CHAIN.strip()}\n{final}"
 
 
-R = "list_transform({0}, lambda e: round(e, 6))".format
+
+
+def flat(keys: str, arrays: list[str], n: int, rows: str) -> str:
+    """One row a place in the arrays."""
+    columns = ", ".join(f"round({c}[i], 6) AS {c}" for c in arrays)
+    return f"SELECT {keys}, i::BIGINT AS i, {columns} FROM ({rows}), (SELECT unnest(range(1, {n} + 1)) AS i)"
+
 
 SERIES = "SELECT t, ts, series_id, series_name, round(value, 6) AS value FROM series"
 DAILY = """
@@ -146,16 +152,16 @@ SELECT series_name, ts, round(value, 6) AS value FROM k SEMI JOIN c USING (ts)""
 FROM bins b SEMI JOIN whole USING (ts) JOIN names n USING (series_name)"""),
     "split_bounds": twin("SELECT * FROM bounds"),
     "query_starts": twin("SELECT split, t, series_id FROM q"),
-    "window_extract": twin(f"SELECT series_id, t, {R('x')} AS x, {R('y')} AS y FROM windows WHERE t % 60 = 0"),
-    "instance_norm": twin(f"SELECT series_id, t, {R('feat')} AS feat FROM feats WHERE t % 48 = 0"),
+    "window_extract": twin(flat("series_id, t", ["x", "y"], 48, "SELECT * FROM windows WHERE t % 60 = 0")),
+    "instance_norm": twin(flat("series_id, t", ["feat"], 48, "SELECT * FROM feats WHERE t % 48 = 0")),
     "window_stats": twin("SELECT series_id, t, round(mu, 6) AS mu, round(sd, 6) AS sd FROM windows"),
-    "patch_unfold": twin("""
-SELECT series_id, t, (i - 1)::BIGINT AS patch, list_transform(list_slice(list_concat(x, [x[48], x[48], x[48], x[48], x[48], x[48], x[48], x[48]]), (i - 1) * 8 + 1, (i - 1) * 8 + 16),
-  lambda e: round(e, 6)) AS v FROM q, (SELECT unnest(range(1, 7)) AS i) WHERE split = 'eval'"""),
+    "patch_unfold": twin(flat("series_id, t, patch", ["v"], 16, """
+SELECT series_id, t, (k - 1)::BIGINT AS patch, list_slice(list_concat(x, [x[48], x[48], x[48], x[48], x[48], x[48], x[48], x[48]]), (k - 1) * 8 + 1, (k - 1) * 8 + 16) AS v
+FROM q, (SELECT unnest(range(1, 7)) AS k) WHERE split = 'eval'""")),
     "moving_average": twin("""
 , z AS (SELECT series_id, t, x, list_concat(list_concat([x[1], x[1]], x), [x[48], x[48]]) AS xp FROM q WHERE split = 'eval'),
 m AS (SELECT series_id, t, x, list_transform(range(1, 49), lambda i: list_sum(xp[i:i + 4]) / 5) AS trend FROM z)
-SELECT series_id, t, list_transform(trend, lambda e: round(e, 6)) AS trend, list_transform(range(1, 49), lambda i: round(x[i] - trend[i], 6)) AS residual FROM m"""),
+SELECT series_id, t, i::BIGINT AS i, round(trend[i], 6) AS trend, round(x[i] - trend[i], 6) AS residual FROM m, (SELECT unnest(range(1, 49)) AS i)"""),
     "store_online": twin("SELECT split, t, series_id, lo::BIGINT AS lo, hi::BIGINT AS hi, keep_n::BIGINT AS keep_n FROM store"),
     "store_fixed": twin("""
 , f AS (SELECT split, t, series_id, t % 24 AS lo0, (SELECT t0_end FROM bounds) - 60 AS last FROM q)
@@ -177,36 +183,36 @@ d AS (SELECT a.split, a.t AS qt, a.series_id AS qu, s.t AS nt, s.series_id AS nu
  FROM store a JOIN u b ON a.split = 'eval' AND b.t = a.t AND b.series_id = a.series_id JOIN u s ON a.t % 24 = s.t % 24 AND s.t BETWEEN a.lo AND a.hi),
 r AS (SELECT *, (row_number() OVER (PARTITION BY qt, qu ORDER BY distance, nu, nt))::BIGINT AS rank FROM d)
 SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance FROM r WHERE rank <= 5"""),
-    "neighbor_lookup": twin(f"SELECT qt, qu, rank, {R('xc')} AS xc, {R('yc')} AS yc FROM found WHERE split = 'eval'"),
-    "leave_one_out_context": twin("""
-SELECT a.qt, a.qu, a.rank, b.rank AS other, list_transform(b.yc, lambda e: round((e - b.mu_c) / greatest(b.sd_c, 1e-8) * greatest(a.sd_c, 1e-8) + a.mu_c, 6)) AS y
-FROM found a JOIN found b ON a.split = 'eval' AND b.split = 'eval' AND a.qt = b.qt AND a.qu = b.qu AND a.rank <> b.rank"""),
+    "neighbor_lookup": twin(flat("qt, qu, rank", ["xc", "yc"], 48, "SELECT * FROM found WHERE split = 'eval'")),
+    "leave_one_out_context": twin(flat("qt, qu, rank, other", ["y"], 12, """
+SELECT a.qt, a.qu, a.rank, b.rank AS other, list_transform(b.yc, lambda e: (e - b.mu_c) / greatest(b.sd_c, 1e-8) * greatest(a.sd_c, 1e-8) + a.mu_c) AS y
+FROM found a JOIN found b ON a.split = 'eval' AND b.split = 'eval' AND a.qt = b.qt AND a.qu = b.qu AND a.rank <> b.rank""")),
     "same_series": twin("SELECT split, qt, qu, same AS same_user_fraction FROM nstats"),
     "persistence_forecast": twin("SELECT split, qt, qu, h - 1 AS h, round(pred, 6) AS pred FROM p"),
     "context_forecast": twin("SELECT split, qt, qu, h - 1 AS h, round(pred_ctx, 6) AS pred FROM p"),
     "linear_forecast": twin("SELECT split, t AS qt, series_id AS qu, round(list_sum(x) / 48 + 1, 6) AS pred FROM q"),
-    "scale_transfer": twin(f"SELECT split, qt, qu, rank, {R('ys')} AS ys FROM scaled WHERE split = 'eval'"),
-    "residual_transfer": twin(f"SELECT split, qt, qu, rank, {R('es')} AS es FROM scaled WHERE split = 'eval'"),
+    "scale_transfer": twin(flat("split, qt, qu, rank", ["ys"], 12, "SELECT * FROM scaled WHERE split = 'eval'")),
+    "residual_transfer": twin(flat("split, qt, qu, rank", ["es"], 12, "SELECT * FROM scaled WHERE split = 'eval'")),
     "payload": twin("SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance, round(mu_c, 6) AS mu, round(sd_c, 6) AS sd FROM found"),
-    "window_losses": twin("SELECT split, qt, qu, round(mse, 4) AS mse, round(mae, 6) AS mae, round(nmse, 6) AS nmse FROM losses"),
+    "window_losses": twin("SELECT split, qt, qu, round(mse, 6) AS mse, round(mae, 6) AS mae, round(nmse, 6) AS nmse FROM losses"),
     "loss_summary": twin("""
 , l AS (SELECT split, qu, 'mse' AS metric, mse AS v FROM losses UNION ALL SELECT split, qu, 'mae', mae FROM losses UNION ALL SELECT split, qu, 'nmse', nmse FROM losses),
 u AS (SELECT split, metric, qu, avg(v) AS v FROM l GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY split, metric ORDER BY v DESC, qu) AS r, count(*) OVER (PARTITION BY split, metric) AS n FROM u),
 w AS (SELECT split, metric, avg(v) AS w FROM r WHERE r <= greatest(1, ceil(n * 0.1)) GROUP BY ALL)
-SELECT l.split, l.metric, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(any_value(w.w), 4) AS w10_user_mean FROM l JOIN w USING (split, metric) GROUP BY l.split, l.metric"""),
+SELECT l.split, l.metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(any_value(w.w), 6) AS w10_user_mean FROM l JOIN w USING (split, metric) GROUP BY l.split, l.metric"""),
     "user_losses": twin("SELECT split, qu, round(avg(nmse), 6) AS nmse_mean, round(stddev_samp(nmse), 6) AS nmse_std FROM losses GROUP BY split, qu"),
-    "horizon_profile": twin("SELECT split, h - 1 AS h, round(avg((pred - y) ** 2), 4) AS mse FROM p GROUP BY split, h"),
+    "horizon_profile": twin("SELECT split, h - 1 AS h, round(avg((pred - y) ** 2), 6) AS mse FROM p GROUP BY split, h"),
     "distance_weights": twin("SELECT split, qt, qu, rank, round(w, 6) AS w FROM weights"),
     "knn_weighted": twin("SELECT split, qt, qu, h - 1 AS h, round(yw, 6) AS yw FROM p"),
     "knn_mean": twin("SELECT split, qt, qu, h - 1 AS h, round(ym, 6) AS ym FROM p"),
     "residual_knn": twin("SELECT split, qt, qu, h - 1 AS h, round(ew, 6) AS ew FROM p"),
     "mix_scalars": twin("SELECT round(lh, 6) AS horizon_mix, round(lr, 6) AS residual_mix FROM lam"),
     "method_scores": twin("""
-SELECT s.split, s.method, round(s.mse, 4) AS mse, round(s.mae, 5) AS mae, round(s.nmse, 6) AS nmse, round((r.nmse - s.nmse) / greatest(r.nmse, 1e-12) * 100, 5) AS relative_nmse_improvement_pct
+SELECT s.split, s.method, round(s.mse, 6) AS mse, round(s.mae, 5) AS mae, round(s.nmse, 6) AS nmse, round((r.nmse - s.nmse) / greatest(r.nmse, 1e-12) * 100, 5) AS relative_nmse_improvement_pct
 FROM scores s JOIN scores r ON r.split = s.split AND r.method = 'vanilla'"""),
     "feature_table": twin("""
-SELECT l.split, l.qt, l.qu, round(l.mse, 4) AS base_loss, round(l.mse_ctx, 4) AS context_loss, round(least(l.mse, l.mse_ctx), 4) AS oracle_loss, l.mse_ctx < l.mse AS context_better,
+SELECT l.split, l.qt, l.qu, round(l.mse, 6) AS base_loss, round(l.mse_ctx, 6) AS context_loss, round(least(l.mse, l.mse_ctx), 6) AS oracle_loss, l.mse_ctx < l.mse AS context_better,
   round((l.mse - l.mse_ctx) / greatest(l.mse, 1e-8) * 100, 5) AS improvement_pct, round(n.d_mean, 6) AS distance_mean, round(n.d_std, 6) AS distance_std, n.k::BIGINT AS neighbours,
   round(n.same, 6) AS same_user_fraction, round(n.age, 6) AS age_mean, round(n.age_std, 6) AS age_std, round(n.mu_mean, 6) AS neighbour_mean_mean, round(n.sd_std, 6) AS neighbour_std_std
 FROM losses l JOIN nstats n USING (split, qt, qu)"""),
@@ -219,7 +225,7 @@ SELECT split, 'oracle_context_scalar' AS method, round(avg(((oracle_scalar - y)
 UNION ALL SELECT split, 'oracle_context_horizon', round(avg(((oracle_step - y) / scale) ** 2), 6) FROM gated GROUP BY split"""),
     "gate_features": twin("""
 SELECT l.split, l.qt, l.qu, round(shift_mean, 6) AS context_shift_mean, round(shift_std, 6) AS context_shift_std, round(yw_shift, 6) AS weighted_minus_pred_mean, round(ew_mean, 6) AS weighted_residual_mean,
-  round(mu_std, 6) AS neighbour_mean_std, round(same, 6) AS same_user_ratio, round(age, 6) AS age_mean, round(w_std, 6) AS weight_std, round(w_max, 6) AS weight_max, round(target, 4) AS target
+  round(mu_std, 6) AS neighbour_mean_std, round(same, 6) AS same_user_ratio, round(age, 6) AS age_mean, round(w_std, 6) AS weight_std, round(w_max, 6) AS weight_max, round(target, 6) AS target
 FROM losses l JOIN nstats n USING (split, qt, qu)"""),
     "roc_curve": twin("SELECT score, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM curve"),
     "roc_auc": twin("""
