@@ -15,9 +15,9 @@ to the language first by name. Each row gives one row; an empty table gives an e
 
 from __future__ import annotations
 
+import itertools
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +40,17 @@ MEMO = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def grams(word: str) -> list[int]:
-    data = f"\x02{word}\x03"
-    return [zlib.crc32(data[i : i + 3].encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for i in range(len(data) - 2)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed trigrams of all words, one after the other, and where each word's begin."""
+    chars = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 2)
+    mixed = chars[:-2] * np.uint32(0x9E3779B1) ^ chars[1:-1] * np.uint32(0x85EBCA77) ^ chars[2:] * np.uint32(0xC2B2AE3D)
+    mixed = (mixed ^ mixed >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    inside = np.ones(len(mixed), bool)
+    for back in (1, 2):  # trigrams that run from one word into the next
+        inside[(ends - back)[ends - back < len(mixed)]] = False
+    return ((mixed >> np.uint32(16)) & np.uint32(BUCKETS - 1)).astype(np.int64)[inside], np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
 class Model:
@@ -66,20 +74,13 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     sample = labelled.where(F.col("h") < share[F.col("lang")]).select("lang", F.col("text").cast("binary").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[int]] = {}
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                hits: list[int] = []
-                for word in WORD.findall(as_text(text.as_py()).lower()):
-                    got = memo.get(word)
-                    if got is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        got = memo[word] = grams(word)
-                    hits += got
-                found += np.bincount(np.array(hits, np.int64), minlength=BUCKETS)
+                words = WORD.findall(as_text(text.as_py()).lower())
+                if words:
+                    found += np.bincount(grams(words)[0], minlength=BUCKETS)
         for lang, found in total.items():
             at = np.nonzero(found)[0]
             yield pa.RecordBatch.from_arrays(
@@ -108,16 +109,20 @@ class Likelihoods:
             self.rows.clear()
             self.size = 0
 
-    def index(self, word: str) -> int:
-        found = self.rows.get(word)
-        if found is None:
-            if self.size == len(self.table):
-                self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            log = self.log[grams(word)].sum(axis=0)
-            self.table[self.size] = np.maximum(np.exp(log - log.max()), 1e-30)
-            found = self.rows[word] = self.size
-            self.size += 1
-        return found
+    def learn(self, words: Iterable[str]) -> None:
+        """Rows for the words that have none yet, all at once."""
+        rows = self.rows
+        fresh = [w for w in set(words) if w not in rows]
+        if not fresh:
+            return
+        codes, starts = grams(fresh)
+        log = np.add.reduceat(self.log[codes], starts, axis=0)
+        made = np.maximum(np.exp(log - log.max(axis=1, keepdims=True)), 1e-30)
+        while self.size + len(fresh) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[self.size : self.size + len(fresh)] = made
+        rows.update(zip(fresh, range(self.size, self.size + len(fresh))))
+        self.size += len(fresh)
 
 
 def mixtures(like: np.ndarray, starts: np.ndarray, most: int = MOST) -> np.ndarray:
@@ -174,14 +179,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def _batch(rows: pa.RecordBatch, id_col: str, model: Model, words: Likelihoods) -> pa.RecordBatch:
     n = rows.num_rows
     pred, score, sets, shares = [UND] * n, [0.0] * n, [[]] * n, [[]] * n
-    at: list[np.ndarray] = []
-    who: list[int] = []
-    for i, text in enumerate(rows.column(1)):
-        found = WORD.findall(as_text(text.as_py()).lower())
-        if found and model.languages:
-            at.append(np.fromiter(map(words.index, found), np.int64, len(found)))
-            who.append(i)
+    split = [WORD.findall(as_text(text.as_py()).lower()) for text in rows.column(1)] if model.languages else []
+    who = [i for i, found in enumerate(split) if found]
+    words.learn(itertools.chain.from_iterable(split))
     if who:
+        at = [np.fromiter(map(words.rows.__getitem__, split[i]), np.int64, len(split[i])) for i in who]
         starts = np.cumsum([0] + [len(a) for a in at[:-1]])
         found = mixtures(words.table[np.concatenate(at)], starts)
         for i, share in zip(who, found.astype(float)):

@@ -11,11 +11,11 @@ allows). With n and m shingles and c in common, similarity is c / (n + m - c), w
 complement d is a metric.
 
 Documents of equal words are one text. In a bucket of equal sketches all texts are compared
-with the smallest id, its leader. Texts that are not linked to the leader, and members far
-enough from it that by the triangle inequality they may link to such a text, go on to a
-second step that compares them in blocks of at most RESIDUE_BLOCK by RESIDUE_BLOCK. So no
-link between texts that share a sketch is lost, and no task ever gathers a bucket.
-Components of the links are the classes.
+with the smallest id, its leader, and components of these links are formed. A text that is
+not in its leader's class goes on to a second step, which compares it with the texts of its
+bucket that are of other classes and that the triangle inequality does not rule out, in
+blocks of at most RESIDUE_BLOCK by RESIDUE_BLOCK. So no link that would join two classes of
+texts that share a sketch is lost, and no task ever gathers a bucket.
 
 Texts without words link with nothing. Texts shorter than K words are one shingle. Null ids
 link with nothing. Rows that repeat an id count as one document: the smallest text by words
@@ -157,10 +157,10 @@ def near_duplicates(
     # Distances up to twice the threshold matter to the triangle inequality.
     star = cut(joined.select("leader", "id", "words", "led").mapInArrow(lambda b: _verify(b, k, 2 * near), "leader long, id long, d double"))
     links = star.where(F.col("d") <= near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    more = _residue(members, star, reps, words, near, k, block)
-    if more is not None:
-        links = links.unionByName(more)
     classes = components(links, "a", "b", "rep", "component")
+    more = _residue(members, star, classes, reps, words, near, k, block)
+    if more is not None:
+        classes = components(links.unionByName(more), "a", "b", "rep", "component")
     named = texts.join(classes, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     by_id = sketched.where(F.col("print") != "").join(named, "print").select(F.col("id").alias("__id"), F.col("component").alias("__c"))
     component = F.coalesce("__c", F.col(id_col).cast("long"))
@@ -226,39 +226,58 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, most: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["leader", "id", "d"])
 
 
-def _residue(members: DataFrame, star: DataFrame, reps: DataFrame, words: DataFrame, near: float, k: int, block: int) -> DataFrame | None:
-    """Links of the texts that a bucket's leader does not explain; None if there are no such texts."""
-    judged = members.join(star, ["leader", "id"])
-    failed = judged.where(F.col("d") > near).groupBy("band", "key").agg(F.min("d").alias("nearest"), F.count("*").alias("failures"))
-    # A linked member at distance d from the leader may link to a text at nearest or more only if d + near >= nearest.
-    left = judged.join(failed, ["band", "key"]).where((F.col("d") > near) | (F.col("d") + near >= F.col("nearest")))
-    sizes = left.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    left = cut(left.join(sizes, ["band", "key"]).select("band", "key", "id", (F.col("d") > near).alias("failed"), "size"))
-    if left.isEmpty():
+def _residue(
+    members: DataFrame, star: DataFrame, classes: DataFrame, reps: DataFrame, words: DataFrame, near: float, k: int, block: int
+) -> DataFrame | None:
+    """Links between texts of one bucket that the leaders leave in different classes; None if there are no such texts.
+
+    A text outside its leader's class is compared with those of the bucket that are of
+    another class than it, unless their distances d to the leader are too far apart.
+    """
+    of = classes.select(F.col("rep").alias("id"), F.col("component").alias("class"))
+    lead = classes.select(F.col("rep").alias("leader"), F.col("component").alias("led"))
+    judged = members.join(star, ["leader", "id"]).join(of, "id", "left").join(lead, "leader", "left")
+    judged = judged.withColumns({"class": F.coalesce("class", "id"), "led": F.coalesce("led", "leader")})
+    judged = judged.select("band", "key", "id", "d", "class", (F.col("class") != F.col("led")).alias("out"))
+    outside = judged.where("out").groupBy("band", "key").agg(F.min("d").alias("nearest"), F.count("*").alias("n_out"))
+    # A member at d from the leader can link to a text at nearest or more only if d + near >= nearest.
+    left = cut(judged.join(outside, ["band", "key"]).where(F.col("out") | (F.col("d") + near >= F.col("nearest"))).drop("nearest"))
+    sizes = left.groupBy("band", "key").agg(F.count("*").alias("n_all")).where("n_all > 1")
+    if sizes.isEmpty():
         return None
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(
-        "band", "key", "id", "failed", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
-    )
-    full = dealt.join(words, "id").join(reps.select("id", "keys"), "id")
+    # Each outside text meets every text of its bucket once: outside blocks times all blocks.
+    left = left.join(sizes, ["band", "key"])
+    n_out, n_all = F.ceil(F.col("n_out") / block).cast("int"), F.ceil(F.col("n_all") / block).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["band", "key", "id", "d", "class", "out"]
+    asks = left.where("out").select(*columns, F.lit(True).alias("asks"), place(n_out).alias("one"), spread(n_all).alias("two"))
+    told = left.select(*columns, F.lit(False).alias("asks"), spread(n_out).alias("one"), place(n_all).alias("two"))
+    texts = words.join(reps.select("id", "keys"), "id")
+    full = asks.unionByName(told).join(texts, "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        one, two, band = (table.column(c)[0].as_py() for c in ("one", "two", "band"))
-        ids, own = table.column("id").to_pylist(), table.column("own").to_pylist()
-        failed = table.column("failed").to_pylist()
-        keys = np.array(table.column("keys").to_pylist(), np.int64)
-        shingles = [_shingles(w, k) for w in table.column("words").to_pylist()]
-        side = [[i for i, o in enumerate(own) if o == b] for b in (one, two)]
-        found = []
-        for i in side[0]:
-            for j in side[1]:
-                # A pair is the business of the first sketch that both share.
-                if (one != two or i < j) and (failed[i] or failed[j]) and not (keys[i, :band] == keys[j, :band]).any():
-                    if distance(shingles[i], shingles[j], near) <= near:
-                        found.append((ids[i], ids[j]))
-        a, b = zip(*found) if found else ((), ())
+        band = table.column("band")[0].as_py()
+        ids, d, kind, out, asks = (table.column(c).to_pylist() for c in ("id", "d", "class", "out", "asks"))
+        keys = np.array(table.column("keys").to_pylist(), np.int64)[:, :band]
+        blobs, held = table.column("words"), {}
+
+        def shingles(i: int) -> np.ndarray:
+            if ids[i] not in held:
+                held[ids[i]] = _shingles(blobs[i].as_py(), k)
+            return held[ids[i]]
+
+        told = np.array([i for i in range(len(ids)) if not asks[i]], int)
+        links = []
+        for i in (i for i in range(len(ids)) if asks[i]):
+            # A pair is the business of the first sketch that both share.
+            new = told[~(keys[told] == keys[i]).any(axis=1)]
+            for j in new.tolist():
+                twice = out[j] and ids[j] < ids[i]
+                apart = min(d[i], d[j]) < 2 * near and abs(d[i] - d[j]) > near + 1e-9
+                if kind[i] != kind[j] and not twice and not apart and distance(shingles(i), shingles(j), near) <= near:
+                    links.append((ids[i], ids[j]))
+        a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return cut(full.groupBy("band", "key", "one", "two").applyInArrow(compare, "a long, b long"))
