@@ -12,10 +12,11 @@ complement d is a metric.
 
 Documents of equal words are one text. In a bucket of equal sketches all texts are compared
 with the smallest id, its leader, and components of these links are formed. A text that is
-not in its leader's class goes on to a second step, which compares it with the texts of its
-bucket that are of other classes and that the triangle inequality does not rule out, in
-blocks of at most RESIDUE_BLOCK by RESIDUE_BLOCK. So no link that would join two classes of
-texts that share a sketch is lost, and no task ever gathers a bucket.
+not in its leader's class goes on to a second step, with the texts of its bucket that the
+triangle inequality does not rule out. There texts of different classes meet by a prefix
+filter over their rarest shingles, in blocks of about RESIDUE_BLOCK rows, and are aligned.
+So no link that would join two classes of texts that share a sketch is lost, no task ever
+gathers a bucket, and passages that many texts share do not bring them all together.
 
 Texts without words link with nothing. Texts shorter than K words are one shingle. Null ids
 link with nothing. Rows that repeat an id count as one document: the smallest text by words
@@ -25,6 +26,7 @@ stands for it when classes are formed.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections.abc import Iterator
 
@@ -39,7 +41,11 @@ from .components import components
 
 #: Words of a shingle, shingles of a sketch, sketches, and the least similarity.
 K, L, SKETCHES, SIMILARITY = 5, 3, 24, 0.8
-RESIDUE_BLOCK = 128
+#: Rows of a block in the second step, and rarest shingles that tell whether a pair was put forward already.
+RESIDUE_BLOCK, HEAD = 4096, 16
+#: Counters that order shingles by rarity (4 MB in all).
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 MEMO = 200_000
 WORD = re.compile(r"\w+")
 FAR = 1.0
@@ -153,14 +159,11 @@ def near_duplicates(
     # Texts that need verifying, one row each.
     asked = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
     words = cut(words.join(asked, "id", "left_semi").dropDuplicates(["id"]))
-    joined = pairs.join(words, "id").join(words.select(F.col("id").alias("leader"), F.col("words").alias("led")), "leader")
     # Distances up to twice the threshold matter to the triangle inequality.
-    star = cut(joined.select("leader", "id", "words", "led").mapInArrow(lambda b: _verify(b, k, 2 * near), "leader long, id long, d double"))
+    star = cut(_aligned(pairs, words, k, 2 * near))
     links = star.where(F.col("d") <= near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
     classes = components(links, "a", "b", "rep", "component")
-    more = _residue(members, star, classes, reps, words, near, k, block)
-    if more is not None:
-        classes = components(links.unionByName(more), "a", "b", "rep", "component")
+    classes = _residue(members, star, classes, words, near, k, block)
     named = texts.join(classes, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     by_id = sketched.where(F.col("print") != "").join(named, "print").select(F.col("id").alias("__id"), F.col("component").alias("__c"))
     component = F.coalesce("__c", F.col(id_col).cast("long"))
@@ -214,6 +217,12 @@ def _shingles(blob: bytes, k: int) -> np.ndarray:
     return labelled(np.frombuffer(blob, "<u4"), k)
 
 
+def _aligned(pairs: DataFrame, words: DataFrame, k: int, most: float) -> DataFrame:
+    """(leader, id, d) of each pair of texts; d is FAR if it is over most."""
+    joined = pairs.join(words, "id").join(words.select(F.col("id").alias("leader"), F.col("words").alias("led")), "leader")
+    return joined.select("leader", "id", "words", "led").mapInArrow(lambda b: _verify(b, k, most), "leader long, id long, d double")
+
+
 def _verify(batches: Iterator[pa.RecordBatch], k: int, most: float) -> Iterator[pa.RecordBatch]:
     """Distance of each (leader, member) pair."""
     last, led = None, np.empty(0, np.uint64)
@@ -226,58 +235,128 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, most: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["leader", "id", "d"])
 
 
-def _residue(
-    members: DataFrame, star: DataFrame, classes: DataFrame, reps: DataFrame, words: DataFrame, near: float, k: int, block: int
-) -> DataFrame | None:
-    """Links between texts of one bucket that the leaders leave in different classes; None if there are no such texts.
+def _residue(members: DataFrame, star: DataFrame, classes: DataFrame, words: DataFrame, near: float, k: int, block: int) -> DataFrame:
+    """classes, with those joined that links between texts of one bucket join although the leaders left them apart.
 
-    A text outside its leader's class is compared with those of the bucket that are of
-    another class than it, unless their distances d to the leader are too far apart.
+    A text outside its leader's class may link to those of its bucket that are of another
+    class, unless the distances to the leader rule that out. All such texts meet by a prefix
+    filter: shingles are ordered by how rare they are among these texts, and two texts that
+    are similar enough share one of the first n - ceil(similarity n) + 1 of both. So what
+    many of them share (a passage) brings none together. The places of a shared shingle bound
+    what can follow it, and pairs that pass are aligned. A pair whose first HEAD shingles
+    meet is put forward by the first of these alone.
     """
+    similarity = 1 - near
     of = classes.select(F.col("rep").alias("id"), F.col("component").alias("class"))
     lead = classes.select(F.col("rep").alias("leader"), F.col("component").alias("led"))
     judged = members.join(star, ["leader", "id"]).join(of, "id", "left").join(lead, "leader", "left")
     judged = judged.withColumns({"class": F.coalesce("class", "id"), "led": F.coalesce("led", "leader")})
     judged = judged.select("band", "key", "id", "d", "class", (F.col("class") != F.col("led")).alias("out"))
-    outside = judged.where("out").groupBy("band", "key").agg(F.min("d").alias("nearest"), F.count("*").alias("n_out"))
+    # FAR stands for any distance over 2 near.
+    outside = judged.where("out").groupBy("band", "key").agg(F.min(F.least("d", F.lit(2 * near))).alias("nearest"))
     # A member at d from the leader can link to a text at nearest or more only if d + near >= nearest.
-    left = cut(judged.join(outside, ["band", "key"]).where(F.col("out") | (F.col("d") + near >= F.col("nearest"))).drop("nearest"))
-    sizes = left.groupBy("band", "key").agg(F.count("*").alias("n_all")).where("n_all > 1")
-    if sizes.isEmpty():
-        return None
-    # Each outside text meets every text of its bucket once: outside blocks times all blocks.
-    left = left.join(sizes, ["band", "key"])
+    left = judged.join(outside, ["band", "key"]).where(F.col("out") | (F.col("d") + near + 1e-9 >= F.col("nearest")))
+    rest = cut(left.groupBy("id", "class").agg(F.max("out").alias("out")).join(words, "id"))
+    if rest.isEmpty():
+        return classes
+    # At most SLOTS rows reach the driver. They only order the shingles: any order is right.
+    found = rest.select("words").mapInArrow(lambda b: _tally(b, k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(SLOTS, np.uint32)
+    table[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    shared = rest.sparkSession.sparkContext.broadcast(table)
+    columns = "id long, out boolean, shingle long, n int, at int"
+    keyed = cut(rest.select("id", "out", "words").mapInArrow(lambda b: _rarest(b, k, similarity, shared.value), columns))
+    texts = rest.select("id", "words")
+    now = keyed.join(of, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    sizes = now.groupBy("shingle").agg(
+        F.count("*").alias("n_all"), F.sum(F.col("out").cast("int")).alias("n_out"), F.min("class").alias("lo"), F.max("class").alias("hi")
+    )
+    sizes = sizes.where("n_out > 0 AND lo <> hi").drop("lo", "hi")
+    # Each outside text meets every text with its shingle: outside blocks times all blocks.
+    heads = rest.select("id", "words").mapInArrow(lambda b: _heads(b, k, shared.value), "id long, heads array<long>")
+    met = now.join(sizes, "shingle").join(heads, "id")
     n_out, n_all = F.ceil(F.col("n_out") / block).cast("int"), F.ceil(F.col("n_all") / block).cast("int")
     place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["band", "key", "id", "d", "class", "out"]
-    asks = left.where("out").select(*columns, F.lit(True).alias("asks"), place(n_out).alias("one"), spread(n_all).alias("two"))
-    told = left.select(*columns, F.lit(False).alias("asks"), spread(n_out).alias("one"), place(n_all).alias("two"))
-    texts = words.join(reps.select("id", "keys"), "id")
-    full = asks.unionByName(told).join(texts, "id")
+    asks = met.where("out").select(*now.columns, "heads", F.lit(True).alias("asks"), place(n_out).alias("one"), spread(n_all).alias("two"))
+    told = met.select(*now.columns, "heads", F.lit(False).alias("asks"), spread(n_out).alias("one"), place(n_all).alias("two"))
 
     def compare(table: pa.Table) -> pa.Table:
-        band = table.column("band")[0].as_py()
-        ids, d, kind, out, asks = (table.column(c).to_pylist() for c in ("id", "d", "class", "out", "asks"))
-        keys = np.array(table.column("keys").to_pylist(), np.int64)[:, :band]
-        blobs, held = table.column("words"), {}
-
-        def shingles(i: int) -> np.ndarray:
-            if ids[i] not in held:
-                held[ids[i]] = _shingles(blobs[i].as_py(), k)
-            return held[ids[i]]
-
-        told = np.array([i for i in range(len(ids)) if not asks[i]], int)
-        links = []
-        for i in (i for i in range(len(ids)) if asks[i]):
-            # A pair is the business of the first sketch that both share.
-            new = told[~(keys[told] == keys[i]).any(axis=1)]
-            for j in new.tolist():
-                twice = out[j] and ids[j] < ids[i]
-                apart = min(d[i], d[j]) < 2 * near and abs(d[i] - d[j]) > near + 1e-9
-                if kind[i] != kind[j] and not twice and not apart and distance(shingles(i), shingles(j), near) <= near:
-                    links.append((ids[i], ids[j]))
-        a, b = zip(*links) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return cut(full.groupBy("band", "key", "one", "two").applyInArrow(compare, "a long, b long"))
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        ids, kind, n = (table.column(c).to_numpy() for c in ("id", "class", "n"))
+        after = n - table.column("at").to_numpy()  # the shared shingle and those behind it
+        out = table.column("out").to_numpy(zero_copy_only=False)
+        who, told, pairs = np.nonzero(asks)[0], np.nonzero(~asks)[0], []
+        shingle, heads = table.column("shingle")[0].as_py(), np.array(table.column("heads").to_pylist(), np.int64)
+        for s in range(0, len(who), 256):
+            some = who[s : s + 256, None]
+            need = similarity * (n[some] + n[told]) / (1 + similarity)
+            hit = (kind[some] != kind[told]) & (np.minimum(after[some], after[told]) >= need - 1e-9) & ~(out[told] & (ids[told] < ids[some]))
+            i, j = np.nonzero(hit)
+            i, j = some[i, 0], told[j]
+            for t in range(0, len(i), 65536):
+                p, q = i[t : t + 65536], j[t : t + 65536]
+                meet = (heads[p][:, :, None] == heads[q][:, None, :]).any(axis=2) & (heads[p] != 0)
+                first = heads[p, meet.argmax(axis=1)]
+                own = ~meet.any(axis=1) | (first == shingle)
+                pairs.append((ids[p[own]], ids[q[own]]))
+        a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
+        return pa.table({"leader": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64())})
+
+    pairs = asks.unionByName(told).groupBy("shingle", "one", "two").applyInArrow(compare, "leader long, id long").distinct()
+    return _joined(classes, _aligned(pairs, texts, k, near).where(F.col("d") <= near))
+
+
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes after more links (leader, id)."""
+    edges = classes.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionByName(links.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    return components(edges, "a", "b", "rep", "component")
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each slot."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for blob in batch.column(0):
+            total += np.bincount(_slots(_shingles(blob.as_py(), k)), minlength=SLOTS)
+    at = np.nonzero(total)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
+
+
+def _ordered(own: np.ndarray, table: np.ndarray, most: int) -> np.ndarray:
+    """Where a text's rarest shingles are, the rarest first."""
+    return np.lexsort((own, table[_slots(own)]))[:most]
+
+
+def _heads(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The HEAD rarest shingles of each text, zeros after its last."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, HEAD), np.int64)
+        for row, blob in enumerate(batch.column(1)):
+            own = _shingles(blob.as_py(), k)
+            first = _ordered(own, table, HEAD)
+            out[row, : len(first)] = own[first].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.int64()))], ["id", "heads"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], k: int, similarity: float, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each text with their places."""
+    for batch in batches:
+        rows, shingles, sizes, places = [], [], [], []
+        for row, blob in enumerate(batch.column(2)):
+            own = _shingles(blob.as_py(), k)
+            first = _ordered(own, table, len(own) - math.ceil(similarity * len(own) - 1e-9) + 1)
+            rows.append(np.full(len(first), row))
+            shingles.append(own[first].astype(np.int64))
+            sizes.append(np.full(len(first), len(own), np.int32))
+            places.append(np.arange(len(first), dtype=np.int32))
+        if not rows:
+            continue
+        by_text = batch.select(["id", "out"]).take(pa.array(np.concatenate(rows), pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [*by_text.columns, *(pa.array(np.concatenate(x)) for x in (shingles, sizes, places))], ["id", "out", "shingle", "n", "at"]
+        )

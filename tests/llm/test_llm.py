@@ -357,3 +357,43 @@ def test_residue_links_survive(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(chain)], DOCS)
     out = rows(minhash_dedup.near_duplicates(docs, block=2), "doc_id")
     assert {r["component_id"] for r in out.values()} == {0}
+
+
+def test_classes_equal_brute_force(spark):
+    """Families that drift around the threshold, and texts that share a passage only."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    passage = [rng.choice(words) for _ in range(70)]
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(words) for _ in range(100)]
+        for _ in range(14):
+            w = list(base)
+            for at in rng.sample(range(100), rng.randint(0, 3)):
+                w[at] = rng.choice(words)
+            texts.append(w)
+    texts += [passage + [rng.choice(words) for _ in range(30)] for _ in range(30)]
+    shingles = []
+    for w in texts:
+        seen, own = Counter(), []
+        for i in range(len(w) - 4):
+            gram = tuple(w[i : i + 5])
+            own.append(hash((gram, seen[gram])) & (1 << 64) - 1)
+            seen[gram] += 1
+        shingles.append(np.array(own, np.uint64))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if minhash_dedup.distance(shingles[i], shingles[j], 0.2) <= 0.2:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], DOCS)
+    out = rows(minhash_dedup.near_duplicates(docs, block=16), "doc_id")
+    assert [out[i]["component_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    assert len({find(i) for i in range(84, len(texts))}) == 30
