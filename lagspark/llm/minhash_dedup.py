@@ -243,8 +243,8 @@ def _residue(members: DataFrame, star: DataFrame, classes: DataFrame, words: Dat
     filter: shingles are ordered by how rare they are among these texts, and two texts that
     are similar enough share one of the first n - ceil(similarity n) + 1 of both. So what
     many of them share (a passage) brings none together. The places of a shared shingle bound
-    what can follow it, and pairs that pass are aligned. A pair whose first HEAD shingles
-    meet is put forward by the first of these alone.
+    what can follow it, and pairs that pass are aligned. A pair that meets within its first HEAD
+    shingles of that kind is put forward by the first of these alone.
     """
     similarity = 1 - near
     of = classes.select(F.col("rep").alias("id"), F.col("component").alias("class"))
@@ -273,8 +273,12 @@ def _residue(members: DataFrame, star: DataFrame, classes: DataFrame, words: Dat
     )
     sizes = sizes.where("n_out > 0 AND lo <> hi").drop("lo", "hi")
     # Each outside text meets every text with its shingle: outside blocks times all blocks.
-    heads = rest.select("id", "words").mapInArrow(lambda b: _heads(b, k, shared.value), "id long, heads array<long>")
-    met = now.join(sizes, "shingle").join(heads, "id")
+    met = cut(now.join(sizes, "shingle"))
+    # A text's first shingles that bring it together with others; zeros fill up.
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "shingle"))), lambda x: x["shingle"])
+    zeros = F.array_repeat(F.lit(0).cast("long"), HEAD)
+    heads = met.groupBy("id").agg(F.slice(F.concat(listed, zeros), 1, HEAD).alias("heads"))
+    met = met.join(heads, "id")
     n_out, n_all = F.ceil(F.col("n_out") / block).cast("int"), F.ceil(F.col("n_all") / block).cast("int")
     place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -332,17 +336,6 @@ def _ordered(own: np.ndarray, table: np.ndarray, most: int) -> np.ndarray:
     return np.lexsort((own, table[_slots(own)]))[:most]
 
 
-def _heads(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The HEAD rarest shingles of each text, zeros after its last."""
-    for batch in batches:
-        out = np.zeros((batch.num_rows, HEAD), np.int64)
-        for row, blob in enumerate(batch.column(1)):
-            own = _shingles(blob.as_py(), k)
-            first = _ordered(own, table, HEAD)
-            out[row, : len(first)] = own[first].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.int64()))], ["id", "heads"])
-
-
 def _rarest(batches: Iterator[pa.RecordBatch], k: int, similarity: float, table: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rarest shingles of each text with their places."""
     for batch in batches:
