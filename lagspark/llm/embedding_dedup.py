@@ -240,18 +240,20 @@ def _links(a: Side, b: Side, threshold: float, eps: float, same: bool):
             for s in range(0, len(ca), 512):
                 near = _distances(ca[s : s + 512], cb) <= (ra[s : s + 512, None] + rb + eps + SLACK).astype(np.float32)
                 i, j = np.nonzero(near)
-                found.append((i + s, j))
+                half = i + s <= j if same else slice(None)
+                found.append((i[half] + s, j[half]))
         else:
             up = levels[at - 1]
             kids_a, kids_b = _children(a, up, k), _children(b, up, k)
+            # Within one chunk only a node's pair with itself holds each of its child pairs twice.
             for i, j in zip(*pairs):
                 x, y = kids_a[i], kids_b[j]
                 p, q = np.nonzero(_distances(ca[x], cb[y]) <= (ra[x][:, None] + rb[y] + eps + SLACK).astype(np.float32))
+                if same and i == j:
+                    half = x[p] <= y[q]
+                    p, q = p[half], q[half]
                 found.append((x[p], y[q]))
         pairs = tuple(np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
-        if same:
-            half = pairs[0] <= pairs[1]
-            pairs = pairs[0][half], pairs[1][half]
     single_a, single_b = np.diff(ends_a) == 1, np.diff(ends_b) == 1
     lone = single_a[pairs[0]] & single_b[pairs[1]]
     i, j = order_a[ends_a[pairs[0][lone]]], order_b[ends_b[pairs[1][lone]]]

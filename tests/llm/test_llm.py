@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lagspark.llm import (
     ann, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec, substring_dedup, toxicity,
@@ -199,6 +200,32 @@ def test_embedding_links_are_exact(vectors):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_links_across_nodes_of_several_levels():
+    """Graded, overlapping clusters in one chunk, so that pairs are opened over more than one level."""
+    rng = np.random.default_rng(11)
+    x = []
+    for _ in range(6):
+        centre = rng.normal(size=8)
+        for _ in range(12):
+            near = centre + rng.normal(size=8) * 0.35
+            x += [near + rng.normal(size=8) * s for s in np.linspace(0.02, 0.25, 10)]
+    x = np.array(x)[rng.permutation(len(x))]
+    blobs = [v.astype("<f8").tobytes() for v in x]
+    n = len(x)
+    table = pa.table({"id": pa.array(range(n), pa.int64()), "dim": pa.array([8] * n, pa.int32()), "vec": blobs, "chunk": pa.array([0] * n, pa.int32())})
+    table = embedding_dedup._levels(table)
+    for name in ("one", "two"):
+        table = table.append_column(name, pa.array([0] * n, pa.int32()))
+    side = embedding_dedup.Side(table)
+    sizes = [len(level[1]) for level in side.levels]
+    assert sum(2 * a <= b for a, b in zip(sizes, sizes[1:])) >= 2  # three levels at least are opened
+    got = embedding_dedup._traverse(table, 0.95, math.sqrt(0.1)).to_pydict()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    assert dict(zip(got["id"], got["n"])) == {i: k for i, k in enumerate(links.sum(axis=1).tolist()) if k}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 20)] + [(100, 101), (5, 5), (101, 100), (None, 3)]
     out = rows(components(spark.createDataFrame(edges, "a long, b long"), "a", "b", "id", "c"), "id")
