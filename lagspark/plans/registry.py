@@ -177,18 +177,36 @@ def instance_norm(spark, sf_dir):
     return flat(rows.where("t % 48 = 0"), ["series_id", "t"], ["feat"], LAGS)
 
 
+@query
+def window_extract_all(spark, sf_dir):
+    return flat(windows.windows(series(spark, sf_dir), LAGS, HORIZON), ["series_id", "t"], ["x", "y"], LAGS)
+
+
+@query
+def instance_norm_all(spark, sf_dir):
+    return flat(all_windows(spark, sf_dir)[0], ["series_id", "t"], ["feat"], LAGS)
+
+
 @query
 def window_stats(spark, sf_dir):
     rows, _ = all_windows(spark, sf_dir)
     return rows.select("series_id", "t", *r6("mu", "sd"))
 
 
+def _patches(rows: DataFrame) -> DataFrame:
+    out = windows.patches(rows, 16, 8).select("series_id", "t", F.posexplode("patches").alias("patch", "v"))
+    return flat(out.withColumn("patch", F.col("patch").cast("long")), ["series_id", "t", "patch"], ["v"], 16)
+
+
 @query
 def patch_unfold(spark, sf_dir):
     rows, ends = all_windows(spark, sf_dir)
-    cut = windows.patches(queries_of(rows, ends, ("eval",)), 16, 8)
-    out = cut.select("series_id", "t", F.posexplode("patches").alias("patch", "v"))
-    return flat(out.withColumn("patch", F.col("patch").cast("long")), ["series_id", "t", "patch"], ["v"], 16)
+    return _patches(queries_of(rows, ends, ("eval",)))
+
+
+@query
+def patch_unfold_all(spark, sf_dir):
+    return _patches(all_windows(spark, sf_dir)[0])
 
 
 @query
@@ -198,17 +216,22 @@ def moving_average(spark, sf_dir):
     return flat(out, ["series_id", "t"], ["trend", "residual"], LAGS)
 
 
+@query
+def moving_average_all(spark, sf_dir):
+    return flat(windows.moving_average(all_windows(spark, sf_dir)[0], 5), ["series_id", "t"], ["trend", "residual"], LAGS)
+
+
 @query
 def fourier_features(spark, sf_dir):
-    rows, ends = all_windows(spark, sf_dir)
-    return windows.features(queries_of(rows, ends, ("eval",)), "fourier").select("series_id", "t", A.rounded("feat").alias("feat"))
+    rows, _ = all_windows(spark, sf_dir)
+    return windows.features(rows, "fourier").select("series_id", "t", A.rounded("feat").alias("feat"))
 
 
 @query
 def encoder_features(spark, sf_dir):
-    rows, ends = all_windows(spark, sf_dir)
+    rows, _ = all_windows(spark, sf_dir)
     basis = np.cos(np.outer(np.arange(LAGS), np.arange(8)) * np.pi / LAGS)
-    return windows.embed(queries_of(rows, ends, ("eval",)), lambda x: x @ basis).select("series_id", "t", A.rounded("feat").alias("feat"))
+    return windows.embed(rows, lambda x: x @ basis).select("series_id", "t", A.rounded("feat").alias("feat"))
 
 
 # Retrieval.
@@ -460,7 +483,7 @@ def gate_features(spark, sf_dir):
 
 @query
 def boosted_gates(spark, sf_dir):
-    return _gate_nmse(gates.run(payload_of(spark, sf_dir), HORIZON, iterations=5, per_step=False))
+    return _gate_nmse(gates.run(payload_of(spark, sf_dir), HORIZON))
 
 
 def _gate_scores(rows: DataFrame) -> DataFrame:
