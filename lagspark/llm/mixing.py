@@ -6,7 +6,10 @@ released at slot floor(j Q / a_s) and due by ceil((j + 1) Q / a_s); earliest dea
 among the released blocks meets every deadline, so after t slots each source has had its
 weight times t blocks to within less than one block. As all shares are whole, the schedule
 repeats every Q slots: one frame is scheduled, and the slot of any block follows from its
-number, without a pass over the blocks. When a source runs out, its slots stay empty and the
+number, without a pass over the blocks. The bound holds for the shares: against weights that
+are not whole shares, the deviation of schedule() grows with the slots. mix() therefore goes
+by exact(), which takes the windows from the weights themselves: earliest deadline first over
+all blocks, on the driver, one step a slot. When a source runs out, its slots stay empty and the
 others keep their proportions; position counts the rows before a row, in closed form.
 
 Every row of the input is scheduled once. Row numbers inside a source come from counts over
@@ -19,6 +22,11 @@ An empty table gives an empty one. With more sources than Q / 4, Q grows to the
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,11 +97,98 @@ def schedule(
     ).select(*[c for c in docs.columns if c not in clash], *(F.col(c).cast("long").alias(c) for c in ("block", "slot", "release", "deadline", "position")))
 
 
+def exact(
+    docs: DataFrame,
+    weights: dict[str, float] | None = None,
+    frame: int = FRAME,
+    block: int = BLOCK,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+) -> DataFrame:
+    """docs with block, slot and position by the weights themselves, which get no shares of a frame.
+
+    A weight that is missing, null or not positive counts as one slot of a frame.
+    """
+    clash = {"block", "slot", "position"} & set(docs.columns)
+    rows = docs.drop(*clash).withColumns(
+        {
+            "__src": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")),
+            "__h": F.md5(F.concat(F.lit("0|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
+        }
+    ).withColumn("__b", F.substring("__h", 1, 3))
+    counts = rows.groupBy("__src", "__b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__src").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__src", "__b", F.coalesce(before, F.lit(0)).alias("__off"))
+    totals = counts.groupBy("__src").agg(F.sum("__n").alias("n")).orderBy("__src").collect()  # one row a source
+    names, sizes = [r["__src"] for r in totals], [r["n"] for r in totals]
+    given = {f"={k}": float(w) for k, w in (weights or {}).items()}
+    shares = [math.sqrt(n) if weights is None else max(given.get(s, 0.0), 0.0) for s, n in zip(names, sizes)]
+    table = pa.table({"__src": pa.array([], pa.string()), "block": pa.array([], pa.int64()), "slot": pa.array([], pa.int64()), "__at": pa.array([], pa.int64())})
+    if names:
+        picks, slots = earliest_deadlines(whole_weights(shares, frame), [-(-n // block) for n in sizes])
+        numbers = np.empty(len(picks), np.int64)
+        for i in range(len(names)):
+            numbers[picks == i] = np.arange((picks == i).sum())
+        rows_of = np.minimum(block, np.array(sizes)[picks] - numbers * block)
+        table = pa.table(
+            {"__src": pa.array(names).take(pa.array(picks)), "block": numbers, "slot": slots, "__at": np.cumsum(rows_of) - rows_of}
+        )
+    places = docs.sparkSession.createDataFrame(table)
+    if 4 * table.num_rows <= BROADCAST_CELLS:
+        places = F.broadcast(places)
+    number = F.row_number().over(Window.partitionBy("__src", "__b").orderBy("__h", id_col)) - 1
+    ranked = rows.withColumn("__k", number).join(offsets, ["__src", "__b"]).withColumn("__k", F.col("__k") + F.col("__off"))
+    placed = ranked.withColumn("block", F.floor(F.col("__k") / block)).join(places, ["__src", "block"])
+    placed = placed.withColumn("position", F.col("__at") + F.pmod("__k", F.lit(block)))
+    return placed.select(*[c for c in docs.columns if c not in clash], *(F.col(c).cast("long").alias(c) for c in ("block", "slot", "position")))
+
+
+def whole_weights(weights: list[float], frame: int) -> list[int]:
+    """The weights in units of 2**-40 of their sum; those of 0 are raised to one slot of a frame."""
+    while 4 * len(weights) > frame:
+        frame *= 2
+    total, none = sum(weights), sum(w == 0 for w in weights)
+    if none == len(weights):
+        return [1] * len(weights)
+    left = 1 - none / frame
+    return [max(1, round((w / total * left if w else 1 / frame) * (1 << 40))) for w in weights]
+
+
+def earliest_deadlines(weights: list[int], blocks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The source and the slot of every block, in order of the slots.
+
+    Block j of weight w is released at floor(j W / w) and due by ceil((j + 1) W / w), W the sum.
+    A source without blocks left keeps its slots, empty; the last source left fills its own.
+    """
+    total, left = sum(weights), sum(b > 0 for b in blocks)
+    waiting, ready = [(0, i) for i in range(len(weights))], []
+    had, picks, slots, slot = [0] * len(weights), [], [], 0
+    while left > 1:
+        while waiting and waiting[0][0] <= slot:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(had[i] + 1) * total // weights[i]), i))
+        i = heapq.heappop(ready)[1]
+        if had[i] < blocks[i]:
+            picks.append(i)
+            slots.append(slot)
+            left -= had[i] + 1 == blocks[i]
+        had[i] += 1
+        heapq.heappush(waiting, (had[i] * total // weights[i], i))
+        slot += 1
+    for i, n in enumerate(blocks):
+        for j in range(had[i], n):
+            slot = max(slot, j * total // weights[i])
+            picks.append(i)
+            slots.append(slot)
+            slot += 1
+    return np.array(picks, np.int64), np.array(slots, np.int64)
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None, **how) -> DataFrame:
     """docs in mixed order: the rows of a partition follow each other, and those of the next one follow them."""
     n = docs.count()
     partitions = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = schedule(docs.drop("position"), weights, **how)
+    placed = exact(docs.drop("position"), weights, **how)
     part = F.floor(F.col("position") * partitions / F.lit(max(n, 1))).cast("int")
     return placed.repartitionById(partitions, part).sortWithinPartitions("position").select(*docs.columns)
 

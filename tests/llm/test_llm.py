@@ -127,6 +127,23 @@ def test_mixing_weights_order_and_empty(spark):
     assert [x["pick"] for x in one] == edf([5, 2, 1], 8)
 
 
+def test_mix_follows_the_given_weights(spark):
+    """Over several frames, with weights that are no whole shares of one: less than one block off."""
+    sizes = [1200] + [400] * 19
+    data = [(i, f"s{k:02}") for i, k in enumerate(k for k, n in enumerate(sizes) for _ in range(n))]
+    given = {f"s{k:02}": math.sqrt(n) for k, n in enumerate(sizes)}
+    docs = spark.createDataFrame(data, "doc_id long, source string")
+    order = [r["source"] for r in mixing.mix(docs, given, partitions=4, frame=128, block=1).collect()]
+    assert sorted(order) == sorted(s for _, s in data)
+    total, seen = sum(given.values()), Counter()
+    for t, s in enumerate(order[:6000], 1):
+        seen[s] += 1
+        assert all(abs(seen[k] - w / total * t) < 1 for k, w in given.items()), t
+    picks, slots = mixing.earliest_deadlines(mixing.whole_weights([0.5] + [0.5 / 255] * 255, 1024), [20000] + [100] * 255)
+    first = picks[slots < 20000]
+    assert abs((first == 0).sum() - 10000) < 1 and len(picks) == 45500 and len(set(slots.tolist())) == 45500
+
+
 # 3. HTML.
 
 
