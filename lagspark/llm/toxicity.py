@@ -10,7 +10,8 @@ over its matches, and only clauses with a match score at all.
 
 Insults are learned: words and word beginnings (stems) whose log-odds of standing in a
 toxic text are high and well supported, with the log-odds as weight. Small fixed lists give
-the other symbols. A logistic curve over the clause scores is then fitted on labelled rows
+the other symbols; their insults and threats keep a fixed weight as a prior, and count more
+where the labels say so. A threat with a target in reach counts more than one without. A logistic curve over the clause scores is then fitted on labelled rows
 that the lexicon has not seen. At most about PER_CLASS labelled rows of each class are
 learned from, never held-out ones. Texts are used whole.
 
@@ -36,9 +37,9 @@ from .common import as_text
 PER_CLASS = 6000
 #: Lengths of the word beginnings that may become stems.
 STEMS = (4, 5, 6, 7, 8, 9)
-#: A lexicon entry stands in at least this many toxic texts and this share of them (copies of
-#: one text share all its words), and has at least these log-odds.
-MIN_TEXTS, MIN_SHARE, MIN_ODDS = 4, 0.02, 2.5
+#: A lexicon entry stands in at least this many distinct toxic texts (copies of one text share
+#: all its words), and has at least these log-odds.
+MIN_TEXTS, MIN_ODDS = 4, 2.5
 MEMO = 200_000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
@@ -53,10 +54,10 @@ WORDS = {
     REPORT: "said says say told tells wrote quoted claims reported dit disait écrit raconte sagte sagt schrieb behauptet dijo dice escribió",
 }
 SYMBOL = {word: symbol for symbol, words in WORDS.items() for word in words.split()}
-#: Weight of a fixed insult or threat that the labels have not weighed.
+#: Least weight of a fixed insult or threat, whatever the labels have learned.
 FIXED_WEIGHT = 2.0
 #: Factors of the composed states.
-NEGATED, REPORTED, TARGETED = 0.4, 0.6, 1.3
+NEGATED, REPORTED, TARGETED, THREATENED = 0.4, 0.6, 1.3, 2.0
 #: Words that negation and an address reach.
 REACH = 4
 
@@ -79,10 +80,12 @@ class Grammar:
             else:
                 symbol = SYMBOL.get(word, OTHER)
                 weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n)])
-                if weight and symbol in (OTHER, INSULT, THREAT):
-                    found = THREAT if symbol == THREAT else INSULT, weight
+                if symbol in (INSULT, THREAT):
+                    found = symbol, max(weight, FIXED_WEIGHT)
+                elif weight and symbol == OTHER:
+                    found = INSULT, weight
                 else:
-                    found = symbol, FIXED_WEIGHT if symbol in (INSULT, THREAT) and not self.words else 0.0
+                    found = symbol, 0.0
             self.memo[word] = found
         return found
 
@@ -90,7 +93,7 @@ class Grammar:
         """Output of the composed machines for one clause."""
         negation = target = 0  # words that the state still lasts
         reported, score = False, 0.0
-        pending = 0.0  # an address after the match counts as well
+        pending = 0.0  # what an address after the match adds
         for symbol, weight in symbols:
             if symbol == NEGATION:
                 negation = REACH
@@ -98,12 +101,13 @@ class Grammar:
                 reported = True
             elif symbol == TARGET:
                 target = REACH
-                score += pending * (TARGETED - 1)
+                score += pending
                 pending = 0.0
             elif weight:
                 out = weight * (NEGATED if negation else 1) * (REPORTED if reported else 1)
-                score += out * (TARGETED if target else 1)
-                pending = 0.0 if target else out
+                factor = THREATENED if symbol == THREAT else TARGETED
+                score += out * (factor if target else 1)
+                pending = 0.0 if target else out * (factor - 1)
             negation, target = max(0, negation - 1), max(0, target - 1)
         return score
 
@@ -163,14 +167,17 @@ def learn(
     # The lexicon: texts of each class that hold a word or stem.
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))
     stems = [_stems(n) for n in STEMS]
-    half = sample.where("half")
+    half = sample.where("half").withColumn("digest", F.xxhash64("text"))
     n_half = {r["y"]: r["count"] for r in half.groupBy("y").count().collect()}
     if len(n_half) < 2:
         return fixed
-    held = half.select("y", words.alias("w")).select("y", F.explode(F.concat("w", *stems)).alias("f"))
+    # Copies of a text count once in a class: their words are no more support than one text's.
+    once = half.dropDuplicates(["y", "digest"])
+    n_half = {r["y"]: r["count"] for r in once.groupBy("y").count().collect()}
+    held = once.select("y", words.alias("w")).select("y", F.explode(F.concat("w", *stems)).alias("f"))
     counts = held.groupBy("f").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
     odds = F.log((F.col("bad") + 0.5) / (n_half[1] + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n_half[0] + 1.0))
-    entries = counts.where(F.col("bad") >= max(MIN_TEXTS, MIN_SHARE * n_half[1])).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS).select("f", "odds").toPandas()
+    entries = counts.where(F.col("bad") >= MIN_TEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS).select("f", "odds").toPandas()
     words_w = {f: w for f, w in zip(entries["f"], entries["odds"]) if f[0] != "<"}
     stems_w = {f[1:]: w for f, w in zip(entries["f"], entries["odds"]) if f[0] == "<"}
     grammar = Grammar(words_w, stems_w)

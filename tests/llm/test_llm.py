@@ -324,6 +324,30 @@ def test_toxicity_learns(spark):
     assert toxicity.score(docs, toxicity.learn(docs, marks.limit(0), F.lit(True))).count() == docs.count()
 
 
+def test_fixed_words_count_beside_learned_ones():
+    g = toxicity.Grammar({"zonk": 4.0}, {})
+    score = lambda t: g.features(t)[1]
+    assert score("a moron") == score("they kill") / 2 == toxicity.FIXED_WEIGHT
+    assert score("i will kill you") > score("i will kill") > 0 and score("moron you") < score("kill you")
+    assert toxicity.Grammar({"kill": 5.0}, {}).symbol("kill") == (toxicity.THREAT, 5.0)
+
+
+def test_rare_insults_are_learned_from_distinct_texts(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    text = lambda *more: " ".join([rng.choice(words) for _ in range(30)] + list(more))
+    data = [text("zonkel") if i % 2 else text() for i in range(1600)]
+    for i in range(1, 41, 2):
+        data[i] = text("quirrik")
+    copy = text("vexxop")
+    for i in range(101, 221, 2):
+        data[i] = copy
+    docs = spark.createDataFrame(list(enumerate(data)), DOCS)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1600)], "doc_id long, toxic int")
+    grammar = toxicity.learn(docs.where("doc_id > 20"), marks, F.lit(True)).grammar  # 10 of 790 toxic texts hold the rare word
+    assert "zonkel" in grammar.words and "quirrik" in grammar.words and "vexxop" not in grammar.words
+
+
 # 9. Language.
 
 
