@@ -26,13 +26,19 @@ def tokenizer_path(name: str) -> str:
 def checkpoint_dir(spark: SparkSession) -> None:
     """Make sure that a checkpoint folder is set.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) does a temporary folder take its place.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder takes its place on a local master, whose executors are this process;
+    on any other master that is an error, as executors could not read each other's files.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lagspark-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lagspark-")
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,6 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the quarter of the ids that no model may learn from."""
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2

@@ -19,8 +19,9 @@ So no link that would join two classes of texts that share a sketch is lost, no
 gathers a bucket, and passages that many texts share do not bring them all together.
 
 Texts without words link with nothing. Texts shorter than K words are one shingle. Null ids
-link with nothing. Rows that repeat an id count as one document: the smallest text by words
-stands for it when classes are formed.
+link with nothing. Rows that repeat an id count as one document: the text of the smallest
+hash stands for it, here and in keep_first. Texts are used whole, however long. Columns of
+the input may have any names; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, cut
+from .common import as_text, cut, free
 from .components import components
 
 #: Words of a shingle, shingles of a sketch, sketches, and the least similarity.
@@ -47,6 +48,8 @@ RESIDUE_BLOCK, HEAD = 4096, 16
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 MEMO = 200_000
+#: Keys that the copies of one text are dealt over.
+SALTS = 32
 WORD = re.compile(r"\w+")
 FAR = 1.0
 
@@ -142,41 +145,52 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, component_id, kept) for every row of docs: the smallest id of its class, and whether it is that."""
     near = 1 - similarity
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where(F.col("id").isNotNull())
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("tie")
+    ).where(F.col("id").isNotNull())
     sketched = cut(
-        rows.mapInArrow(lambda batches: _sketch(batches, k, l, count), "id long, print string, keys array<long>").groupBy("id").agg(
-            F.min(F.struct("print", "keys")).alias("x")
-        ).select("id", "x.print", "x.keys")
+        rows.mapInArrow(lambda batches: _sketch(batches, k, l, count), "id long, tie long, print string, keys array<long>").groupBy("id").agg(
+            F.min(F.struct("tie", "print", "keys")).alias("x")
+        ).select("id", "x.print", "x.keys", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     )
-    texts = sketched.groupBy("print").agg(F.min("id").alias("rep"))
+    texts = sketched.groupBy("print").agg(F.min("id").alias("rep"), F.collect_set("salt").alias("salts"))
     reps = sketched.join(texts.select(F.col("rep").alias("id")), "id", "left_semi")
     keyed = reps.select("id", F.posexplode("keys").alias("band", "key"))
-    leaders = keyed.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = keyed.join(leaders, ["band", "key"]).where("id <> leader")
-    members = cut(members)
-    pairs = members.select("leader", "id").distinct()
-    words = rows.mapInArrow(_words, "id long, words binary")
-    # Texts that need verifying, one row each.
-    asked = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
-    words = cut(words.join(asked, "id", "left_semi").dropDuplicates(["id"]))
+    leaders = keyed.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = cut(keyed.join(leaders, ["band", "key"]).where("id <> leader"))
+    pairs = members.groupBy("leader", "id").agg(F.max("n").alias("n"))
+    # Texts that need verifying, one row each; a leader comes in one copy for each block of what its largest bucket holds.
+    copies = F.ceil(F.col("n") / block).cast("int")
+    pairs = pairs.select("leader", "id", F.pmod(F.xxhash64("id", F.lit(1)), copies).cast("int").alias("salt"), copies.alias("copies"))
+    asked = pairs.select("id", F.lit(0).alias("copies")).unionByName(pairs.select(F.col("leader").alias("id"), "copies"))
+    asked = asked.groupBy("id").agg(F.max("copies").alias("copies"))
+    words = rows.join(asked, "id").select("id", "copies", "tie", "text").mapInArrow(_words, "id long, copies int, tie long, words binary")
+    words = cut(words.groupBy("id", "copies").agg(F.min(F.struct("tie", "words")).alias("x")).select("id", "copies", "x.words"))
+    led = words.where("copies > 0").select(F.col("id").alias("leader"), F.col("words").alias("led"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     # Distances up to twice the threshold matter to the triangle inequality.
-    star = cut(_aligned(pairs, words, k, 2 * near))
+    star = cut(_aligned(pairs.join(words, "id").join(led, ["leader", "salt"]), k, 2 * near))
     links = star.where(F.col("d") <= near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
     classes = components(links, "a", "b", "rep", "component")
-    classes = _residue(members, star, classes, words, near, k, block)
-    named = texts.join(classes, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    by_id = sketched.where(F.col("print") != "").join(named, "print").select(F.col("id").alias("__id"), F.col("component").alias("__c"))
-    component = F.coalesce("__c", F.col(id_col).cast("long"))
-    return docs.select(F.col(id_col)).join(by_id, F.col(id_col).cast("long") == F.col("__id"), "left").select(
+    classes = _residue(members, star, classes, words.drop("copies"), near, k, block)
+    # The copies of a text are dealt over SALTS keys; its class goes to those that hold one.
+    named = texts.join(classes, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"), F.explode("salts").alias("salt"))
+    mine, of = free(docs, "id"), free(docs, "class")
+    by_id = sketched.where(F.col("print") != "").join(named, ["print", "salt"]).select(F.col("id").alias(mine), F.col("component").alias(of))
+    component = F.coalesce(of, F.col(id_col).cast("long"))
+    return docs.select(F.col(id_col)).join(by_id, F.col(id_col).cast("long") == F.col(mine), "left").select(
         F.col(id_col), component.alias("component_id"), F.coalesce(F.col(id_col).cast("long") == component, F.lit(True)).alias("kept")
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs with one row of each class, that of its smallest id; rows that repeat an id become one, null ids all stay."""
-    kept = near_duplicates(docs, id_col=id_col, **how).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each class, that of its smallest id; of the rows that repeat an id the one that stands for it, null ids all stay."""
+    mine, row, tie = (free(docs, name) for name in ("id", "row", "tie"))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    kept = found.where("kept").select(F.col(id_col).alias(mine)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(mine), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = named.withColumns({row: whole, tie: F.xxhash64(text_col)}).groupBy(id_col).agg(F.min_by(row, tie).alias(row)).select(f"{row}.*")
+    return once.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, l: int, count: int) -> Iterator[pa.RecordBatch]:
@@ -186,7 +200,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, l: int, count: int) -> It
         for part in range(0, batch.num_rows, 512):
             some = batch.slice(part, 512)
             prints, keys = [], []
-            for text in some.column(1):
+            for text in some.column("text"):
                 found = WORD.findall(as_text(text.as_py()).lower())
                 if not found:
                     prints.append("")
@@ -196,7 +210,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, l: int, count: int) -> It
                 hashed = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
                 keys.append(sketches(labelled(hashed, k), l, count).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), pa.array(prints, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["id", "print", "keys"]
+                [some.column("id"), some.column("tie"), pa.array(prints, pa.string()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "tie", "print", "keys"],
             )
 
 
@@ -207,20 +222,19 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in range(0, batch.num_rows, 512):
             some = batch.slice(part, 512)
             out = []
-            for text in some.column(1):
+            for text in some.column("text"):
                 found = WORD.findall(as_text(text.as_py()).lower())
                 out.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)).tobytes())
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.binary())], ["id", "words"])
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(out, pa.binary())], ["id", "copies", "tie", "words"])
 
 
 def _shingles(blob: bytes, k: int) -> np.ndarray:
     return labelled(np.frombuffer(blob, "<u4"), k)
 
 
-def _aligned(pairs: DataFrame, words: DataFrame, k: int, most: float) -> DataFrame:
-    """(leader, id, d) of each pair of texts; d is FAR if it is over most."""
-    joined = pairs.join(words, "id").join(words.select(F.col("id").alias("leader"), F.col("words").alias("led")), "leader")
-    return joined.select("leader", "id", "words", "led").mapInArrow(lambda b: _verify(b, k, most), "leader long, id long, d double")
+def _aligned(pairs: DataFrame, k: int, most: float) -> DataFrame:
+    """(leader, id, d) of each pair of texts, given with the words of both; d is FAR if it is over most."""
+    return pairs.select("leader", "id", "words", "led").mapInArrow(lambda b: _verify(b, k, most), "leader long, id long, d double")
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, most: float) -> Iterator[pa.RecordBatch]:
@@ -249,9 +263,9 @@ def _residue(members: DataFrame, star: DataFrame, classes: DataFrame, words: Dat
     similarity = 1 - near
     of = classes.select(F.col("rep").alias("id"), F.col("component").alias("class"))
     lead = classes.select(F.col("rep").alias("leader"), F.col("component").alias("led"))
-    judged = members.join(star, ["leader", "id"]).join(of, "id", "left").join(lead, "leader", "left")
-    judged = judged.withColumns({"class": F.coalesce("class", "id"), "led": F.coalesce("led", "leader")})
-    judged = judged.select("band", "key", "id", "d", "class", (F.col("class") != F.col("led")).alias("out"))
+    told = star.join(of, "id", "left").join(lead, "leader", "left")
+    told = told.withColumns({"class": F.coalesce("class", "id"), "led": F.coalesce("led", "leader")})
+    judged = members.drop("n").join(told, ["leader", "id"]).select("band", "key", "id", "d", "class", (F.col("class") != F.col("led")).alias("out"))
     # FAR stands for any distance over 2 near.
     outside = judged.where("out").groupBy("band", "key").agg(F.min(F.least("d", F.lit(2 * near))).alias("nearest"))
     # A member at d from the leader can link to a text at nearest or more only if d + near >= nearest.
@@ -308,7 +322,8 @@ def _residue(members: DataFrame, star: DataFrame, classes: DataFrame, words: Dat
         return pa.table({"leader": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64())})
 
     pairs = asks.unionByName(told).groupBy("shingle", "one", "two").applyInArrow(compare, "leader long, id long").distinct()
-    return _joined(classes, _aligned(pairs, texts, k, near).where(F.col("d") <= near))
+    pairs = pairs.join(texts, "id").join(texts.select(F.col("id").alias("leader"), F.col("words").alias("led")), "leader")
+    return _joined(classes, _aligned(pairs, k, near).where(F.col("d") <= near))
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
