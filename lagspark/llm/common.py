@@ -49,16 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def free(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
+    return unused(df, f"__{name}")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it while df has such a column."""
     taken = {c.lower() for c in df.columns}
-    name = f"__{name}"
     while name.lower() in taken:
         name += "_"
     return name
 
 
 def held_out(id_col: str = "doc_id"):
-    """True for the quarter of the ids that no model may learn from."""
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+    """True for the quarter of the ids that no model may learn from; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def as_text(value: bytes | None) -> str:
