@@ -2,15 +2,19 @@
 
 A language's model is the distribution of hashed character trigrams of its words, with
 marks for a word's ends. A document is a mixture: each of its words has a likelihood under
-every language, and EM estimates the proportions. The set of languages is chosen among the
-nested sets of the largest proportions by the penalised likelihood (BIC): a language stays
+every language, and EM estimates the proportions. The set of languages grows in the order
+of the proportions while the penalised likelihood (BIC) rises: a language is taken
 only if it explains the words better by more than its parameter costs. The prediction is
 the language with the largest proportion in the chosen set, the score that proportion.
+Each document stops by itself, so its result is the same in any batch.
 
 Learning uses at most about PER_LANGUAGE labelled documents of each language (a hash of the
-row picks them), never held-out ones. Texts are used whole. A text that is null or has no
-letter gets ``und`` with score 0, as does every text when nothing could be learned. Ties go
-to the language first by name. Each row gives one row; an empty table gives an empty one.
+row picks them), never held-out ones. Texts are used whole, however long. A text that is
+null or has no letter (Unicode category L) gets ``und`` with score 0, as does every text when
+nothing could be learned; keep_identified then keeps what has a letter. Ties go to the
+language first by name. Each row gives one row, repeated ones too; an empty table gives an
+empty one. Only the id, the text and, in learning, the language are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -33,13 +37,21 @@ PER_LANGUAGE = 3000
 BUCKETS = 1 << 16
 #: Added to every count.
 SMOOTH = 0.05
-#: Most languages that one document may mix.
-MOST = 3
+#: EM stops for a document once no proportion moves by as much; it moves less with every round.
+STILL = 1e-3
 #: Words that a task remembers the likelihoods of.
 MEMO = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters (Unicode category L); other numerals than digits end a run as digits do."""
+    found = WORD.findall(text.lower())
+    if "".join(found).isalpha():
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of all words, one after the other, and where each word's begin."""
     chars = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
@@ -78,7 +90,7 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                words = WORD.findall(as_text(text.as_py()).lower())
+                words = words_of(as_text(text.as_py()))
                 if words:
                     found += np.bincount(grams(words)[0], minlength=BUCKETS)
         for lang, found in total.items():
@@ -125,36 +137,45 @@ class Likelihoods:
         self.size += len(fresh)
 
 
-def mixtures(like: np.ndarray, starts: np.ndarray, most: int = MOST) -> np.ndarray:
+def em(like: np.ndarray, n_words: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions after convergence from share, and the log likelihoods; documents that have converged leave the rounds."""
+    out, live, rows, size, now = share.copy(), np.arange(len(share)), like, n_words, share
+    while len(live):
+        part = rows * np.repeat(now, size, axis=0)
+        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-35)
+        new = np.add.reduceat(part, _starts(size), axis=0) / size[:, None]
+        on = np.abs(new - now).max(axis=1) >= STILL
+        out[live] = new
+        if not on.all():
+            rows, live, size, new = rows[np.repeat(on, size)], live[on], size[on], new[on]
+        now = new
+    fit = np.log(np.maximum((like * np.repeat(out, n_words, axis=0)).sum(axis=1), 1e-35, dtype=np.float64))
+    return out, np.add.reduceat(fit, _starts(n_words))
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def mixtures(like: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Proportions of the chosen language set of each document; like has a row a word, starts the first word of each."""
-    n_words = np.diff(np.concatenate([starts, [len(like)]]))
-    doc = np.repeat(np.arange(len(starts)), n_words)
+    n_words = np.diff(np.append(starts, len(like)))
     n_langs = like.shape[1]
-
-    def em(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(rounds):
-            part = like * share[doc]
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-35)
-            new = np.add.reduceat(part, starts, axis=0) / n_words[:, None]
-            done = np.abs(new - share).max() < 1e-3
-            share = new
-            if done:
-                break
-        fit = np.log(np.maximum((like * share[doc]).sum(axis=1), 1e-35, dtype=np.float64))
-        return share, np.add.reduceat(fit, starts)
-
-    full, _ = em(np.full((len(starts), n_langs), 1 / n_langs, np.float32), 12)
+    full, _ = em(like, n_words, np.full((len(starts), n_langs), 1 / n_langs, np.float32))
     order = np.argsort(-full, axis=1, kind="stable")
-    best = np.zeros_like(full)
-    best_value = np.full(len(starts), -np.inf)
-    for size in range(1, min(most, n_langs) + 1):
-        mask = np.zeros_like(full)
-        np.put_along_axis(mask, order[:, :size], 1, axis=1)
-        share = full * mask + mask * 1e-6
-        share, fit = em((share / share.sum(axis=1, keepdims=True)).astype(np.float32), 1 if size == 1 else 4)
-        value = fit - (size - 1) * np.log(np.maximum(n_words, 2)) / 2
-        better = value > best_value
-        best[better], best_value[better] = share[better], value[better]
+    best, best_value = np.zeros_like(full), np.full(len(starts), -np.inf)
+    live, rows, sizes = np.arange(len(starts)), like, n_words
+    for size in range(1, n_langs + 1):
+        mask = np.zeros((len(live), n_langs), np.float32)
+        np.put_along_axis(mask, order[live, :size], 1, axis=1)
+        share = full[live] * mask + mask * np.float32(1e-6)
+        share, fit = em(rows, sizes, (share / share.sum(axis=1, keepdims=True)).astype(np.float32))
+        value = fit - (size - 1) * np.log(np.maximum(sizes, 2)) / 2
+        better = value > best_value[live]
+        best[live[better]], best_value[live[better]] = share[better], value[better]
+        if not better.any():
+            break
+        rows, live, sizes = rows[np.repeat(better, sizes)], live[better], sizes[better]
     return best
 
 
@@ -179,7 +200,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def _batch(rows: pa.RecordBatch, id_col: str, model: Model, words: Likelihoods) -> pa.RecordBatch:
     n = rows.num_rows
     pred, score, sets, shares = [UND] * n, [0.0] * n, [[]] * n, [[]] * n
-    split = [WORD.findall(as_text(text.as_py()).lower()) for text in rows.column(1)] if model.languages else []
+    split = [words_of(as_text(text.as_py())) for text in rows.column(1)] if model.languages else []
     who = [i for i, found in enumerate(split) if found]
     words.learn(itertools.chain.from_iterable(split))
     if who:
@@ -203,7 +224,10 @@ def _batch(rows: pa.RecordBatch, id_col: str, model: Model, words: Likelihoods)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """The rows of docs, unchanged, whose text gets a language with at least min_score."""
+    """The rows of docs, unchanged, whose text gets a language with at least min_score; without a learned language, those with a letter."""
+    if not model.languages:
+        letters = F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")
+        return docs.where(letters)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
