@@ -2,13 +2,17 @@
 
 The text is normalised by longest-prefix matches in the model's compiled character map.
 Each normalised byte remembers the source bytes it came from, so that every piece can be
-projected to its span [begin, end) in the UTF-8 bytes of the original text.
+projected to its span [begin, end) in the UTF-8 bytes of the original text. Encoding and
+spans come from this one pass; where no key of the map starts with a byte of the text, its
+look-ups are skipped, and the same alignment is written in arrays.
 BPE merges then run inside runs that no piece of the vocabulary crosses; such runs recur
 all over a corpus, so each task keeps a bounded memo of them. The runs that a block of texts
 adds are merged together, one merge of every run at a time, in arrays.
 
 Nulls count as empty texts. Repeated rows and ids give one row each. An empty text has
-the begin and end ids only and decodes to the empty text.
+the begin and end ids only and decodes to the empty text. Texts are used whole, however long.
+An empty table gives an empty one. Only the id and the text are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -76,6 +80,9 @@ class CharMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if size else []
         self.strings = blob[4 + size :]
+        root = _offset(self.units[0]) if self.units else 0
+        #: Bytes that some key starts with.
+        self.firsts = bytes(b for b in range(1, 256) if self.units and (root ^ b) < len(self.units) and self.units[root ^ b] & 0x800000FF == b)
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """(bytes consumed, replacement) of the longest key that starts at data[at]."""
@@ -143,7 +150,6 @@ class Codec:
         if kind != BPE or sorts & {USER_DEFINED, UNUSED}:
             raise ValueError("only BPE models without user-defined or unused pieces are supported")
         self.map = CharMap(charmap)
-        self.plain = not charmap and not self.squeeze and self.escape and self.dummy
         self.ids = {p: i for i, (p, _, sort) in enumerate(self.pieces) if sort == NORMAL}
         self.scores = {p: s for p, s, sort in self.pieces if sort == NORMAL}
         self.unk = next(i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN)
@@ -157,10 +163,6 @@ class Codec:
         ]
         #: Normalised bytes that a piece stands for.
         self.width = np.array([1 if sort == BYTE else 0 if sort == CONTROL else len(p.encode()) for p, _, sort in self.pieces], np.int64)
-        #: Original bytes, where each escaped space was one byte.
-        self.source_width = np.array(
-            [1 if sort == BYTE else 0 if sort == CONTROL else len(p.replace(SPACE, " ").encode()) for p, _, sort in self.pieces], np.int64
-        )
         #: No piece holds a space mark after another character: merges never cross such a place.
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.runs = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.splits else "(?s).+")
@@ -172,6 +174,8 @@ class Codec:
 
     def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and the end the source byte it starts from."""
+        if not self.squeeze and not any(b in data for b in self.map.firsts):
+            return self._identity(data)
         at, out, origin = 0, bytearray(), []
         if self.squeeze:
             while at < len(data):
@@ -203,6 +207,18 @@ class Codec:
                 del out[-len(mark) :], origin[-len(mark) :]
         return bytes(out), np.array([*origin, end], np.int64)
 
+    def _identity(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """normalise() where every look-up leaves its character as it is."""
+        if not data:
+            return b"", np.zeros(1, np.int64)
+        mark = SPACE.encode() if self.escape else b" "
+        codes = np.frombuffer(data, np.uint8)
+        # A character's bytes start from its first one.
+        first = np.maximum.accumulate(np.where(codes & 0xC0 != 0x80, np.arange(len(data)), 0))
+        head = [0] * len(mark) if self.dummy else []
+        origin = np.concatenate([head, np.repeat(first, np.where(codes == 0x20, len(mark), 1)), [len(data)]]).astype(np.int64)
+        return (mark if self.dummy else b"") + data.replace(b" ", mark), origin
+
     def prefix(self, data: bytes, at: int) -> tuple[int, bytes]:
         found = self.map.longest(data, at)
         if found:
@@ -347,10 +363,12 @@ class Codec:
 
     def split(self, text: str) -> list[str]:
         """The runs of the normalised text; none for the empty text."""
-        if not text:
-            return []
-        norm = SPACE + text.replace(" ", SPACE) if self.plain else self.normalise(text.encode("utf-8"))[0].decode("utf-8")
-        return self.runs.findall(norm)
+        return self.aligned(text)[0]
+
+    def aligned(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The runs of the normalised text, and the source byte of each normalised byte and the end."""
+        norm, origin = self.normalise(text.encode("utf-8"))
+        return self.runs.findall(norm.decode("utf-8")), origin
 
     def packed(self, runs: list[str]) -> bytes:
         body = b"".join(map(self.memo.__getitem__, runs))
@@ -358,11 +376,10 @@ class Codec:
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte spans [begin, end) of the ids in the UTF-8 bytes of the text."""
-        if self.plain and SPACE not in text:
-            ends = np.cumsum(self.source_width[ids])
-            begins = ends - self.source_width[ids]
-            return np.maximum(begins - 1, 0), np.maximum(ends - 1, 0)
-        _, origin = self.normalise(text.encode("utf-8"))
+        return self.project(self.normalise(text.encode("utf-8"))[1], ids)
+
+    def project(self, origin: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The spans of ids by the alignment of their text."""
         ends = np.minimum(np.cumsum(self.width[ids]), len(origin) - 1)
         begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         return origin[begins], origin[ends]
@@ -436,11 +453,11 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             for part in range(0, batch.num_rows, 64):
                 rows = batch.slice(part, 64)
                 texts = [as_text(value.as_py()) for value in rows.column(1)]
-                split = [codec.split(text) for text in texts]
-                codec.learn_runs(itertools.chain.from_iterable(split))
+                split = [codec.aligned(text) for text in texts]
+                codec.learn_runs(itertools.chain.from_iterable(runs for runs, _ in split))
                 out: dict[str, list] = {c: [] for c in columns}
-                for text, runs in zip(texts, split):
-                    made = _row(codec, text, runs, columns)
+                for runs, origin in split:
+                    made = _row(codec, runs, origin, columns)
                     for name in columns:
                         out[name].append(made[name])
                 yield pa.RecordBatch.from_arrays(
@@ -453,12 +470,12 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 ARROW = {"array<int>": pa.list_(pa.int32()), "string": pa.string(), "long": pa.int64()}
 
 
-def _row(codec: Codec, text: str, runs: list[str], columns: list[str]) -> dict:
+def _row(codec: Codec, runs: list[str], origin: np.ndarray, columns: list[str]) -> dict:
     packed = codec.packed(runs)
     ids = np.frombuffer(packed, "<u4")
     out: dict = {}
     if "begins" in columns or "ends" in columns or "covered_bytes" in columns:
-        out["begins"], out["ends"] = codec.spans(text, ids)
+        out["begins"], out["ends"] = codec.project(origin, ids)
         out["covered_bytes"] = int((out["ends"] - out["begins"]).sum())
     if "decoded" in columns or "decoded_sha256" in columns:
         out["decoded"] = codec.decode(ids)
