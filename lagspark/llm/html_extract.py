@@ -1,18 +1,24 @@
 """Main text of web pages by structure and by site template removal.
 
-Every page is parsed into an element tree with HTML's optional end tags closed. Subtrees
-outside the article (and outside <main>) are hashed bottom-up; Spark counts on how many
+Every page is parsed into an element tree with HTML's optional end tags closed. Block
+elements that hold text are hashed bottom-up over the whole tree; Spark counts on how many
 pages of its host each hash stands, and those on many pages are the site's template.
 The second pass drops the template, the elements that are never content (menus, headers,
 footers, sidebars, forms, scripts, styles) and those whose class, id or role names a notice,
 an advert, a menu or reader comments, then writes the rest as one line per block.
-If a page has an article, only articles (else <main>, else the body) give text, and what
-stands inside one is never template: a passage that many articles share is still theirs.
+If a page has an article, only articles (else <main>, else the body) give text.
+
+Inside an article or <main> the count goes by boxes only (div, section, lists, tables and the
+like, not single paragraphs or headings), and it drops them only if they hold at most
+INSIDE of the text there: a passage that many articles share is still theirs, and a page
+whose text recurs as a whole is a copy of another page, not its template.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by a newline. A null or empty page gives the empty text. Malformed markup is read as
 browsers do where that matters for text: a stray '<' is text, unclosed elements end with
 their parents. A null url is a host of its own. Rows that repeat an id are pages of their own.
+Pages are read whole, however long; an empty table gives an empty one. Only the id, the url
+and the html are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,10 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text
+from .common import as_text, cut
 
 #: Template: a subtree on at least this share of the host's pages, and on this many.
 RATIO, MIN_PAGES = 0.3, 5
+#: Share of the text of an article or <main> that recurring boxes may hold to be template.
+INSIDE = 1 / 3
+#: Hashes of all hosts' templates that are broadcast (8 MB); more are joined by host and salt.
+BROADCAST_HASHES = 1_000_000
 #: Keys that the pages of one host are dealt over.
 SALTS = 32
 
@@ -47,6 +57,8 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot"
     " th thead title tr ul".split()
 )
+#: What may be template inside an article.
+BOX = frozenset("aside center details div dl fieldset figure footer form header menu nav ol section table ul".split())
 #: Never content.
 NOISE = frozenset(
     "aside audio button canvas dialog embed footer form head iframe input map menu nav noscript object script select style svg"
@@ -147,41 +159,54 @@ def is_noise(element: Element, inside: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", element.attributes, re.I)) and element.tag not in ("html", "body")
 
 
-def subtree_hashes(root: Element) -> dict[int, int]:
-    """Hash of each block element outside articles that holds text, by the element's id()."""
-    out: dict[int, int] = {}
+def subtree_hashes(root: Element) -> dict[int, tuple[int, int]]:
+    """(hash, characters) by the element's id() of each element that may be template: blocks with text, inside articles boxes only."""
+    out: dict[int, tuple[int, int]] = {}
+    # Iterative: pages may nest deeper than the interpreter's stack.
+    stack = [(root, iter(root.children), xxhash.xxh3_64(root.tag.encode()), [0], False)]
+    while stack:
+        element, rest, state, size, inside = stack[-1]
+        for child in rest:
+            if isinstance(child, str):
+                words = " ".join(child.split())
+                if words:
+                    state.update(b"\0" + words.encode("utf-8", "surrogatepass"))
+                    size[0] += len(words)
+            else:
+                within = inside or element.tag in ("article", "main")
+                stack.append((child, iter(child.children), xxhash.xxh3_64(child.tag.encode()), [0], within))
+                break
+        else:
+            stack.pop()
+            digest = state.intdigest()
+            if stack:
+                stack[-1][2].update(b"\1" + digest.to_bytes(8, "little"))
+                stack[-1][3][0] += size[0]
+            if size[0] and element.tag in (BOX if inside else BLOCK) and element.tag not in ("html", "body", "head", "article", "main"):
+                out[id(element)] = digest - (1 << 63), size[0]
+    return out
 
-    def walk(start: Element) -> None:
-        # Iterative: pages may nest deeper than the interpreter's stack.
-        stack = [(start, iter(start.children), xxhash.xxh3_64(start.tag.encode()), [False])]
+
+def template_elements(root: Element, tops: list[Element], template: frozenset[int]) -> set[int]:
+    """id() of the page's elements that are template: recurring ones, inside its articles by the rule of INSIDE."""
+    hashed = subtree_hashes(root)
+    gone = {key for key, (digest, _) in hashed.items() if digest in template}
+    for top in tops:
+        total, removed, own, stack = 0, 0, set(), [(top, False)]
         while stack:
-            element, rest, state, has = stack[-1]
-            for child in rest:
+            element, under = stack.pop()
+            if id(element) in gone:
+                own.add(id(element))
+                removed += 0 if under else hashed[id(element)][1]
+                under = True
+            for child in element.children:
                 if isinstance(child, str):
-                    words = " ".join(child.split())
-                    if words:
-                        state.update(b"\0" + words.encode("utf-8", "surrogatepass"))
-                        has[0] = True
+                    total += len(" ".join(child.split()))
                 else:
-                    stack.append((child, iter(child.children), xxhash.xxh3_64(child.tag.encode()), [False]))
-                    break
-            else:
-                stack.pop()
-                digest = state.intdigest()
-                if stack:
-                    stack[-1][2].update(b"\1" + digest.to_bytes(8, "little"))
-                    stack[-1][3][0] |= has[0]
-                if has[0] and element.tag in BLOCK and element.tag not in ("html", "body", "head", "article", "main"):
-                    out[id(element)] = digest - (1 << 63)
-
-    walk(root)
-    for inner in roots(root, ("article", "main")):
-        stack = [inner]
-        while stack:
-            element = stack.pop()
-            out.pop(id(element), None)
-            stack += [c for c in element.children if not isinstance(c, str)]
-    return out
+                    stack.append((child, under))
+        if removed > INSIDE * total:
+            gone -= own
+    return gone
 
 
 def roots(root: Element, tags: tuple[str, ...]) -> list[Element]:
@@ -198,7 +223,6 @@ def roots(root: Element, tags: tuple[str, ...]) -> list[Element]:
 
 def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
     """The blocks of the main text, one a line."""
-    hashes = subtree_hashes(root) if template else {}
     blocks: list[str] = []
     piece: list[str] = []
 
@@ -210,6 +234,7 @@ def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
 
     tops = roots(root, ("article",)) or roots(root, ("main",))
     inside = bool(tops)
+    gone = template_elements(root, tops, template) if template else set()
     for top in tops or [root]:
         flush()
         stack: list = [top]
@@ -221,7 +246,7 @@ def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
                 piece.append(item)
             elif item.tag == "br":
                 piece.append(" ")
-            elif item is not top and (is_noise(item, inside) or hashes.get(id(item)) in template):
+            elif item is not top and (is_noise(item, inside) or id(item) in gone):
                 if item.tag in BLOCK:
                     flush()
             else:
@@ -238,26 +263,29 @@ def host_of(url: str) -> str:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(__host, __drop): for each host the hashes of the subtrees that many of its pages hold."""
-    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("binary").alias("html"))
+    """(__host, __drop): for each host the hashes of the subtrees that many of its pages hold.
+
+    A hash is kept only after it is known to stand on the ratio of its host's pages, so an
+    array holds at most (subtrees of a mean page / ratio) hashes.
+    """
+    rows = pages.select(host_of(url_col).alias("__host"), F.col(html_col).cast("binary").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sorted(set(subtree_hashes(parse(as_text(x.as_py()))).values())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["host", "hashes"])
-
-    hashed = rows.mapInArrow(run, "host string, hashes array<long>")
-    # A page counts itself with the hash that is null.
-    each = hashed.select("host", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("hash"))
-    counts = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages))
-    # What a host keeps of them: its page count and its frequent subtrees, at most a page's subtrees / ratio.
-    often = counts.groupBy("host").agg(
-        F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages"),
-        F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("seen"),
-    )
-    kept = F.transform(F.filter("seen", lambda x: x["n"] >= ratio * F.col("pages")), lambda x: x["hash"])
-    return often.select(F.col("host").alias("__host"), kept.alias("__drop")).where(F.size("__drop") > 0)
+            made = [sorted({h for h, _ in subtree_hashes(parse(as_text(x.as_py()))).values()}) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["__host", "hashes"])
+
+    hashed = rows.mapInArrow(run, "__host string, hashes array<long>")
+    counts = hashed.select("__host", F.explode("hashes").alias("hash")).groupBy("__host", "hash").agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") >= min_pages).withColumn("__salt", F.pmod("hash", F.lit(SALTS)).cast("int"))
+    totals = _salted(rows.groupBy("__host").agg(F.count("*").alias("pages")))
+    over = often.join(totals, ["__host", "__salt"]).where(F.col("n") >= ratio * F.col("pages"))
+    return over.groupBy("__host").agg(F.collect_list("hash").alias("__drop"))
 
 
 def extract(
@@ -270,7 +298,7 @@ def extract(
 ) -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
-    drop = templates(pages, url_col, html_col, ratio, min_pages).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drop = cut(templates(pages, url_col, html_col, ratio, min_pages))
     rows = pages.select(
         F.col(id_col).alias("__id"),
         F.col(url_col).alias("__url"),
@@ -278,7 +306,12 @@ def extract(
         host_of(url_col).alias("__host"),
         F.pmod(F.xxhash64(id_col, html_col), F.lit(SALTS)).cast("int").alias("__salt"),
     )
-    joined = rows.join(drop, ["__host", "__salt"], "left").select("__id", "__url", "__html", "__drop")
+    size = drop.agg(F.sum(F.size("__drop")).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_HASHES:
+        joined = rows.join(F.broadcast(drop), "__host", "left")
+    else:
+        joined = rows.join(_salted(drop), ["__host", "__salt"], "left")
+    joined = joined.select("__id", "__url", "__html", "__drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
