@@ -6,18 +6,29 @@ compared without the spaces, tabs and carriage returns around it; blank lines al
 Lines are counted by a 64-bit hash with map-side sums; a site's totals and its dropped lines
 are dealt over SALTS keys, so a site with a third of all pages is no single task. A site
 drops at most (lines of a mean page / ratio) different lines, which bounds its array.
+The dropped lines are worked out first; while all sites' together number at most
+BROADCAST_KEYS they are broadcast and the texts stay where they are, else both meet by
+site and salt.
 
 Null texts stay null and count as pages without lines. Null sites are one site of their own.
 A line that recurs within a page counts once for it. Rows that repeat an id count as pages
-of their own. Empty tables give empty ones.
+of their own. Texts are used whole, however long. Empty tables give empty ones. All columns
+of the input stay as they are, but for the text; with counts, n_lines and n_dropped are added,
+with underscores behind the name where the input has such a column.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, unused
+
 SALTS = 32
+#: Keys of dropped lines that are broadcast (8 MB).
+BROADCAST_KEYS = 1_000_000
 #: What is trimmed from both ends of a line before it is compared.
 AROUND = " \t\r"
 
@@ -57,26 +68,32 @@ def drop_boilerplate(
     counts: bool = False,
 ) -> DataFrame:
     """docs with the boilerplate lines gone from its text; with counts also n_lines and n_dropped."""
-    drop = _salted(boilerplate(docs, ratio, min_pages, site_col, text_col))
+    drop = cut(boilerplate(docs, ratio, min_pages, site_col, text_col))
     columns = docs.columns
-    rows = docs.withColumns(
-        {
-            "__site": F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")),
-            "__salt": F.pmod(F.xxhash64(*[F.col(c) for c in columns if c != site_col]), F.lit(SALTS)).cast("int"),
-        }
-    )
-    joined = rows.join(drop, ["__site", "__salt"], "left")
-    lines = _lines(F.col(text_col))
+    # Maps have no hash; rows that agree in all other columns are few.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if f.name != site_col and not re.search("map<|variant", f.dataType.simpleString())]
+    site = F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("__site")
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int").alias("__salt")
+    # The row travels as one struct, so that no column of it meets one of the operator's.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), site, salt)
+    text, own = F.col("__row").getField(text_col), lambda c: F.col("__row").getField(c)
+    size = drop.agg(F.sum(F.size("__drop")).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_KEYS:
+        joined = rows.join(F.broadcast(drop), "__site", "left")
+    else:
+        joined = rows.join(_salted(drop), ["__site", "__salt"], "left")
+    lines = _lines(text)
     stay = F.filter(
         lines, lambda x: (F.trim(x, F.lit(AROUND)) == "") | ~F.coalesce(F.array_contains(F.col("__drop"), _key(x)), F.lit(False))
     )
-    kept = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n")).alias(text_col)
-    out = [kept if c == text_col else F.col(c) for c in columns]
+    kept = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(stay, "\n")).alias(text_col)
+    out = [kept if c == text_col else own(c).alias(c) for c in columns]
     if counts:
         n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
         left = F.when(F.col("__drop").isNull(), n).otherwise(F.coalesce(F.size(stay), F.lit(0)).cast("long"))
-        n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("long")
-        out += [n_lines.alias("n_lines"), F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n - left).cast("long").alias("n_dropped")]
+        n_lines = F.when(text.isNull(), F.lit(0)).otherwise(n).cast("long")
+        n_dropped = F.when(text.isNull(), F.lit(0)).otherwise(n - left).cast("long")
+        out += [n_lines.alias(unused(docs, "n_lines")), n_dropped.alias(unused(docs, "n_dropped"))]
     return joined.select(*out)
 
 
