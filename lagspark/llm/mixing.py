@@ -9,8 +9,10 @@ repeats every Q slots: one frame is scheduled, and the slot of any block follows
 number, without a pass over the blocks. The bound holds for the shares: against weights that
 are not whole shares, the deviation of schedule() grows with the slots. mix() therefore goes
 by exact(), which takes the windows from the weights themselves: earliest deadline first over
-all blocks, on the driver, one step a slot. When a source runs out, its slots stay empty and the
-others keep their proportions; position counts the rows before a row, in closed form.
+all blocks. That table has a row a block and is made on the driver; its size is bounded at
+every scale, as a block holds at least 1/BLOCKS of all rows. When a source runs out, its slots
+stay empty and the others keep their proportions; position counts the rows before a row, in
+closed form.
 
 Every row of the input is scheduled once. Row numbers inside a source come from counts over
 hash prefixes, so a source with a third of all rows is spread over BUCKETS groups.
@@ -18,6 +20,9 @@ hash prefixes, so a source with a third of all rows is spread over BUCKETS group
 Null sources are one source of their own. A given weight that is missing, null or not
 positive counts as the smallest share. Rows that repeat an id are scheduled one by one.
 An empty table gives an empty one. With more sources than Q / 4, Q grows to the next power of two.
+Of the input only the id and the source are read, however long the rest is. All its columns
+stay as they are, of any type; a column of the schedule whose name the input has already gets
+underscores behind its name.
 """
 
 from __future__ import annotations
@@ -26,18 +31,21 @@ import heapq
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, unused
 
 FRAME, BLOCK = 1024, 16
 #: Hash prefixes (three hexadecimal digits) that a source's rows are counted by.
 BUCKETS = 4096
 #: Tables of sources and of slots are broadcast up to this many cells of eight bytes.
 BROADCAST_CELLS = 4_000_000
+#: Blocks that exact() schedules at most, by making blocks larger.
+BLOCKS = 1 << 17
+#: Bytes of a partition of mix().
+PARTITION_BYTES = 32 << 20
 
 
 def schedule(
@@ -52,11 +60,11 @@ def schedule(
 
     Without weights, a source's weight is the square root of its row count.
     """
-    clash = {"block", "slot", "release", "deadline", "position"} & set(docs.columns)
-    rows = docs.drop(*clash).withColumns(
+    mine, rows = _packed(docs, source_col, id_col)
+    rows = rows.withColumns(
         {
-            "__src": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")),
-            "__h": F.md5(F.concat(F.lit("0|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
+            "__src": F.coalesce(F.concat(F.lit("="), F.col("__source").cast("string")), F.lit("")),
+            "__h": F.md5(F.concat(F.lit("0|"), F.coalesce(F.col("__id").cast("string"), F.lit("")))),
         }
     ).withColumn("__b", F.substring("__h", 1, 3))
     counts = rows.groupBy("__src", "__b").agg(F.count("*").alias("__n"))
@@ -79,7 +87,7 @@ def schedule(
     )
     if frame * n_sources <= BROADCAST_CELLS:
         shares, slots = F.broadcast(shares), F.broadcast(slots)
-    number = F.row_number().over(Window.partitionBy("__src", "__b").orderBy("__h", id_col)) - 1
+    number = F.row_number().over(Window.partitionBy("__src", "__b").orderBy("__h", "__id")) - 1
     ranked = rows.withColumn("__k", number).join(offsets, ["__src", "__b"]).withColumn("__k", F.col("__k") + F.col("__off"))
     ranked = ranked.join(shares, "__src").withColumn("block", F.floor(F.col("__k") / block))
     ranked = ranked.withColumns({"__r": F.pmod("block", "__a").cast("int"), "__f": F.floor(F.col("block") / F.col("__a"))})
@@ -94,7 +102,7 @@ def schedule(
             "deadline": F.ceil((F.col("block") + 1) * q / F.col("__a")),
             "position": earlier + F.pmod("__k", F.lit(block)),
         }
-    ).select(*[c for c in docs.columns if c not in clash], *(F.col(c).cast("long").alias(c) for c in ("block", "slot", "release", "deadline", "position")))
+    ).select(f"{mine}.*", *(F.col(c).cast("long").alias(unused(docs, c)) for c in ("block", "slot", "release", "deadline", "position")))
 
 
 def exact(
@@ -109,11 +117,11 @@ def exact(
 
     A weight that is missing, null or not positive counts as one slot of a frame.
     """
-    clash = {"block", "slot", "position"} & set(docs.columns)
-    rows = docs.drop(*clash).withColumns(
+    mine, rows = _packed(docs, source_col, id_col)
+    rows = rows.withColumns(
         {
-            "__src": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")),
-            "__h": F.md5(F.concat(F.lit("0|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
+            "__src": F.coalesce(F.concat(F.lit("="), F.col("__source").cast("string")), F.lit("")),
+            "__h": F.md5(F.concat(F.lit("0|"), F.coalesce(F.col("__id").cast("string"), F.lit("")))),
         }
     ).withColumn("__b", F.substring("__h", 1, 3))
     counts = rows.groupBy("__src", "__b").agg(F.count("*").alias("__n"))
@@ -123,24 +131,28 @@ def exact(
     names, sizes = [r["__src"] for r in totals], [r["n"] for r in totals]
     given = {f"={k}": float(w) for k, w in (weights or {}).items()}
     shares = [math.sqrt(n) if weights is None else max(given.get(s, 0.0), 0.0) for s, n in zip(names, sizes)]
-    table = pa.table({"__src": pa.array([], pa.string()), "block": pa.array([], pa.int64()), "slot": pa.array([], pa.int64()), "__at": pa.array([], pa.int64())})
+    block, table = max(block, -(-sum(sizes) // BLOCKS)), []
     if names:
         picks, slots = earliest_deadlines(whole_weights(shares, frame), [-(-n // block) for n in sizes])
-        numbers = np.empty(len(picks), np.int64)
-        for i in range(len(names)):
-            numbers[picks == i] = np.arange((picks == i).sum())
-        rows_of = np.minimum(block, np.array(sizes)[picks] - numbers * block)
-        table = pa.table(
-            {"__src": pa.array(names).take(pa.array(picks)), "block": numbers, "slot": slots, "__at": np.cumsum(rows_of) - rows_of}
-        )
-    places = docs.sparkSession.createDataFrame(table)
-    if 4 * table.num_rows <= BROADCAST_CELLS:
+        had, at = [0] * len(names), 0
+        for i, slot in zip(picks.tolist(), slots.tolist()):
+            table.append((names[i], had[i], slot, at))
+            at += min(block, sizes[i] - had[i] * block)
+            had[i] += 1
+    places = docs.sparkSession.createDataFrame(table, "__src string, block long, slot long, __at long")
+    if 4 * len(table) <= BROADCAST_CELLS:
         places = F.broadcast(places)
-    number = F.row_number().over(Window.partitionBy("__src", "__b").orderBy("__h", id_col)) - 1
+    number = F.row_number().over(Window.partitionBy("__src", "__b").orderBy("__h", "__id")) - 1
     ranked = rows.withColumn("__k", number).join(offsets, ["__src", "__b"]).withColumn("__k", F.col("__k") + F.col("__off"))
     placed = ranked.withColumn("block", F.floor(F.col("__k") / block)).join(places, ["__src", "block"])
     placed = placed.withColumn("position", F.col("__at") + F.pmod("__k", F.lit(block)))
-    return placed.select(*[c for c in docs.columns if c not in clash], *(F.col(c).cast("long").alias(c) for c in ("block", "slot", "position")))
+    return placed.select(f"{mine}.*", *(F.col(c).cast("long").alias(unused(docs, c)) for c in ("block", "slot", "position")))
+
+
+def _packed(docs: DataFrame, source_col: str, id_col: str) -> tuple[str, DataFrame]:
+    """The rows of docs as one struct beside their source and id, so that no column of theirs meets one of the schedule."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return "__row", docs.select(whole.alias("__row"), F.col(source_col).alias("__source"), F.col(id_col).alias("__id"))
 
 
 def whole_weights(weights: list[float], frame: int) -> list[int]:
@@ -185,12 +197,17 @@ def earliest_deadlines(weights: list[int], blocks: list[int]) -> tuple[np.ndarra
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None, **how) -> DataFrame:
-    """docs in mixed order: the rows of a partition follow each other, and those of the next one follow them."""
-    n = docs.count()
-    partitions = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = exact(docs.drop("position"), weights, **how)
-    part = F.floor(F.col("position") * partitions / F.lit(max(n, 1))).cast("int")
-    return placed.repartitionById(partitions, part).sortWithinPartitions("position").select(*docs.columns)
+    """docs in mixed order: the rows of a partition follow each other, and those of the next one follow them.
+
+    Without partitions, their number follows the bytes of the texts, PARTITION_BYTES each.
+    """
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in docs.schema if f.dataType.simpleString() in ("string", "binary")]
+    size = docs.agg(F.count("*").alias("n"), F.sum(sum(wide, F.lit(8 * len(docs.columns))).cast("long")).alias("bytes")).first()
+    partitions = partitions or max(1, -(-(size["bytes"] or 0) // PARTITION_BYTES))
+    placed = exact(docs, weights, **how)
+    position = placed.columns[-1]
+    part = F.floor(F.col(f"`{position}`") * partitions / F.lit(max(size["n"], 1))).cast("int")
+    return placed.repartitionById(partitions, part).sortWithinPartitions(f"`{position}`").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _weight(x: Column, weights: dict[str, float] | None) -> Column:
