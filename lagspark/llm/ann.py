@@ -8,8 +8,11 @@ from the original vectors and kept in a heap per query. A window merges the tile
 The result is exact.
 
 Vectors that are null, zero or hold nulls or non-finite numbers take no part. Vectors of
-different lengths are never compared. Rows that repeat an id count once. Ties go to the
-smaller id. With fewer than k candidates all of them are returned; an empty table gives none.
+different lengths are never compared. Rows that repeat an id (and a length) count once, with
+the least vector by its bytes on both sides. Ties go to the smaller id. With fewer than k
+candidates all of them are returned; an empty table gives none. Only the id and the vector
+are read, so other columns may have any names. Every candidate meets every block of queries,
+so rows dealt out grow with candidates times queries / QUERY_BLOCK.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ def nearest(
         dim = table.column("dim")[0].as_py()
         sides = []
         for side in (True, False):
-            rows = table.filter(pa.array(asks == side))
+            rows = table.filter(pa.array(asks == side)).sort_by([("id", "ascending"), ("vec", "ascending")])
             ids, first = np.unique(rows.column("id").to_numpy(), return_index=True)
             sides.append((ids, matrix(rows.column("vec").take(pa.array(first)), dim)))
         (q_ids, q), (c_ids, c) = sides

@@ -1,19 +1,26 @@
 """Near-duplicate embeddings by a dual traversal of cover trees.
 
 Vectors are scaled to length one, where cosine >= t means distance <= eps = sqrt(2 - 2t).
-The top level of the tree: every vector goes to the nearest of a few pivots, one for each
-CHUNK rows; cells beyond that size are cut by a hash of the id. Chunk pairs whose pivots are
-further apart than both covering radii plus eps hold no link and are never dealt out.
-Within a chunk, nested levels with halving radii follow, each node a centre and the rows
-within its radius. Two chunks are traversed together from their coarsest useful level:
+The upper levels of the tree are tables: a node of more than CHUNK vectors is opened around
+at most FAN centres, picked far apart from each other out of its vectors of smallest hash,
+and each vector goes to the nearest one; a node's radius is the largest distance that occurs.
+The levels are traversed in pairs by joins on the node: a pair of nodes whose centres are
+further apart than both radii plus eps is dropped, the rest are opened on the next level, and
+only leaves whose pair has survived are dealt out to each other. A node whose radius is at
+most eps / 2 is all but one clique and is cut by a hash of the id instead, as is one that is
+too large after LEVELS levels.
+
+Within a leaf, nested levels with halving radii follow, each node a centre and the rows
+within its radius. Two leaves are traversed together from their coarsest useful level:
 node pairs whose centres are further apart than both covering radii plus eps are dropped,
-the rest are opened on the next level, and at the leaves cosines are computed in double.
+the rest are opened on the next level, and at the last one cosines are computed in double.
 All links at or above the threshold are counted, none below it. A task returns counts and
 a spanning forest, never its pairs; components come from the forests.
 
 Vectors that are null, zero or hold nulls or non-finite numbers link with nothing, nor do
-vectors of different lengths. Rows that repeat an id count as one vector. A null id links
-with nothing and keeps its row.
+vectors of different lengths. Rows that repeat an id count as one vector, the least by length
+and bytes. A null id links with nothing and keeps its row. An empty table gives an empty one.
+Only the id and the vector are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,15 +29,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, free
 from .components import components
 from .vectors import matrix, packed
 
 CHUNK = 4096
-#: Radii of the nested levels below the pivots.
+#: Centres that a node is opened around, vectors that each of them is picked from, and levels of tables.
+FAN, PICK, LEVELS = 256, 4, 12
+#: Keys that the vectors of a node are dealt over while they look for their centre.
+SALTS = 64
+#: Radii of the nested levels within a leaf.
 RADII = (1.0, 0.5, 0.25, 0.125)
 #: Above the rounding of float32 products of unit vectors.
 SLACK = 1e-4
@@ -39,40 +52,70 @@ SLACK = 1e-4
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", chunk: int = CHUNK) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of vectors."""
     eps = math.sqrt(max(0.0, 2 - 2 * threshold))
-    rows = packed(vectors, id_col, vec_col)
-    n = rows.count()
-    # One pivot for each chunk's worth of rows: 1/4096 of the data, the rows of smallest hash.
-    pivots = rows.withColumn("h", F.xxhash64("id", F.lit(7))).orderBy("h", "id").limit(max(1, math.ceil(n / chunk))).collect()
-    shared = vectors.sparkSession.sparkContext.broadcast([(p["dim"], bytes(p["vec"])) for p in pivots])
-    placed = cut(rows.mapInArrow(lambda batches: _place(batches, shared.value), "id long, dim int, vec binary, cell int, away double"))
-    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()
-    chunks, first = [], {}
-    for s in sorted(sizes, key=lambda s: (s["dim"], s["cell"])):
-        parts = math.ceil(s["n"] / chunk)
-        first[s["dim"], s["cell"]] = (len(chunks), parts)
-        chunks += [(s["dim"], s["cell"], s["r"])] * parts
-    table = vectors.sparkSession.sparkContext.broadcast((first, _partners(chunks, shared.value, eps)))
-    built = placed.mapInArrow(lambda batches: _deal(batches, *table.value), "id long, dim int, vec binary, chunk int")
-    built = built.groupBy("chunk").applyInArrow(_levels, "id long, dim int, vec binary, chunk int, nodes array<int>")
-    dealt = built.mapInArrow(
-        lambda batches: _pairs(batches, table.value[1]), "id long, dim int, vec binary, chunk int, nodes array<int>, one int, two int"
-    )
+    rows = packed(vectors, id_col, vec_col).groupBy("id").agg(F.min(F.struct("dim", "vec")).alias("x"))
+    leaves, pairs = _tree(rows.select("id", "x.dim", "x.vec"), eps, chunk)
+    built = leaves.groupBy("chunk").applyInArrow(_levels, "id long, dim int, vec binary, chunk string, nodes array<int>")
+    sides = pairs.select(F.col("one").alias("chunk"), "one", "two").unionByName(pairs.where("one <> two").select(F.col("two").alias("chunk"), "one", "two"))
+    dealt = built.join(sides, "chunk")
     found = cut(dealt.groupBy("one", "two").applyInArrow(lambda t: _traverse(t, threshold, eps), "id long, n long, root long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     classes = components(found, "id", "root", "id", "component")
+    a, b, n, of = (free(vectors, x) for x in ("a", "b", "n", "component"))
+    own = F.col(id_col)
     return (
-        vectors.select(F.col(id_col))
-        .join(counts.withColumnRenamed("id", "__a"), F.col(id_col) == F.col("__a"), "left")
-        .join(classes.withColumnRenamed("id", "__b"), F.col(id_col) == F.col("__b"), "left")
+        vectors.select(own)
+        .join(counts.select(F.col("id").alias(a), F.col("n").alias(n)), own == F.col(a), "left")
+        .join(classes.select(F.col("id").alias(b), F.col("component").alias(of)), own == F.col(b), "left")
         .select(
-            F.col(id_col),
-            F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component", F.col(id_col)).alias("component_id"),
-            F.coalesce(F.col(id_col) == F.coalesce("component", F.col(id_col)), F.lit(True)).alias("kept"),
+            own,
+            F.coalesce(n, F.lit(0)).cast("long").alias("n_links"),
+            F.coalesce(F.col(of), own).alias("component_id"),
+            F.coalesce(own == F.coalesce(F.col(of), own), F.lit(True)).alias("kept"),
         )
     )
 
 
+def _tree(rows: DataFrame, eps: float, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(id, dim, vec, chunk) of each vector's leaf, and the (one, two) pairs of leaves that may hold links.
+
+    Nodes are named by the way to them from their root, one root for each length of vectors.
+    """
+    root = F.concat(F.lit("d"), F.col("dim").cast("string"))
+    placed = cut(rows.select("id", "dim", "vec", root.alias("node"), F.lit(2.0).alias("away")))
+    nodes = cut(placed.groupBy("node").agg(F.count("*").alias("n"), F.max("away").alias("r"), F.lit(None).cast("binary").alias("centre")))
+    pairs = nodes.select(F.col("node").alias("one"), F.col("node").alias("two"))
+    for _ in range(LEVELS):
+        large = nodes.where((F.col("n") > chunk) & (F.col("r") > eps / 2)).select("node", F.least(F.lit(FAN), F.ceil(F.col("n") / chunk)).cast("int").alias("k"))
+        if large.isEmpty():
+            break
+        order = Window.partitionBy("node").orderBy(F.xxhash64("id", F.lit(7)), "id")
+        some = placed.withColumn("i", F.row_number().over(order)).where(F.col("i") <= PICK * FAN).join(large, "node").where(F.col("i") <= PICK * F.col("k"))
+        centres = cut(some.groupBy("node").applyInArrow(_separated, "node string, dim int, kid int, centre binary"))
+        # At most FAN vectors a node.
+        table = centres.groupBy("node").agg(F.collect_list(F.struct("kid", "centre")).alias("centres"))
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        asks = placed.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(SALTS)).cast("int"))
+        joined = asks.join(salted, ["node", "salt"], "left").select("id", "dim", "vec", "node", "away", "centres")
+        placed = cut(joined.mapInArrow(_nearest, "id long, dim int, vec binary, node string, away double"))
+        made = centres.select(F.concat_ws(".", "node", "kid").alias("node"), F.col("node").alias("up"), F.col("centre").alias("new"))
+        sizes = placed.groupBy("node").agg(F.count("*").alias("n"), F.max("away").alias("r"))
+        kept = nodes.select("node", F.col("node").alias("same"), F.col("centre").alias("old"))
+        nodes = cut(
+            sizes.join(made, "node", "left").join(kept, "node", "left").select("node", F.coalesce("up", "same").alias("up"), "n", "r", F.coalesce("new", "old").alias("centre"))
+        )
+        left = nodes.select(F.col("up").alias("one"), F.col("node").alias("a"), F.col("centre").alias("ca"), F.col("r").alias("ra"))
+        right = nodes.select(F.col("up").alias("two"), F.col("node").alias("b"), F.col("centre").alias("cb"), F.col("r").alias("rb"))
+        opened = pairs.join(left, "one").join(right, "two").where("one <> two OR a <= b").select("a", "b", "ca", "cb", "ra", "rb")
+        pairs = cut(opened.mapInArrow(lambda batches: _close(batches, eps), "one string, two string"))
+    # A leaf that is still too large is cut by a hash; its parts meet each other and all partners.
+    parts = nodes.select("node", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
+    cutting = F.concat_ws("#", "node", F.pmod(F.xxhash64("id", F.lit(13)), F.col("parts")).cast("string"))
+    leaves = placed.join(parts, "node").select("id", "dim", "vec", cutting.alias("chunk"))
+    each = parts.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", F.concat_ws("#", "node", F.col("p").cast("string")).alias("leaf"))
+    one, two = each.select(F.col("node").alias("one"), F.col("leaf").alias("a")), each.select(F.col("node").alias("two"), F.col("leaf").alias("b"))
+    return leaves, pairs.join(one, "one").join(two, "two").where("one <> two OR a <= b").select(F.col("a").alias("one"), F.col("b").alias("two"))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -83,48 +126,55 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a.astype(np.float32) @ b.astype(np.float32).T), 0))
 
 
-def _place(batches, pivots):
-    """The nearest pivot of each vector and the distance to it."""
+def _separated(table: pa.Table) -> pa.Table:
+    """k of a node's vectors, each the farthest from those before it; the first is that of the smallest hash."""
+    k, dim = table.column("k")[0].as_py(), table.column("dim")[0].as_py()
+    table = table.sort_by("i")
+    x = _unit(matrix(table.column("vec"), dim))
+    picked, gap = [0], np.linalg.norm(x - x[0], axis=1)
+    while len(picked) < min(k, len(x)) and gap.max() > 0:
+        picked.append(int(gap.argmax()))
+        gap = np.minimum(gap, np.linalg.norm(x - x[picked[-1]], axis=1))
+    some, n = table.take(pa.array(picked)), len(picked)
+    return pa.table({"node": some.column("node"), "dim": some.column("dim"), "kid": pa.array(range(n), pa.int32()), "centre": some.column("vec")})
+
+
+def _nearest(batches):
+    """The child that each vector goes to and its distance from the centre; nodes without centres stay."""
     for batch in batches:
-        dims = batch.column(1).to_numpy()
-        cell, away = np.zeros(len(dims), np.int32), np.zeros(len(dims))
-        for dim in np.unique(dims):
-            mine = np.nonzero(dims == dim)[0]
-            there = [i for i, (d, _) in enumerate(pivots) if d == dim]
-            if not there:
-                cell[mine], away[mine] = -1, 2.0
-                continue
-            x = _unit(matrix(batch.column(2).take(pa.array(mine)), int(dim)))
-            p = _unit(matrix(pa.array([pivots[i][1] for i in there]), int(dim)))
-            d = np.sqrt(np.maximum(2 - 2 * (x @ p.T), 0))
-            cell[mine], away[mine] = np.array(there)[d.argmin(axis=1)], d.min(axis=1)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], [*batch.schema.names, "cell", "away"])
-
-
-def _partners(chunks, pivots, eps) -> list[list[int]]:
-    """For each chunk the chunks, from itself on, that its covering radius does not rule out."""
-    centres = {}
-    for dim, cell, _ in chunks:
-        if cell >= 0:
-            centres[cell] = _unit(np.frombuffer(pivots[cell][1], "<f4" if len(pivots[cell][1]) == 4 * dim else "<f8")[None].astype(float))[0]
-    out = []
-    for i, (dim, cell, r) in enumerate(chunks):
-        mine = []
-        for j in range(i, len(chunks)):
-            d2, c2, r2 = chunks[j]
-            if dim == d2 and (cell < 0 or c2 < 0 or cell == c2 or np.linalg.norm(centres[cell] - centres[c2]) <= r + r2 + eps + SLACK):
-                mine.append(j)
-        out.append(mine)
-    return out
-
-
-def _deal(batches, first, partners):
-    """The chunk of each vector: its cell, cut by a hash of the id."""
+        nodes, away = batch.column("node").to_pylist(), batch.column("away").to_numpy().copy()
+        lists = batch.column("centres")
+        by: dict[str, list[int]] = {}
+        for i, node in enumerate(nodes):
+            if lists[i].is_valid:
+                by.setdefault(node, []).append(i)
+        for node, mine in by.items():
+            dim, centres = batch.column("dim")[mine[0]].as_py(), lists[mine[0]].as_py()
+            x = _unit(matrix(batch.column("vec").take(pa.array(mine)), dim))
+            c = _unit(matrix(pa.array([z["centre"] for z in centres], pa.binary()), dim))
+            d = np.sqrt(np.maximum(2 - 2 * (x @ c.T), 0))
+            best = d.argmin(axis=1)
+            away[mine] = np.linalg.norm(x - c[best], axis=1)
+            for i, j in zip(mine, best.tolist()):
+                nodes[i] = f"{node}.{centres[j]['kid']}"
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.string()), pa.array(away)], ["id", "dim", "vec", "node", "away"])
+
+
+def _close(batches, eps):
+    """The node pairs that their radii do not rule out; nodes without a centre are ruled out by nothing."""
     for batch in batches:
-        ids, dims, cells = (batch.column(i).to_numpy() for i in (0, 1, 3))
-        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        to = [a + int(m) % parts for (a, parts), m in zip((first[d, c] for d, c in zip(dims.tolist(), cells.tolist())), mixed)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(to, pa.int32())], ["id", "dim", "vec", "chunk"])
+        keep = np.ones(batch.num_rows, bool)
+        ca, cb = batch.column("ca"), batch.column("cb")
+        both = np.nonzero(pc.and_(ca.is_valid(), cb.is_valid()).to_numpy(zero_copy_only=False))[0]
+        # A node's name begins with the length of its vectors.
+        dims = np.array([int(name.split(".")[0][1:]) for name in batch.column("a").to_pylist()])[both]
+        reach = pc.add(batch.column("ra"), batch.column("rb")).to_numpy() + eps + SLACK
+        for dim in np.unique(dims):
+            mine = both[dims == dim]
+            a, b = (_unit(matrix(x.take(pa.array(mine)), int(dim))) for x in (ca, cb))
+            keep[mine] = np.linalg.norm(a - b, axis=1) <= reach[mine]
+        out = batch.select(["a", "b"]).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays(out.columns, ["one", "two"])
 
 
 def _levels(table: pa.Table) -> pa.Table:
@@ -149,27 +199,7 @@ def _levels(table: pa.Table) -> pa.Table:
         levels.append(node)
         above = node
     nodes = pa.array(np.stack(levels, axis=1).tolist(), pa.list_(pa.int32()))
-    return table.append_column("nodes", nodes)
-
-
-def _pairs(batches, partners):
-    """One copy of each vector for every pair of chunks that its own chunk is part of."""
-    other: dict[int, list[tuple[int, int]]] = {}
-    for i, js in enumerate(partners):
-        for j in js:
-            other.setdefault(i, []).append((i, j))
-            if i != j:
-                other.setdefault(j, []).append((i, j))
-    for batch in batches:
-        chunk = batch.column(3).to_pylist()
-        for part in range(0, len(chunk), 512):
-            pairs = [other[c] for c in chunk[part : part + 512]]
-            rows = np.repeat(np.arange(part, part + len(pairs)), [len(p) for p in pairs])
-            one, two = zip(*(p for ps in pairs for p in ps))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.take(pa.array(rows)).columns, pa.array(one, pa.int32()), pa.array(two, pa.int32())],
-                [*batch.schema.names, "one", "two"],
-            )
+    return table.append_column("nodes", nodes).select(["id", "dim", "vec", "chunk", "nodes"])
 
 
 class Side:
@@ -193,9 +223,9 @@ class Side:
 def _traverse(table: pa.Table, threshold: float, eps: float) -> pa.Table:
     """Link counts and a spanning forest of the links between two chunks, or within one."""
     one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-    chunk = table.column("chunk").to_numpy()
-    a = Side(table.filter(pa.array(chunk == one)))
-    b = a if one == two else Side(table.filter(pa.array(chunk == two)))
+    chunk = table.column("chunk")
+    a = Side(table.filter(pc.equal(chunk, one)))
+    b = a if one == two else Side(table.filter(pc.equal(chunk, two)))
     blocks = list(_links(a, b, threshold, eps, one == two)) if len(a.ids) and len(b.ids) else []
     counts_a, counts_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
     label_a, label_b = a.ids.copy(), b.ids.copy()
