@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec, substring_dedup, toxicity
+from . import ann, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, pipeline, sentencepiece_codec, substring_dedup, toxicity
 from .common import held_out, read, tokenizer_path
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +81,7 @@ def queries() -> dict:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_language_id": op9_language_id,
         "op10_minhash_dedup": op10_minhash_dedup,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

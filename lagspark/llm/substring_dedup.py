@@ -7,12 +7,13 @@ repeated already), and sends each hash with its place in the unit to the bucket
 hash; the bucket counts hashes over all units. Places of repeated hashes go back to their
 units, become word intervals of the documents, and adjacent windows merge into maximal
 intervals. Windows are judged on the input, not on what is left. A hot window costs its
-bucket one entry a unit. Two different windows are confused with a chance of about 2e-9
-a window: each bucket holds about BUCKET windows, told apart by 48 bits.
+bucket one entry a unit. Two different windows are confused with a chance of about 7e-12
+a window: each bucket holds about BUCKET windows, told apart by 56 bits.
 
 Null texts have no words; texts shorter than a window lose nothing. Rows that repeat an id
 and a text are copies of each other: each is judged against the other. Each row of the
-input gives one row. An empty table gives an empty one.
+input gives one row. An empty table gives an empty one. Texts are used whole, however long.
+Only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -141,12 +142,12 @@ def _unit(hashes: np.ndarray, where: list[tuple], unit: int, buckets: int) -> pa
     first, key = np.sort(order[fresh]), None
     key = hashes[first]
     to = (key % np.uint64(buckets)).astype(np.int64)
-    left = key // np.uint64(buckets) & np.uint64((1 << 48) - 1)
+    left = key // np.uint64(buckets) & np.uint64((1 << 56) - 1)
     by = np.argsort(to, kind="stable")
     to, left, first = to[by], left[by], first[by].astype("<u2")
     names, starts = np.unique(to, return_index=True)
     ends = [*starts[1:].tolist(), len(to)]
-    raw = left.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    raw = left.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
     blobs = [raw[a:b].tobytes() + first[a:b].tobytes() for a, b in zip(starts.tolist(), ends)]
     n = len(names)
     ids, prints, begins, counts = zip(*where)
@@ -169,9 +170,9 @@ def _count(table: pa.Table) -> pa.Table:
     if not table.num_rows or table.column("bucket")[0].as_py() < 0:
         return table
     blobs = table.column("places").to_pylist()
-    sizes = np.array([len(b) // 8 for b in blobs])
+    sizes = np.array([len(b) // 9 for b in blobs])
     wide = np.zeros((sizes.sum(), 8), np.uint8)
-    np.concatenate([np.frombuffer(b, np.uint8, 6 * n).reshape(n, 6) for b, n in zip(blobs, sizes)], out=wide[:, :6])
+    np.concatenate([np.frombuffer(b, np.uint8, 7 * n).reshape(n, 7) for b, n in zip(blobs, sizes)], out=wide[:, :7])
     keys = wide.view("<u8").ravel()
     order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
@@ -179,7 +180,7 @@ def _count(table: pa.Table) -> pa.Table:
     hit[order[1:]] |= same
     hit[order[:-1]] |= same
     ends = np.cumsum(sizes)
-    out = [np.frombuffer(b, "<u2", n, 6 * n)[hit[e - n : e]].tobytes() for b, n, e in zip(blobs, sizes, ends)]
+    out = [np.frombuffer(b, "<u2", n, 7 * n)[hit[e - n : e]].tobytes() for b, n, e in zip(blobs, sizes, ends)]
     table = table.set_column(2, "places", pa.array(out, pa.binary()))
     return table.filter(pa.array([len(x) > 0 for x in out]))
 
