@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lagspark.functions import arrays as A
 
+from . import boosting
 from .adapters import neighbour_frame
 
+OBJECTIVES = ("regressor", "classifier")
+#: Ranges of scores that running sums are cut into.
+RANGES = 64
+#: Gates that are fitted at the same time.
+JOBS = 8
+# Fixed names and order of the common features.
 COMMON = (
     "weighted_minus_pred_mean", "weighted_residual_mean", "query_mean", "query_std", "neighbour_mean_mean", "neighbour_mean_std",
     "neighbour_std_mean", "neighbour_std_std", "same_user_ratio", "age_mean", "weight_std", "weight_max", "distance_mean",
@@ -55,42 +60,46 @@ def gains() -> Column:
 class Gate:
     """A fitted score; the context forecast is chosen where it is positive."""
 
-    def __init__(self, model=None, constant: float | None = None, features: list[str] | None = None, classifier: bool = False):
-        self.model, self.constant, self.features, self.classifier = model, constant, features, classifier
+    def __init__(self, model: boosting.Trees | None = None, constant: float | None = None, features: list[str] | None = None, classifier: bool = False):
+        self.model, self.constant, self.features, self.classifier = model, constant, list(features or []), classifier
 
     def score(self, rows: DataFrame) -> DataFrame:
-        if self.model is None:
-            return rows.withColumn("score", F.lit(float(self.constant)))
-        out = self.model.transform(VectorAssembler(inputCols=self.features, outputCol="__f").transform(rows))
-        value = vector_to_array("probability")[1] - 0.5 if self.classifier else F.col("prediction")
-        return out.withColumn("score", value).drop("__f", "rawPrediction", "probability", "prediction")
+        out = score_gates(rows, {"gate": self}, [c for c in rows.columns if c != "score"])
+        return out.withColumn("score", F.col("scores")["gate"]).drop("scores")
 
 
-def fit_gate(rows: DataFrame, features: list[str], objective: str = "regressor", target: str = "target", iterations: int = 300, rate: float = 0.03, depth: int = 4, seed: int = 1) -> Gate:
-    """A boosted gate on the signed gain; a constant one if the target does not vary."""
-    if objective not in ("regressor", "classifier"):
+def fit_gate(rows: DataFrame, features: list[str], objective: str = "regressor", target: str = "target", iterations: int = 300, rate: float = 0.03, depth: int = 4) -> Gate:
+    """A boosted gate on the signed gain; a constant one if the target does not vary. The fit is one task."""
+    if objective not in OBJECTIVES:
         raise ValueError(f"unknown objective {objective}")
-    seen = rows.agg(F.count("*").alias("n"), F.min(target).alias("lo"), F.max(target).alias("hi"), F.count_if(F.col(target) > 0).alias("up")).first()
-    if not seen["n"]:
-        raise ValueError("no rows to fit on")
-    vectors = VectorAssembler(inputCols=features, outputCol="__f").transform(rows)
-    if objective == "regressor":
-        if seen["hi"] - seen["lo"] <= 1e-12:
-            return Gate(constant=seen["lo"])
-        model = GBTRegressor(featuresCol="__f", labelCol=target, maxIter=iterations, stepSize=rate, maxDepth=depth, seed=seed)
-        return Gate(model.fit(vectors), features=features)
-    if seen["up"] in (0, seen["n"]):
-        return Gate(constant=0.5 if seen["up"] else -0.5)
-    up, down = seen["up"], seen["n"] - seen["up"]
-    most = max(up, down)
-    vectors = vectors.withColumn("__y", (F.col(target) > 0).cast("double")).withColumn("__w", F.when(F.col(target) > 0, most / up).otherwise(most / down))
-    model = GBTClassifier(featuresCol="__f", labelCol="__y", weightCol="__w", maxIter=iterations, stepSize=rate, maxDepth=depth, seed=seed)
-    return Gate(model.fit(vectors), features=features, classifier=True)
-
-
-def fit_step_gates(rows: DataFrame, features: list[str], horizon: int, objective: str, seed: int = 1, **how) -> list[Gate]:
+    plan = {"name": "gate", "classifier": objective == "classifier", "target": F.col(target), "features": F.array(*features)}
+    found = boosting.fit_all(rows, [plan], F.struct(*features), iterations, rate, depth)["gate"]
+    constant, model = (found, None) if isinstance(found, float) else (None, found)
+    return Gate(model, constant, features, objective == "classifier")
+
+
+def fit_step_gates(rows: DataFrame, features: list[str], horizon: int, objective: str, **how) -> list[Gate]:
     """One gate a step, its target the gain at that step."""
-    return [fit_gate(rows.withColumn("__t", F.col("target_steps")[h]), features, objective, "__t", seed=seed + h, **how) for h in range(horizon)]
+    return _fit_side_by_side(rows, [(features, objective, h) for h in range(horizon)], **how)
+
+
+def _fit_side_by_side(rows: DataFrame, plans: list[tuple[list[str], str, int | None]], **how) -> list[Gate]:
+    """Gates of (features, objective, step or None for the mean gain); their jobs run at the same time."""
+    by_step = rows.withColumns({f"__t{h}": F.col("target_steps")[h] for _, _, h in plans if h is not None})
+
+    def one(plan):
+        features, objective, h = plan
+        return fit_gate(by_step, features, objective, "target" if h is None else f"__t{h}", **how)
+
+    with ThreadPoolExecutor(JOBS) as pool:
+        return list(pool.map(one, plans))
+
+
+def score_gates(rows: DataFrame, gates: dict[str, Gate], keys: list[str]) -> DataFrame:
+    """keys and scores, a map from each gate's name to its score, in one pass."""
+    plans = [{"name": n, "classifier": g.classifier, "features": F.array(*g.features).cast("array<double>")} for n, g in gates.items()]
+    fitted = {n: g.model if g.model is not None else float(g.constant) for n, g in gates.items()}
+    return boosting.score_all(rows, fitted, plans, keys)
 
 
 def with_shift_columns(rows: DataFrame, horizon: int) -> tuple[DataFrame, list[str]]:
@@ -127,48 +136,94 @@ def oracles(payload: DataFrame) -> DataFrame:
     return _prediction(payload, "oracle_context_scalar", scalar).unionByName(_prediction(payload, "oracle_context_horizon", step))
 
 
-def run(payload: DataFrame, horizon: int, iterations: int = 300, rate: float = 0.03, depth: int = 4, seed: int = 1, per_step: bool = True) -> DataFrame:
+def run(payload: DataFrame, horizon: int, iterations: int = 300, rate: float = 0.03, depth: int = 4, per_step: bool = True) -> DataFrame:
     """Predictions of all gates: boosted on the oracle split by two objectives, Bayes and oracle ones."""
-    rows = gate_features(payload)
-    fit_on = rows.where("split = 'oracle'").cache()
     out = bayes_gates(payload).unionByName(oracles(payload))
-    how = {"iterations": iterations, "rate": rate, "depth": depth}
-    wide, names = with_shift_columns(rows, horizon)
-    wide_fit, _ = with_shift_columns(fit_on, horizon)
-    for o, objective in enumerate(("regressor", "classifier")):
-        gate = fit_gate(fit_on, list(SCALAR), objective, seed=seed + 10000 * o, **how)
-        out = out.unionByName(select_by(payload, gate.score(rows), f"boosted_context_{objective}_scalar"))
+    wide, gates = _all_gates(payload, horizon, per_step, iterations=iterations, rate=rate, depth=depth)
+    scored = score_gates(wide, gates, ["split", "qt", "qu"])
+    joined = payload.join(scored, ["split", "qt", "qu"])
+    for o in OBJECTIVES:
+        take = F.col("scores")[f"{o}_scalar"] > 0
+        out = out.unionByName(_prediction(joined, f"boosted_context_{o}_scalar", F.when(take, F.col("pred_ctx")).otherwise(F.col("pred"))))
         if per_step:
-            gates = fit_step_gates(wide_fit, names, horizon, objective, seed=seed + 10000 * o + 1000, **how)
-            scored = wide
-            for h, g in enumerate(gates):
-                scored = g.score(scored).withColumnRenamed("score", f"__s{h}")
-            use = F.array(*[F.col(f"__s{h}") > 0 for h in range(horizon)])
-            joined = payload.join(scored.select("split", "qt", "qu", use.alias("use")), ["split", "qt", "qu"])
-            out = out.unionByName(_prediction(joined, f"boosted_context_{objective}_horizon", A.choose("use", "pred_ctx", "pred")))
+            use = F.array(*[F.col("scores")[f"{o}_{h}"] > 0 for h in range(horizon)])
+            out = out.unionByName(_prediction(joined.withColumn("use", use), f"boosted_context_{o}_horizon", A.choose("use", "pred_ctx", "pred")))
     return out
 
 
+def _all_gates(payload: DataFrame, horizon: int, per_step: bool, **how) -> tuple[DataFrame, dict[str, Gate]]:
+    """The features of all rows, and the gates fitted on the oracle split by name: objective_scalar and objective_step."""
+    wide, names = with_shift_columns(gate_features(payload), horizon)
+    plans = [(list(SCALAR), o, None) for o in OBJECTIVES]
+    plans += [(names, o, h) for o in OBJECTIVES for h in range(horizon)] if per_step else []
+    fit_on = wide.where("split = 'oracle'").cache()
+    fitted = _fit_side_by_side(fit_on, plans, **({"iterations": 300, "rate": 0.03} | how))
+    fit_on.unpersist()
+    return wide, {f"{o}_{'scalar' if h is None else h}": g for (_, o, h), g in zip(plans, fitted)}
+
+
+def gate_scores(payload: DataFrame, horizon: int, **how) -> DataFrame:
+    """(split, qt, qu, gate, h, score, target) of the boosted gates, h -1 for the scalar ones."""
+    wide, gates = _all_gates(payload, horizon, True, **how)
+    scored = score_gates(wide, gates, ["split", "qt", "qu", "target", "target_steps"])
+    rows = scored.select("split", "qt", "qu", "target", "target_steps", F.explode("scores").alias("name", "score"))
+    last = F.substring_index("name", "_", -1)
+    h = F.when(last == "scalar", -1).otherwise(last.try_cast("int"))
+    target = F.when(h < 0, F.col("target")).otherwise(F.get("target_steps", h))
+    return rows.select("split", "qt", "qu", F.substring_index("name", "_", 1).alias("gate"), h.alias("h"), "score", target.alias("target"))
+
+
+def select_score(scores: DataFrame, gate: str, step: int | str | None = None) -> DataFrame:
+    """(split, qt, qu, h, score, target) of one gate: its scalar form (None), all its steps ("all"), or one step.
+
+    Older names are understood too: the objective with a shape behind it, as in regressor_horizon.
+    """
+    name, _, shape = gate.partition("_")
+    if name not in OBJECTIVES or shape not in ("", "scalar", "horizon"):
+        raise ValueError(f"unknown gate {gate}")
+    step = "all" if shape == "horizon" and step is None else step
+    rows = scores.where(F.col("gate") == name)
+    rows = rows.where("h < 0") if step is None else rows.where("h >= 0") if step == "all" else rows.where(F.col("h") == int(step))
+    return rows.select("split", "qt", "qu", "h", "score", "target")
+
+
+def _summed(scores: DataFrame, score: str, target: str) -> DataFrame:
+    finite = F.col(score).isNotNull() & F.col(target).isNotNull() & ~F.isnan(score) & ~F.isnan(target)
+    rows = scores.where(finite).groupBy(F.col(score).cast("double").alias("score"))
+    return rows.agg(F.count_if(F.col(target) > 0).alias("p"), F.count_if(F.col(target) <= 0).alias("m"))
+
+
 def roc_curve(scores: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     """(score, tp, fp, tpr, fpr) at each distinct score, falling; target > 0 is the positive class.
 
-    Rows are first summed by score, so the running sums see one row a distinct score.
+    Rows are first summed by score. Running sums are made within RANGES ranges of scores and
+    start from the sums of the ranges above, so no task sorts all scores.
     """
-    finite = F.col(score).isNotNull() & F.col(target).isNotNull() & ~F.isnan(score) & ~F.isnan(target)
-    rows = scores.where(finite).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(target) > 0).alias("p"), F.count_if(F.col(target) <= 0).alias("m"))
-    down = Window.orderBy(F.desc("score"))
+    rows = _summed(scores, score, target)
+    # One small job: where the ranges end.
+    points = scores.agg(F.percentile_approx(F.col(score).cast("double"), [i / RANGES for i in range(1, RANGES)], 1000).alias("p")).first()["p"] or []
+    place = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(points))]).cast("array<double>"), lambda x: x >= F.col("score")))
+    rows = rows.withColumn("range", place)
+    # At most RANGES rows, one partition.
+    above = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
-    out = rows.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("m").over(down), "__p": F.sum("p").over(everything), "__m": F.sum("m").over(everything)})
+    sums = rows.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("m").alias("rm"))
+    sums = sums.select(
+        "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(n) for c, n in (("rp", "p0"), ("rm", "m0"))), F.sum("rp").over(everything).alias("all_p"), F.sum("rm").over(everything).alias("all_m")
+    )
+    down = Window.partitionBy("range").orderBy(F.desc("score"))
+    out = rows.join(F.broadcast(sums), "range").withColumns({"tp": F.sum("p").over(down) + F.col("p0"), "fp": F.sum("m").over(down) + F.col("m0")})
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    return out.select("score", "tp", "fp", rate("tp", "__p").alias("tpr"), rate("fp", "__m").alias("fpr"))
+    return out.select("score", "tp", "fp", rate("tp", "all_p").alias("tpr"), rate("fp", "all_m").alias("fpr"), "p", "m", "all_p", "all_m")
 
 
 def roc_auc(scores: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     """(auc, accuracy, n): area by trapezoids, and the share of rows whose score's sign is right; auc is null for one class."""
     curve = roc_curve(scores, score, target)
-    before = Window.orderBy(F.desc("score"))
-    area = (F.col("fpr") - F.lag("fpr", 1, 0.0).over(before)) * (F.col("tpr") + F.lag("tpr", 1, 0.0).over(before)) / 2
-    auc = curve.withColumn("a", area).agg(F.sum("a").alias("auc"))
+    # A trapezoid's left edge is where the curve stood before the score's own rows.
+    area = F.col("m") / F.col("all_m") * (2 * F.col("tp") - F.col("p")) / F.col("all_p") / 2
+    both = (F.col("all_p") > 0) & (F.col("all_m") > 0)
+    auc = curve.agg(F.sum(F.when(both, area)).alias("auc"))
     right = scores.agg(F.avg(((F.col(score) > 0) == (F.col(target) > 0)).cast("double")).alias("accuracy"), F.count("*").alias("n"))
     return auc.join(right, F.lit(True))  # one row each
 
