@@ -1,7 +1,8 @@
 """Output-space adapters: neighbour averages and ridge mixes of a prediction table.
 
-Fits need one pass: the Gram matrix of the features and their products with the target are
-sums, so executors send p * (p + 3) / 2 numbers a group, and only the p x p solve is local.
+Fits need one pass: the Gram matrices of the features and their products with the targets
+are sums by step, which all trainable methods share in one aggregation. Executors send a few
+dozen numbers a step, and only the p x p solves are local.
 """
 
 from __future__ import annotations
@@ -53,6 +54,18 @@ def solve(row, p: int, l2: float) -> np.ndarray:
     return beta / scale
 
 
+def ridge_pairs(rows: DataFrame, by: list[str], l2: float) -> DataFrame:
+    """b0, b1 of solve() for two features, by group: Cramer's rule in Catalyst, so groups may be many."""
+    g = gram(rows, 2, by)
+    n = F.col("n")
+    scaled = g.withColumns({f"s{i}": F.greatest(F.sqrt(F.col(f"xx_{i}_{i}") / n), F.lit(1e-12)) for i in (0, 1)})
+    p = lambda i: F.col(f"xx_{i}_{i}") / n / F.pow(f"s{i}", F.lit(2.0)) + l2
+    off = F.col("xx_0_1") / n / F.col("s0") / F.col("s1")
+    r = [F.col(f"xy_{i}") / n / F.col(f"s{i}") for i in (0, 1)]
+    det = p(0) * p(1) - off * off
+    return scaled.select(*by, ((p(1) * r[0] - off * r[1]) / det / F.col("s0")).alias("b0"), ((p(0) * r[1] - off * r[0]) / det / F.col("s1")).alias("b1"))
+
+
 def step_rows(frame: DataFrame, features: Column, target: Column) -> DataFrame:
     """(h, f, target) a query and step; features is an array over steps of feature arrays."""
     rows = frame.select(F.posexplode(F.arrays_zip(features.alias("f"), target.alias("target"))).alias("h", "z"))
@@ -69,33 +82,58 @@ def _neighbours(name: str, k: int) -> list[Column]:
     return [F.col("nbrs")[i][name] for i in range(k)]
 
 
-def fit(payload: DataFrame, k: int, l2: float = 1e-3) -> dict[str, np.ndarray]:
-    """Coefficients of the trainable adapters on the rows given (k neighbours each)."""
+def _plans(k: int) -> dict[str, tuple[list[str], str, bool]]:
+    """Features, target and whether each step has coefficients of its own, by trainable method."""
+    ys, es = [f"ys{i}" for i in range(k)], [f"es{i}" for i in range(k)]
+    return {
+        "horizon_mix_scalar": (["shift"], "error", False),
+        "residual_mix_scalar": (["ew"], "error", False),
+        "residual_ridge_shared": (es, "error", False),
+        "horizon_ridge_shared": (["pred", *ys], "y", False),
+        "residual_ridge_horizon": (es, "error", True),
+        "full_ridge_horizon": (["pred", *ys, "pred_ctx"], "y", True),
+    }
+
+
+def step_products(payload: DataFrame, k: int) -> DataFrame:
+    """n and the sums of products that the trainable methods need, by step h: one aggregation for all of them."""
     frame = neighbour_frame(payload)
     error = F.zip_with("y", "pred", lambda a, b: a - b)
     shift = F.zip_with("yw", "pred", lambda a, b: a - b)
-    residual, horizon = _over_steps(*_neighbours("es", k)), _over_steps(F.col("pred"), *_neighbours("ys", k))
-    everything = _over_steps(F.col("pred"), *_neighbours("ys", k), F.col("pred_ctx"))
-    plans = {
-        "horizon_mix_scalar": (_over_steps(shift), error, 1, False),
-        "residual_mix_scalar": (_over_steps(F.col("ew")), error, 1, False),
-        "residual_ridge_shared": (residual, error, k, False),
-        "horizon_ridge_shared": (horizon, F.col("y"), k + 1, False),
-        "residual_ridge_horizon": (residual, error, k, True),
-        "full_ridge_horizon": (everything, F.col("y"), k + 2, True),
-    }
+    columns = {"pred": F.col("pred"), "pred_ctx": F.col("pred_ctx"), "y": F.col("y"), "ew": F.col("ew"), "error": error, "shift": shift}
+    columns |= {f"{n}{i}": c for n in ("ys", "es") for i, c in enumerate(_neighbours(n, k))}
+    steps = frame.select(F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in columns.items()])).alias("h", "z")).select("h", "z.*")
+    return steps.groupBy("h").agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in sorted(_pairs(k))])
+
+
+def _pairs(k: int) -> set[tuple[str, str]]:
+    """The products that some trainable method needs."""
+    pairs = {tuple(sorted((a, b))) for features, _, _ in _plans(k).values() for a in features for b in features}
+    return pairs | {tuple(sorted((a, target))) for features, target, _ in _plans(k).values() for a in features}
+
+
+def fit(payload: DataFrame, k: int, l2: float = 1e-3) -> dict[str, np.ndarray]:
+    """Coefficients of the trainable adapters on the rows given (k neighbours each)."""
+    steps = [r.asDict() for r in step_products(payload, k).orderBy("h").collect()]  # one row a step
+    if not steps:
+        raise ValueError("no rows to fit on")
+    whole = {key: sum(r[key] for r in steps) for key in steps[0]}
     out = {}
-    for name, (features, target, p, per_step) in plans.items():
-        rows = gram(step_rows(frame, features, target), p, ["h"] if per_step else None).collect()  # one row, or one a step
-        if not rows or not rows[0]["n"]:
-            raise ValueError("no rows to fit on")
-        found = np.array([solve(r, p, l2) for r in sorted(rows, key=lambda r: r["h"] if per_step else 0)])
+    for name, (features, target, per_step) in _plans(k).items():
+        found = np.array([solve(_row(r, features, target), len(features), l2) for r in (steps if per_step else [whole])])
         out[name] = found if per_step else found[0]
         if name.endswith("mix_scalar"):
             out[name] = np.clip(out[name], 0, 1)
     return out
 
 
+def _row(sums: dict, features: list[str], target: str) -> dict:
+    """The row of gram() for some features and a target, out of named products."""
+    product = lambda a, b: sums["*".join(sorted((a, b)))]
+    out = {"n": sums["n"]} | {f"xy_{i}": product(a, target) for i, a in enumerate(features)}
+    return out | {f"xx_{i}_{j}": product(a, features[j]) for i, a in enumerate(features) for j in range(i, len(features))}
+
+
 def _literal(x: np.ndarray) -> Column:
     return F.array(*[_literal(v) if np.ndim(v) else F.lit(float(v)) for v in x])
 

@@ -125,7 +125,8 @@ def knn_blocks(queries: DataFrame, store: DataFrame, policy: StorePolicy, k: int
 
     Each side is dealt into blocks by a hash, so that no phase is one task; a block pair
     returns at most k rows a query, and a window merges them. Differences are summed exactly
-    for the pairs that a product with an error bound does not rule out.
+    for the pairs that a product with an error bound does not rule out. Blocks hold about
+    ``block`` rows whatever the sizes, and empty phases cost nothing.
     """
     q = store_bounds(prepared(queries, metric), policy).where("keep_n > 0")
     n_phases = policy.stride
@@ -145,27 +146,28 @@ def knn_blocks(queries: DataFrame, store: DataFrame, policy: StorePolicy, k: int
         found: dict[str, list] = {c: [] for c in ("split", "qt", "qu", "nt", "nu", "distance")}
         if a.num_rows and b.num_rows:
             x, y = (np.array(t.column("feat").to_pylist()) for t in (a, b))
+            lo, hi, qt, qu = (a.column(c).to_numpy() for c in ("lo", "hi", "t", "series_id"))
             nt, nu = b.column("t").to_numpy(), b.column("series_id").to_numpy()
-            yy = (y * y).sum(axis=1)
-            for i in range(a.num_rows):
-                ok = np.nonzero((nt >= a.column("lo")[i].as_py()) & (nt <= a.column("hi")[i].as_py()))[0]
-                if not len(ok):
-                    continue
-                about = yy[ok] - 2 * (y[ok] @ x[i]) + x[i] @ x[i]
-                if len(ok) > k:
-                    slack = 1e-9 * (1 + yy[ok].max() + x[i] @ x[i])
-                    ok = ok[about <= np.partition(about, k - 1)[k - 1] + slack]
-                d = np.sqrt(((y[ok] - x[i]) ** 2).sum(axis=1)) if metric == "euclidean" else 1 - y[ok] @ x[i]
-                best = np.lexsort((nt[ok], nu[ok], d))[:k]
-                n = len(best)
-                found["split"] += [a.column("split")[i].as_py()] * n
-                found["qt"] += [a.column("t")[i].as_py()] * n
-                found["qu"] += [a.column("series_id")[i].as_py()] * n
-                found["nt"] += nt[ok[best]].tolist()
-                found["nu"] += nu[ok[best]].tolist()
-                found["distance"] += d[best].tolist()
+            xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            for s in range(0, len(x), 256):
+                # One product for a slice of queries; what it surely rules out is not summed exactly.
+                about = xx[s : s + 256, None] + yy - 2 * (x[s : s + 256] @ y.T)
+                about[(nt < lo[s : s + 256, None]) | (nt > hi[s : s + 256, None])] = np.inf
+                floor = np.partition(about, k - 1, axis=1)[:, k - 1 : k] if len(y) > k else np.full((len(about), 1), np.inf)
+                slack = 1e-9 * (1 + yy.max() + xx[s : s + 256, None])
+                i, j = np.nonzero((about <= floor + slack) & (about < np.inf))
+                p = i + s
+                d = np.sqrt(((y[j] - x[p]) ** 2).sum(axis=1)) if metric == "euclidean" else 1 - (y[j] * x[p]).sum(axis=1)
+                order = np.lexsort((nt[j], nu[j], d, p))
+                i, j, p, d = i[order], j[order], p[order], d[order]
+                starts = np.concatenate([[0], np.nonzero(np.diff(p))[0] + 1]) if len(p) else np.empty(0, int)
+                place = np.arange(len(p)) - np.repeat(starts, np.diff(np.append(starts, len(p))))
+                j, p, d = j[place < k], p[place < k], d[place < k]
+                found["split"].append(a.column("split").take(pa.array(p)).to_pylist())
+                for name, values in (("qt", qt[p]), ("qu", qu[p]), ("nt", nt[j]), ("nu", nu[j]), ("distance", d)):
+                    found[name].append(values)
         kinds = [pa.string(), *[pa.int64()] * 4, pa.float64()]
-        return pa.table([pa.array(v, t) for v, t in zip(found.values(), kinds)], names=list(found))
+        return pa.table([pa.array([x for part in v for x in part], t) for v, t in zip(found.values(), kinds)], names=list(found))
 
     tiles = left.unionByName(right).groupBy("phase", "qb", "sb").applyInArrow(tile, "split string, qt long, qu long, nt long, nu long, distance double")
     rank = F.row_number().over(Window.partitionBy("split", "qt", "qu").orderBy("distance", "nu", "nt"))

@@ -12,6 +12,8 @@ from lagspark.functions import arrays as A
 
 RATIOS = (0.3, 0.35, 0.15, 0.2)
 SPLITS = ("train", "oracle", "eval")
+#: Positions of a series that one task cuts into windows.
+CHUNK = 8192
 
 
 def parse_ratios(text: str | tuple) -> tuple[float, ...]:
@@ -36,10 +38,20 @@ def bounds_table(series: DataFrame, ratios=RATIOS) -> DataFrame:
     return n.select(end(a).alias("t0_end"), end(a + b).alias("t1_end"), end(a + b + c).alias("t2_end"), F.col("n").cast("long").alias("t3_end"))
 
 
-def windows(series: DataFrame, lags: int, horizon: int) -> DataFrame:
-    """(series_id, t, x, y) for every start with a whole window: one shuffle, by series."""
-    w = Window.partitionBy("series_id").orderBy("t").rowsBetween(0, lags + horizon - 1)
-    found = series.select("series_id", "t", F.collect_list("value").over(w).alias("v")).where(F.size("v") == lags + horizon)
+def windows(series: DataFrame, lags: int, horizon: int, chunk: int = CHUNK) -> DataFrame:
+    """(series_id, t, x, y) for every start with a whole window: one shuffle, by series and time chunk.
+
+    Positions t are dense. A chunk also gets the first rows of the next one, which its last
+    windows reach into, so a long series is many tasks.
+    """
+    span = lags + horizon
+    chunk = max(chunk, span)
+    own, place = F.floor(F.col("t") / chunk), F.pmod("t", F.lit(chunk))
+    chunks = F.when(place < span - 1, F.array(own, own - 1)).otherwise(F.array(own))
+    rows = series.select("series_id", "t", "value", F.explode(chunks).alias("__chunk"))
+    w = Window.partitionBy("series_id", "__chunk").orderBy("t").rowsBetween(0, span - 1)
+    found = rows.select("series_id", "t", "__chunk", F.collect_list("value").over(w).alias("v"))
+    found = found.where((F.size("v") == span) & (F.col("__chunk") == own))
     return found.select("series_id", "t", F.slice("v", 1, lags).alias("x"), F.slice("v", lags + 1, horizon).alias("y"))
 
 
