@@ -76,7 +76,7 @@ def improvements(means: DataFrame, reference: str, higher_is_better: bool = Fals
 def positive_only(means: DataFrame, reference: str, higher_is_better: bool = False) -> DataFrame:
     """The reference and the methods that improve on it overall."""
     good = improvements(means, reference, higher_is_better).where("level = 'overall' AND improvement_pct > 0").select("method")
-    return means.join(F.broadcast(good), "method", "left_semi").unionByName(means.where(F.col("method") == reference).select("method", *[c for c in means.columns if c != "method"]))
+    return means.join(good, "method", "left_semi").unionByName(means.where(F.col("method") == reference).select("method", *[c for c in means.columns if c != "method"]))
 
 
 def pivoted(means: DataFrame, methods: list[str]) -> DataFrame:
