@@ -92,13 +92,14 @@ def batch_model(rows: DataFrame, predict: Callable[[np.ndarray], np.ndarray], co
     return rows.withColumn(column, run(x))
 
 
-def payload(queries: DataFrame, neighbours: DataFrame, windows: DataFrame, vanilla: Forecaster, contextual: Forecaster) -> DataFrame:
+def payload(queries: DataFrame, neighbours: DataFrame, windows: DataFrame, vanilla: Forecaster, contextual: Forecaster, lookbacks: bool = False) -> DataFrame:
     """One row a query: x, y, mu, sd, pred, pred_ctx and nbrs by rank.
 
     A neighbour holds rank, nt, nu, distance, its mu and sd, its horizon ys and residual es
     (actual minus its own forecast) on the query's scale. Neighbour windows are joined by
     key, so that only the k rows of a query are ever held. Queries without neighbours keep
-    empty nbrs and their context forecast is the plain one.
+    empty nbrs and their context forecast is the plain one. With lookbacks, a neighbour also
+    holds its lookback xs on the query's scale.
     """
     q = queries.select("split", F.col("t").alias("qt"), F.col("series_id").alias("qu"), "x", "y", "mu", "sd")
     found = lookup(neighbours, windows).join(q.select("split", "qt", "qu", "mu", "sd"), ["split", "qt", "qu"])
@@ -117,6 +118,8 @@ def payload(queries: DataFrame, neighbours: DataFrame, windows: DataFrame, vanil
     plain = vanilla(F.col("x"), None)
     ctx = F.when(F.col("nbrs").isNull(), plain).otherwise(contextual(F.col("x"), context))
     whole = whole.withColumns({"pred": plain, "pred_ctx": ctx})
-    drop = F.transform("nbrs", lambda n: F.struct(*[n[c].alias(c) for c in ("rank", "nt", "nu", "distance", "mu", "sd", "ys", "es")]))
-    kind = "array<struct<rank:bigint,nt:bigint,nu:bigint,distance:double,mu:double,sd:double,ys:array<double>,es:array<double>>>"
-    return whole.withColumn("nbrs", F.coalesce(drop, F.array().cast(kind)))
+    names, kind = ("rank", "nt", "nu", "distance", "mu", "sd", "ys", "es"), "rank:bigint,nt:bigint,nu:bigint,distance:double,mu:double,sd:double,ys:array<double>,es:array<double>"
+    xs = lambda n: [F.slice(n["ws"], F.lit(1), F.size("x")).alias("xs")] if lookbacks else []
+    drop = F.transform("nbrs", lambda n: F.struct(*[n[c].alias(c) for c in names], *xs(n)))
+    kind += ",xs:array<double>" if lookbacks else ""
+    return whole.withColumn("nbrs", F.coalesce(drop, F.array().cast(f"array<struct<{kind}>>")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagspark.functions import arrays as A
-from lagspark.operators import adapters, forecasts, gates, metrics, mixture, report, retrieval, windows
+from lagspark.operators import adapters, attention, forecasts, gates, metrics, mixture, payloads, report, retrieval, windows
 from lagspark.sources import series as S
 
 from .sql import SQL
@@ -30,6 +31,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 # Shared inputs.
 
+#: The tables that the last queries keep; an older one is let go for each new one.
+_KEPT: deque[DataFrame] = deque()
+
+
+def keep(df: DataFrame, most: int = 4) -> DataFrame:
+    """df cached, and the oldest cached table beyond the most recent ones freed (it would be worked out anew if still asked for)."""
+    _KEPT.append(df.cache())
+    while len(_KEPT) > most:
+        _KEPT.popleft().unpersist()
+    return df
+
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.event_series(read(spark, sf_dir, "events"))
@@ -43,7 +55,7 @@ def all_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int,
     """Windows with statistics and features. Cached: queries, store and neighbour lookups all read them."""
     long = series(spark, sf_dir)
     rows = windows.features(windows.with_stats(windows.windows(long, LAGS, HORIZON)))
-    return rows.cache(), bounds(long)
+    return keep(rows), bounds(long)
 
 
 def queries_of(rows: DataFrame, ends: tuple[int, int, int, int], splits=windows.SPLITS) -> DataFrame:
@@ -62,14 +74,14 @@ def neighbours(spark: SparkSession, sf_dir: str, splits=windows.SPLITS, metric:
     rows, ends = all_windows(spark, sf_dir)
     feats = rows if space == "instance" else windows.features(rows, space)
     q = queries_of(feats, ends, splits)
-    return retrieval.knn_join(q, feats, online(), K, metric), q, rows
+    return retrieval.knn_blocks(q, feats, online(), K, metric), q, rows
 
 
-def payload_of(spark: SparkSession, sf_dir: str, splits=windows.SPLITS) -> DataFrame:
+def payload_of(spark: SparkSession, sf_dir: str, splits=windows.SPLITS, lookbacks: bool = False) -> DataFrame:
     """The prediction table: persistence, and the blended forecaster given the neighbours."""
     near, q, rows = neighbours(spark, sf_dir, splits)
-    out = forecasts.payload(q, near, rows, forecasts.persistence(HORIZON), forecasts.blended(HORIZON, PERIOD))
-    return out.where(F.size("nbrs") > 0).cache()
+    out = forecasts.payload(q, near, rows, forecasts.persistence(HORIZON), forecasts.blended(HORIZON, PERIOD), lookbacks)
+    return keep(out.where(F.size("nbrs") > 0))
 
 
 def frame_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +141,10 @@ def asfreq_grid(spark, sf_dir):
 @query
 def complete_rows(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem").select(F.date_trunc("month", "l_shipdate").alias("ts"), F.lower(F.concat("l_returnflag", "l_linestatus")).alias("s"), "l_quantity")
-    wide = items.groupBy("ts").pivot("s", ["af", "nf", "rf"]).agg(F.sum("l_quantity"))
-    return S.complete_rows(wide).select("ts", *r6("af", "nf", "rf"))
+    wide = items.groupBy("ts").pivot("s", ["af", "nf", "no", "rf"]).agg(F.sum("l_quantity"))
+    some = ["af", "nf", "rf"]
+    whole = S.complete_rows(wide.select("ts", *some)).select("ts", *r6(*some))
+    return whole.join(wide.select("ts", F.round("no", 6).alias("no")), "ts", "left")
 
 
 @query
@@ -167,14 +181,14 @@ def query_starts(spark, sf_dir):
 
 @query
 def window_extract(spark, sf_dir):
-    rows = windows.windows(series(spark, sf_dir), LAGS, HORIZON).where("t % 60 = 0")
+    rows = windows.windows(series(spark, sf_dir), LAGS, HORIZON)
     return flat(rows, ["series_id", "t"], ["x", "y"], LAGS)
 
 
 @query
 def instance_norm(spark, sf_dir):
     rows, _ = all_windows(spark, sf_dir)
-    return flat(rows.where("t % 48 = 0"), ["series_id", "t"], ["feat"], LAGS)
+    return flat(rows, ["series_id", "t"], ["feat"], LAGS)
 
 
 @query
@@ -200,8 +214,7 @@ def _patches(rows: DataFrame) -> DataFrame:
 
 @query
 def patch_unfold(spark, sf_dir):
-    rows, ends = all_windows(spark, sf_dir)
-    return _patches(queries_of(rows, ends, ("eval",)))
+    return _patches(all_windows(spark, sf_dir)[0])
 
 
 @query
@@ -211,8 +224,7 @@ def patch_unfold_all(spark, sf_dir):
 
 @query
 def moving_average(spark, sf_dir):
-    rows, ends = all_windows(spark, sf_dir)
-    out = windows.moving_average(queries_of(rows, ends, ("eval",)), 5)
+    out = windows.moving_average(all_windows(spark, sf_dir)[0], 5)
     return flat(out, ["series_id", "t"], ["trend", "residual"], LAGS)
 
 
@@ -234,6 +246,14 @@ def encoder_features(spark, sf_dir):
     return windows.embed(rows, lambda x: x @ basis).select("series_id", "t", A.rounded("feat").alias("feat"))
 
 
+@query
+def patch_encoder_features(spark, sf_dir):
+    """Lookbacks in the space of a patch transformer's encoder with seeded weights."""
+    rows, _ = all_windows(spark, sf_dir)
+    model = attention.PatchTransformer.fresh(LAGS, HORIZON, seed=5)
+    return windows.embed(rows, model.embed).select("series_id", "t", A.rounded("feat").alias("feat"))
+
+
 # Retrieval.
 
 
@@ -338,8 +358,11 @@ def context_forecast(spark, sf_dir):
 @query
 def linear_forecast(spark, sf_dir):
     rows, ends = all_windows(spark, sf_dir)
-    model = forecasts.load_model("linear", weights=np.full((1, LAGS), 1 / LAGS), bias=np.ones(1))
-    return queries_of(rows, ends).select("split", F.col("t").alias("qt"), F.col("series_id").alias("qu"), F.round(model(F.col("x"), None)[0], 6).alias("pred"))
+    weights = np.array([[(h + 1) * (i + 1) / 2311 for i in range(LAGS)] for h in range(HORIZON)])
+    model = forecasts.load_model("linear", weights=weights, bias=np.arange(HORIZON, dtype=float))
+    rows = queries_of(rows, ends).select("split", F.col("t").alias("qt"), F.col("series_id").alias("qu"), model(F.col("x"), None).alias("pred"))
+    out = rows.select("split", "qt", "qu", F.posexplode("pred").alias("h", "v"))
+    return out.select("split", "qt", "qu", F.col("h").cast("long").alias("h"), F.round("v", 4).alias("pred"))
 
 
 def _nbrs(spark, sf_dir, splits=windows.SPLITS) -> DataFrame:
@@ -358,7 +381,9 @@ def residual_transfer(spark, sf_dir):
 
 @query
 def payload(spark, sf_dir):
-    return _nbrs(spark, sf_dir).select("split", "qt", "qu", "rank", "nt", "nu", *r6("distance", "mu", "sd"))
+    rows = _nbrs(spark, sf_dir)
+    out = flat(rows, ["split", "qt", "qu", "rank", "nt", "nu", "distance", "mu", "sd"], ["ys", "es"], HORIZON)
+    return out.withColumns({c: F.round(c, 6) for c in ("distance", "mu", "sd")})
 
 
 # Metrics and adapters.
@@ -455,7 +480,8 @@ def feature_table(spark, sf_dir):
 @query
 def scale_quantiles(spark, sf_dir):
     rows, ends = all_windows(spark, sf_dir)
-    return metrics.scale_diagnostics(queries_of(rows, ends)).select("split", *r6("q0", "q5", "q50"), "below_1e3")
+    names = ("q0", "q0_1", "q1", "q5", "q10", "q50")
+    return metrics.scale_diagnostics(queries_of(rows, ends)).select("split", *r6(*names), "below_1e8", "below_1e6", "below_1e3")
 
 
 # Gates.
@@ -477,8 +503,7 @@ def oracle_gates(spark, sf_dir):
 
 @query
 def gate_features(spark, sf_dir):
-    names = ("context_shift_mean", "context_shift_std", "weighted_minus_pred_mean", "weighted_residual_mean", "neighbour_mean_std", "same_user_ratio", "age_mean", "weight_std", "weight_max")
-    return gates.gate_features(payload_of(spark, sf_dir)).select("split", "qt", "qu", *r6(*names), F.round("target", 6).alias("target"))
+    return gates.gate_features(payload_of(spark, sf_dir)).select("split", "qt", "qu", *r6(*gates.SCALAR), F.round("target", 6).alias("target"))
 
 
 @query
@@ -530,6 +555,91 @@ def loss_histogram(spark, sf_dir):
     return metrics.histogram(gates.gate_features(payload_of(spark, sf_dir)), "target")
 
 
+# Prediction tables as inputs.
+
+
+@query
+def payload_shapes(spark, sf_dir):
+    return payloads.validate(payload_of(spark, sf_dir))
+
+
+@query
+def missing_splits(spark, sf_dir):
+    return payloads.missing_splits(payload_of(spark, sf_dir, ("train", "eval")))
+
+
+@query
+def payload_alignment(spark, sf_dir):
+    rows, ends = all_windows(spark, sf_dir)
+    asked = queries_of(rows, ends).select("split", F.col("t").alias("qt"), F.col("series_id").alias("qu"))
+    return payloads.aligned(asked, payload_of(spark, sf_dir))
+
+
+@query
+def merged_predictions(spark, sf_dir):
+    rows = payload_of(spark, sf_dir)
+    first = rows.select("split", "qt", "qu", F.lit("shown").alias("method"), F.col("pred").alias("yhat"))
+    later = rows.where("split = 'eval'").select("split", "qt", "qu", F.lit("shown").alias("method"), F.col("pred_ctx").alias("yhat"))
+    return by_step(payloads.merge([first, later]), "yhat")
+
+
+@query
+def head_samples(spark, sf_dir):
+    return payloads.head(payload_of(spark, sf_dir), 40).select("split", "qt", "qu")
+
+
+@query
+def random_samples(spark, sf_dir):
+    return payloads.sample(payload_of(spark, sf_dir), 60, seed=7).select("split", "qt", "qu")
+
+
+@query
+def single_precision(spark, sf_dir):
+    return payloads.single(series(spark, sf_dir), "value").select("t", "series_id", *r6("value"))
+
+
+@query
+def plot_weights(spark, sf_dir):
+    w = payloads.plot_weights(F.transform("nbrs", lambda n: n["distance"]))
+    rows = payload_of(spark, sf_dir).select("split", "qt", "qu", F.posexplode(w).alias("r", "w"))
+    return rows.select("split", "qt", "qu", (F.col("r") + 1).cast("long").alias("rank"), *r6("w"))
+
+
+@query
+def dashboard_features(spark, sf_dir):
+    return payloads.dashboard_features(payload_of(spark, sf_dir)).select("split", "qt", "qu", *r6(*gates.SCALAR))
+
+
+@query
+def optional_columns(spark, sf_dir):
+    rows = payload_of(spark, sf_dir)
+    has = {"disagreement": (("pred", "pred_ctx"), A.mse("pred_ctx", "pred")), "memory": (("memory",), F.lit(1.0)), "scale": (("sd",), F.col("sd"))}
+    out = payloads.with_optional(rows, has)
+    return out.select("split", "qt", "qu", *r6(*[c for c in has if c in out.columns]))
+
+
+@query
+def method_labels(spark, sf_dir):
+    names = {"vanilla": "plain", "context_forecast": "context"}
+    rows = payloads.labelled(_means(spark, sf_dir).select("method").distinct(), names, patterns={"^horizon_(.*)$": "H $1"})
+    return rows.select("method", "label")
+
+
+@query
+def gate_choice(spark, sf_dir):
+    """Scores and targets of one step's boosted classifier; fitted, so without SQL."""
+    return gates.select_score(gates.gate_scores(payload_of(spark, sf_dir), HORIZON), "classifier", 0)
+
+
+@query
+def ridge_pair(spark, sf_dir):
+    """Ridge of the targets on the plain and the context forecast, by split and step."""
+    rows = payload_of(spark, sf_dir).select("split", F.posexplode(F.arrays_zip("pred", "pred_ctx", "y")).alias("h", "z"))
+    rows = rows.select("split", "h", F.array("z.pred", "z.pred_ctx").alias("f"), F.col("z.y").alias("target"))
+    fitted = adapters.ridge_pairs(rows, ["split", "h"], L2)
+    return fitted.select("split", F.col("h").cast("long").alias("h"), *(F.round(c, 5).alias(c) for c in ("b0", "b1")))
+
+
 # Report and mixture.
 
 
@@ -590,10 +700,34 @@ def adapter_loss(spark, sf_dir):
     return mixture.loss(rows, F.col("pred_ctx"), F.col("ew"), memory).withColumn("loss", F.round("loss", 6))
 
 
+@query
+def attention_identity(spark, sf_dir):
+    """The attention adapter before training: its forward pass must give the identity mixture."""
+    model = attention.Adapter.fresh(LAGS, HORIZON, seed=3)
+    return by_step(attention.apply(payload_of(spark, sf_dir, lookbacks=True), model), "yhat")
+
+
+@query
+def attention_adapter(spark, sf_dir):
+    """The attention adapter with heads trained on the train split."""
+    rows = payload_of(spark, sf_dir, lookbacks=True)
+    model = attention.fit(rows.where("split = 'train'"), attention.Adapter.fresh(LAGS, HORIZON, seed=3), rounds=20)
+    return _gate_nmse(attention.apply(rows, model))
+
+
+@query
+def patch_forecast(spark, sf_dir):
+    """Forward pass of a patch transformer with seeded weights."""
+    rows, ends = all_windows(spark, sf_dir)
+    model = attention.PatchTransformer.fresh(LAGS, HORIZON, seed=5)
+    rows = forecasts.batch_model(queries_of(rows, ends), model.forecast).select("split", F.col("t").alias("qt"), F.col("series_id").alias("qu"), "pred")
+    return by_step(rows, "pred")
+
+
 @query
 def trained_mixture(spark, sf_dir):
     rows = frame_of(spark, sf_dir)
-    fitted = mixture.fit_mixture(rows.where("split = 'train'"), HORIZON, rounds=10)
+    fitted = mixture.fit_mixture(rows.where("split = 'train'"), HORIZON)
     return _gate_nmse(mixture.apply_mixture(rows, fitted))
 
 

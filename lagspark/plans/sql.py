@@ -145,21 +145,21 @@ g AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 7 DAY)) AS ts FRO
 k AS (SELECT d.* FROM d SEMI JOIN g USING (ts)),
 c AS (SELECT ts FROM k GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT series_name) FROM d))
 SELECT series_name, ts, round(value, 6) AS value FROM k SEMI JOIN c USING (ts)""",
-    "complete_rows": f"WITH {WIDE.strip()} SELECT ts, round(af, 6) AS af, round(nf, 6) AS nf, round(rf, 6) AS rf FROM w WHERE af IS NOT NULL AND nf IS NOT NULL AND rf IS NOT NULL",
+    "complete_rows": f"WITH {WIDE.strip()} SELECT ts, round(af, 6) AS af, round(nf, 6) AS nf, round(rf, 6) AS rf, round(no, 6) AS no FROM w WHERE af IS NOT NULL AND nf IS NOT NULL AND rf IS NOT NULL",
     "drop_series": twin("SELECT t, series_name, round(value, 6) AS value FROM series WHERE series_id NOT IN (1) AND series_name <> (SELECT max(series_name) FROM names)"),
     "rename_series": twin("SELECT t, series_id, 'user_' || series_id AS series_name, round(value, 6) AS value FROM series"),
     "dense_position": twin("""SELECT (row_number() OVER (PARTITION BY series_name ORDER BY ts) - 1)::BIGINT AS t, ts, n.series_id, series_name, round(b.mean, 6) AS value
 FROM bins b SEMI JOIN whole USING (ts) JOIN names n USING (series_name)"""),
     "split_bounds": twin("SELECT * FROM bounds"),
     "query_starts": twin("SELECT split, t, series_id FROM q"),
-    "window_extract": twin(flat("series_id, t", ["x", "y"], 48, "SELECT * FROM windows WHERE t % 60 = 0")),
-    "instance_norm": twin(flat("series_id, t", ["feat"], 48, "SELECT * FROM feats WHERE t % 48 = 0")),
+    "window_extract": twin(flat("series_id, t", ["x", "y"], 48, "SELECT * FROM windows")),
+    "instance_norm": twin(flat("series_id, t", ["feat"], 48, "SELECT * FROM feats")),
     "window_stats": twin("SELECT series_id, t, round(mu, 6) AS mu, round(sd, 6) AS sd FROM windows"),
     "patch_unfold": twin(flat("series_id, t, patch", ["v"], 16, """
 SELECT series_id, t, (k - 1)::BIGINT AS patch, list_slice(list_concat(x, [x[48], x[48], x[48], x[48], x[48], x[48], x[48], x[48]]), (k - 1) * 8 + 1, (k - 1) * 8 + 16) AS v
-FROM q, (SELECT unnest(range(1, 7)) AS k) WHERE split = 'eval'""")),
+FROM windows, (SELECT unnest(range(1, 7)) AS k)""")),
     "moving_average": twin("""
-, z AS (SELECT series_id, t, x, list_concat(list_concat([x[1], x[1]], x), [x[48], x[48]]) AS xp FROM q WHERE split = 'eval'),
+, z AS (SELECT series_id, t, x, list_concat(list_concat([x[1], x[1]], x), [x[48], x[48]]) AS xp FROM windows),
 m AS (SELECT series_id, t, x, list_transform(range(1, 49), lambda i: list_sum(xp[i:i + 4]) / 5) AS trend FROM z)
 SELECT series_id, t, i::BIGINT AS i, round(trend[i], 6) AS trend, round(x[i] - trend[i], 6) AS residual FROM m, (SELECT unnest(range(1, 49)) AS i)"""),
     "store_online": twin("SELECT split, t, series_id, lo::BIGINT AS lo, hi::BIGINT AS hi, keep_n::BIGINT AS keep_n FROM store"),
@@ -190,10 +190,44 @@ FROM found a JOIN found b ON a.split = 'eval' AND b.split = 'eval' AND a.qt = b.
     "same_series": twin("SELECT split, qt, qu, same AS same_user_fraction FROM nstats"),
     "persistence_forecast": twin("SELECT split, qt, qu, h - 1 AS h, round(pred, 6) AS pred FROM p"),
     "context_forecast": twin("SELECT split, qt, qu, h - 1 AS h, round(pred_ctx, 6) AS pred FROM p"),
-    "linear_forecast": twin("SELECT split, t AS qt, series_id AS qu, round(list_sum(x) / 48 + 1, 6) AS pred FROM q"),
+    "linear_forecast": twin("""
+SELECT split, t AS qt, series_id AS qu, h::BIGINT AS h, round(list_sum(list_transform(range(1, 49), lambda i: x[i] * ((h + 1) * i / 2311.0::DOUBLE))) + h, 4) AS pred
+FROM q, (SELECT unnest(range(0, 12)) AS h)"""),
     "scale_transfer": twin(flat("split, qt, qu, rank", ["ys"], 12, "SELECT * FROM scaled WHERE split = 'eval'")),
     "residual_transfer": twin(flat("split, qt, qu, rank", ["es"], 12, "SELECT * FROM scaled WHERE split = 'eval'")),
-    "payload": twin("SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance, round(mu_c, 6) AS mu, round(sd_c, 6) AS sd FROM found"),
+    "payload": twin("""
+SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance, round(mu_c, 6) AS mu, round(sd_c, 6) AS sd, i::BIGINT AS i, round(ys[i], 6) AS ys, round(es[i], 6) AS es
+FROM scaled, (SELECT unnest(range(1, 13)) AS i)"""),
+    "payload_shapes": twin("SELECT split, count(*)::BIGINT AS n, 48::BIGINT AS lags, 12::BIGINT AS horizon, min(k)::BIGINT AS k FROM nstats GROUP BY split"),
+    "missing_splits": twin("SELECT split FROM (VALUES ('train'), ('oracle'), ('eval')) v(split) EXCEPT SELECT split FROM nstats WHERE split IN ('train', 'eval')"),
+    "payload_alignment": twin("""
+SELECT q.split, count(*)::BIGINT AS n, count(n.qt)::BIGINT AS other_n, count(n.qt)::BIGINT AS "both" FROM q LEFT JOIN nstats n ON n.split = q.split AND n.qt = q.t AND n.qu = q.series_id GROUP BY q.split"""),
+    "merged_predictions": twin("SELECT split, qt, qu, h - 1 AS h, round(CASE WHEN split = 'eval' THEN pred_ctx ELSE pred END, 6) AS yhat FROM p"),
+    "head_samples": twin("SELECT split, qt, qu FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY qt, qu) AS r FROM nstats) WHERE r <= 40"),
+    "random_samples": twin("SELECT split, qt, qu FROM nstats ORDER BY md5('7|' || split || '|' || qt || '|' || qu), split, qt, qu LIMIT 60"),
+    "single_precision": twin("SELECT t, series_id, round(value::FLOAT::DOUBLE, 6) AS value FROM series"),
+    "plot_weights": twin("SELECT split, qt, qu, rank, round(exp(-distance) / sum(exp(-distance)) OVER (PARTITION BY split, qt, qu), 6) AS w FROM found"),
+    "dashboard_features": twin("""
+, z AS (SELECT *, exp(-distance) / sum(exp(-distance)) OVER (PARTITION BY split, qt, qu) AS pw FROM scaled),
+zs AS (SELECT split, qt, qu, stddev_pop(pw) AS w_std, max(pw) AS w_max FROM z GROUP BY ALL),
+zh AS (SELECT z.split, z.qt, z.qu, h.h, sum(pw * ys[h.h]) AS yw, sum(pw * es[h.h]) AS ew FROM z, (SELECT unnest(range(1, 13)) AS h) h GROUP BY ALL),
+zm AS (SELECT zh.split, zh.qt, zh.qu, avg(zh.yw - p.pred) AS yw_shift, avg(zh.ew) AS ew_mean FROM zh JOIN p USING (split, qt, qu, h) GROUP BY ALL)
+SELECT l.split, l.qt, l.qu, round(shift_mean, 6) AS context_shift_mean, round(shift_std, 6) AS context_shift_std, round(zm.yw_shift, 6) AS weighted_minus_pred_mean,
+  round(zm.ew_mean, 6) AS weighted_residual_mean, round(a.mu, 6) AS query_mean, round(a.sd, 6) AS query_std, round(mu_mean, 6) AS neighbour_mean_mean, round(mu_std, 6) AS neighbour_mean_std,
+  round(sd_mean, 6) AS neighbour_std_mean, round(sd_std, 6) AS neighbour_std_std, round(same, 6) AS same_user_ratio, round(age, 6) AS age_mean, round(zs.w_std, 6) AS weight_std,
+  round(zs.w_max, 6) AS weight_max, round(d_mean, 6) AS distance_mean
+FROM losses l JOIN nstats n USING (split, qt, qu) JOIN zs USING (split, qt, qu) JOIN zm USING (split, qt, qu) JOIN q a ON a.split = l.split AND a.t = l.qt AND a.series_id = l.qu"""),
+    "optional_columns": twin("SELECT split, qt, qu, round(avg((pred_ctx - pred) ** 2), 6) AS disagreement, round(any_value(sd), 6) AS scale FROM p GROUP BY split, qt, qu"),
+    "method_labels": twin("""
+SELECT DISTINCT method, CASE method WHEN 'vanilla' THEN 'plain' WHEN 'context_forecast' THEN 'context' ELSE regexp_replace(method, '^horizon_(.*)$', 'H \\1') END AS label FROM means"""),
+    "ridge_pair": twin("""
+, g AS (SELECT split, h, count(*) AS n, sum(pred * pred) AS aa, sum(pred * pred_ctx) AS ab, sum(pred_ctx * pred_ctx) AS bb, sum(pred * y) AS ay, sum(pred_ctx * y) AS bys FROM p GROUP BY split, h),
+u AS (SELECT *, greatest(sqrt(aa / n), 1e-12) AS sa, greatest(sqrt(bb / n), 1e-12) AS sb FROM g),
+m AS (SELECT *, aa / n / sa / sa + 0.001 AS p11, ab / n / sa / sb AS p12, bb / n / sb / sb + 0.001 AS p22, ay / n / sa AS r1, bys / n / sb AS r2 FROM u)
+SELECT split, h - 1 AS h, round((p22 * r1 - p12 * r2) / (p11 * p22 - p12 * p12) / sa, 5) AS b0, round((p11 * r2 - p12 * r1) / (p11 * p22 - p12 * p12) / sb, 5) AS b1 FROM m"""),
+    "attention_identity": twin("""
+SELECT split, qt, qu, h - 1 AS h, round(1 / (1 + 3 * exp(-6.0::DOUBLE)) * pred + exp(-6.0::DOUBLE) / (1 + 3 * exp(-6.0::DOUBLE)) * (pred_ctx + 2 * pred), 6) AS yhat FROM p"""),
+    "knn_blocked": twin("SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance FROM knn WHERE split = 'eval'"),
     "window_losses": twin("SELECT split, qt, qu, round(mse, 6) AS mse, round(mae, 6) AS mae, round(nmse, 6) AS nmse FROM losses"),
     "loss_summary": twin("""
 , l AS (SELECT split, qu, 'mse' AS metric, mse AS v FROM losses UNION ALL SELECT split, qu, 'mae', mae FROM losses UNION ALL SELECT split, qu, 'nmse', nmse FROM losses),
@@ -216,7 +250,10 @@ SELECT l.split, l.qt, l.qu, round(l.mse, 6) AS base_loss, round(l.mse_ctx, 6) AS
   round((l.mse - l.mse_ctx) / greatest(l.mse, 1e-8) * 100, 5) AS improvement_pct, round(n.d_mean, 6) AS distance_mean, round(n.d_std, 6) AS distance_std, n.k::BIGINT AS neighbours,
   round(n.same, 6) AS same_user_fraction, round(n.age, 6) AS age_mean, round(n.age_std, 6) AS age_std, round(n.mu_mean, 6) AS neighbour_mean_mean, round(n.sd_std, 6) AS neighbour_std_std
 FROM losses l JOIN nstats n USING (split, qt, qu)"""),
-    "scale_quantiles": twin("SELECT split, round(min(sd), 6) AS q0, round(quantile_cont(sd, 0.05), 6) AS q5, round(quantile_cont(sd, 0.5), 6) AS q50, count(*) FILTER (sd < 1e-3) AS below_1e3 FROM q GROUP BY split"),
+    "scale_quantiles": twin("""
+SELECT split, round(min(sd), 6) AS q0, round(quantile_cont(sd, 0.001), 6) AS q0_1, round(quantile_cont(sd, 0.01), 6) AS q1, round(quantile_cont(sd, 0.05), 6) AS q5,
+  round(quantile_cont(sd, 0.1), 6) AS q10, round(quantile_cont(sd, 0.5), 6) AS q50, count(*) FILTER (sd < 1e-8) AS below_1e8, count(*) FILTER (sd < 1e-6) AS below_1e6,
+  count(*) FILTER (sd < 1e-3) AS below_1e3 FROM q GROUP BY split"""),
     "bayes_gates": twin("""
 SELECT split, 'bayes_context_scalar' AS method, round(avg(((bayes_scalar - y) / scale) ** 2), 6) AS nmse FROM gated GROUP BY split
 UNION ALL SELECT split, 'bayes_context_horizon', round(avg(((bayes_step - y) / scale) ** 2), 6) FROM gated GROUP BY split"""),
@@ -225,8 +262,10 @@ SELECT split, 'oracle_context_scalar' AS method, round(avg(((oracle_scalar - y)
 UNION ALL SELECT split, 'oracle_context_horizon', round(avg(((oracle_step - y) / scale) ** 2), 6) FROM gated GROUP BY split"""),
     "gate_features": twin("""
 SELECT l.split, l.qt, l.qu, round(shift_mean, 6) AS context_shift_mean, round(shift_std, 6) AS context_shift_std, round(yw_shift, 6) AS weighted_minus_pred_mean, round(ew_mean, 6) AS weighted_residual_mean,
-  round(mu_std, 6) AS neighbour_mean_std, round(same, 6) AS same_user_ratio, round(age, 6) AS age_mean, round(w_std, 6) AS weight_std, round(w_max, 6) AS weight_max, round(target, 6) AS target
-FROM losses l JOIN nstats n USING (split, qt, qu)"""),
+  round(a.mu, 6) AS query_mean, round(a.sd, 6) AS query_std, round(mu_mean, 6) AS neighbour_mean_mean, round(sd_mean, 6) AS neighbour_std_mean, round(sd_std, 6) AS neighbour_std_std,
+  round(mu_std, 6) AS neighbour_mean_std, round(same, 6) AS same_user_ratio, round(age, 6) AS age_mean, round(w_std, 6) AS weight_std, round(w_max, 6) AS weight_max,
+  round(d_mean, 6) AS distance_mean, round(target, 6) AS target
+FROM losses l JOIN nstats n USING (split, qt, qu) JOIN q a ON a.split = l.split AND a.t = l.qt AND a.series_id = l.qu"""),
     "roc_curve": twin("SELECT score, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM curve"),
     "roc_auc": twin("""
 , a AS (SELECT (fpr - coalesce(lag(fpr) OVER (ORDER BY score DESC), 0)) * (tpr + coalesce(lag(tpr) OVER (ORDER BY score DESC), 0)) / 2 AS a FROM curve)
@@ -279,4 +318,5 @@ def _merge_ctes(text: str) -> str:
     return text.replace(")\n\n, ", "),\n").replace(")\n, ", "),\n")
 
 
+SQL |= {f"{name}_all": SQL[name] for name in ("window_extract", "instance_norm", "patch_unfold", "moving_average")}
 SQL = {name: _merge_ctes(text) for name, text in SQL.items()}
