@@ -76,21 +76,22 @@ def drop_boilerplate(
     salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int").alias("__salt")
     # The row travels as one struct, so that no column of it meets one of the operator's.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), site, salt)
-    text, own = F.col("__row").getField(text_col), lambda c: F.col("__row").getField(c)
     size = drop.agg(F.sum(F.size("__drop")).alias("n")).first()["n"] or 0
     if size <= BROADCAST_KEYS:
         joined = rows.join(F.broadcast(drop), "__site", "left")
     else:
         joined = rows.join(_salted(drop), ["__site", "__salt"], "left")
-    lines = _lines(text)
+    # By attribute, not by name: an output column may bear the name of one of these.
+    row, gone = joined["__row"], joined["__drop"]
+    text, lines = row.getField(text_col), _lines(row.getField(text_col))
     stay = F.filter(
-        lines, lambda x: (F.trim(x, F.lit(AROUND)) == "") | ~F.coalesce(F.array_contains(F.col("__drop"), _key(x)), F.lit(False))
+        lines, lambda x: (F.trim(x, F.lit(AROUND)) == "") | ~F.coalesce(F.array_contains(gone, _key(x)), F.lit(False))
     )
-    kept = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(stay, "\n")).alias(text_col)
-    out = [kept if c == text_col else own(c).alias(c) for c in columns]
+    kept = F.when(gone.isNull(), text).otherwise(F.array_join(stay, "\n")).alias(text_col)
+    out = [kept if c == text_col else row.getField(c).alias(c) for c in columns]
     if counts:
         n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-        left = F.when(F.col("__drop").isNull(), n).otherwise(F.coalesce(F.size(stay), F.lit(0)).cast("long"))
+        left = F.when(gone.isNull(), n).otherwise(F.coalesce(F.size(stay), F.lit(0)).cast("long"))
         n_lines = F.when(text.isNull(), F.lit(0)).otherwise(n).cast("long")
         n_dropped = F.when(text.isNull(), F.lit(0)).otherwise(n - left).cast("long")
         out += [n_lines.alias(unused(docs, "n_lines")), n_dropped.alias(unused(docs, "n_dropped"))]
