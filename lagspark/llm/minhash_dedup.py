@@ -323,7 +323,8 @@ def _residue(members: DataFrame, star: DataFrame, classes: DataFrame, words: Dat
 
     pairs = asks.unionByName(told).groupBy("shingle", "one", "two").applyInArrow(compare, "leader long, id long").distinct()
     pairs = pairs.join(texts, "id").join(texts.select(F.col("id").alias("leader"), F.col("words").alias("led")), "leader")
-    return _joined(classes, _aligned(pairs, k, near).where(F.col("d") <= near))
+    # Cut, so that no task holds the workers of the alignment and of the components at once.
+    return _joined(classes, cut(_aligned(pairs, k, near).where(F.col("d") <= near)))
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -340,8 +341,10 @@ def _tally(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     """How many shingles fall into each slot."""
     total = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        for blob in batch.column(0):
-            total += np.bincount(_slots(_shingles(blob.as_py(), k)), minlength=SLOTS)
+        for part in range(0, batch.num_rows, 512):
+            found = [_slots(_shingles(blob.as_py(), k)) for blob in batch.column(0).slice(part, 512)]
+            at, n = np.unique(np.concatenate(found), return_counts=True)
+            total[at] += n
     at = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
 
