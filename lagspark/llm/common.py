@@ -20,7 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def tokenizer_path(name: str) -> str:
     """The place of a public tokenizer's file; LAGSPARK_TOKENIZERS names another folder."""
-    return os.path.join(os.environ.get("LAGSPARK_TOKENIZERS", "/opt/tokenizers"), name)
+    folder = os.environ.get("LAGSPARK_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def checkpoint_dir(spark: SparkSession) -> None:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, pipeline, sentencepiece_codec, substring_dedup, toxicity
+from . import (
+    ann, clustering, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, packing, pipeline, sentencepiece_codec, substring_dedup, toxicity, whitening,
+)
 from .common import held_out, read, tokenizer_path
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,25 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 2048 tokens by best fit decreasing."""
+    tokenizer = packing.load_tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer, size=2048, end_id=1, with_ids=False)
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 16 clusters after three rounds of exponion search."""
+    points = clustering.whole(read(spark, sf_dir, "embeddings"), dim=64, scale=64)
+    start = clustering.first_by_hash(points, 16, seed=1)
+    return clustering.cluster(points, start, rounds=3)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading components of all, whitened."""
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100000)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -81,6 +102,9 @@ def queries() -> dict:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_language_id": op9_language_id,
         "op10_minhash_dedup": op10_minhash_dedup,
+        "op11_packing": op11_packing,
+        "op12_clustering": op12_clustering,
+        "op13_whitening": op13_whitening,
         "pipeline": pipeline.run,
     }
 
