@@ -1,8 +1,9 @@
 """Output-space adapters: neighbour averages and ridge mixes of a prediction table.
 
 Fits need one pass: the Gram matrices of the features and their products with the targets
-are sums by step, which all trainable methods share in one aggregation. Executors send a few
-dozen numbers a step, and only the p x p solves are local.
+are sums by step, which all trainable methods share in one aggregation. The systems are then
+solved row by row in Catalyst, so there may be as many groups of fits as the data has (a fit
+for each series, say), and coefficients are a table that predictions are joined with.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagspark.functions import arrays as A
+from lagspark.functions.linear import solve_ridge
 
 TRAINABLE = ("horizon_mix_scalar", "residual_mix_scalar", "residual_ridge_shared", "residual_ridge_horizon", "horizon_ridge_shared", "full_ridge_horizon")
 METHODS = ("vanilla", "context_forecast", "horizon_knn_weighted", "horizon_knn_mean", "residual_knn_weighted", *TRAINABLE)
@@ -34,36 +36,17 @@ def neighbour_frame(payload: DataFrame) -> DataFrame:
 
 
 def gram(rows: DataFrame, p: int, by: list[str] | None = None) -> DataFrame:
-    """n, xx_i_j and xy_i sums of rows (f array of p, target) in one shuffle."""
+    """n, xx (p x p) and xy (p): sums of products of rows (f array of p, target), in one shuffle."""
     f = F.col("f")
     sums = [F.sum(f[i] * f[j]).alias(f"xx_{i}_{j}") for i in range(p) for j in range(i, p)] + [F.sum(f[i] * F.col("target")).alias(f"xy_{i}") for i in range(p)]
-    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), *sums)
-
-
-def solve(row, p: int, l2: float) -> np.ndarray:
-    """Ridge without intercept on RMS-scaled features, from one row of gram()."""
-    if l2 < 0 or not row["n"]:
-        raise ValueError("l2 is not negative and there is a row")
-    xx, xy = np.zeros((p, p)), np.array([row[f"xy_{i}"] for i in range(p)], float)
-    for i in range(p):
-        for j in range(i, p):
-            xx[i, j] = xx[j, i] = row[f"xx_{i}_{j}"]
-    n = row["n"]
-    scale = np.maximum(np.sqrt(np.diag(xx) / n), 1e-12)
-    beta = np.linalg.solve(xx / n / np.outer(scale, scale) + l2 * np.eye(p), xy / n / scale)
-    return beta / scale
-
-
-def ridge_pairs(rows: DataFrame, by: list[str], l2: float) -> DataFrame:
-    """b0, b1 of solve() for two features, by group: Cramer's rule in Catalyst, so groups may be many."""
-    g = gram(rows, 2, by)
-    n = F.col("n")
-    scaled = g.withColumns({f"s{i}": F.greatest(F.sqrt(F.col(f"xx_{i}_{i}") / n), F.lit(1e-12)) for i in (0, 1)})
-    p = lambda i: F.col(f"xx_{i}_{i}") / n / F.pow(f"s{i}", F.lit(2.0)) + l2
-    off = F.col("xx_0_1") / n / F.col("s0") / F.col("s1")
-    r = [F.col(f"xy_{i}") / n / F.col(f"s{i}") for i in (0, 1)]
-    det = p(0) * p(1) - off * off
-    return scaled.select(*by, ((p(1) * r[0] - off * r[1]) / det / F.col("s0")).alias("b0"), ((p(0) * r[1] - off * r[0]) / det / F.col("s1")).alias("b1"))
+    out = rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), *sums)
+    xx = F.array(*[F.array(*[F.col(f"xx_{min(i, j)}_{max(i, j)}") for j in range(p)]) for i in range(p)])
+    return out.select(*(by or []), "n", xx.alias("xx"), F.array(*[F.col(f"xy_{i}") for i in range(p)]).alias("xy"))
+
+
+def ridge(rows: DataFrame, p: int, l2: float, by: list[str] | None = None) -> DataFrame:
+    """(by, beta): ridge coefficients of each group of rows."""
+    return solve_ridge(gram(rows, p, by), l2).select(*(by or []), "beta")
 
 
 def step_rows(frame: DataFrame, features: Column, target: Column) -> DataFrame:
@@ -95,15 +78,15 @@ def _plans(k: int) -> dict[str, tuple[list[str], str, bool]]:
     }
 
 
-def step_products(payload: DataFrame, k: int) -> DataFrame:
-    """n and the sums of products that the trainable methods need, by step h: one aggregation for all of them."""
+def step_products(payload: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """n and the sums of products that the trainable methods need, by group and step h: one aggregation for all of them."""
     frame = neighbour_frame(payload)
     error = F.zip_with("y", "pred", lambda a, b: a - b)
     shift = F.zip_with("yw", "pred", lambda a, b: a - b)
     columns = {"pred": F.col("pred"), "pred_ctx": F.col("pred_ctx"), "y": F.col("y"), "ew": F.col("ew"), "error": error, "shift": shift}
     columns |= {f"{n}{i}": c for n in ("ys", "es") for i, c in enumerate(_neighbours(n, k))}
-    steps = frame.select(F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in columns.items()])).alias("h", "z")).select("h", "z.*")
-    return steps.groupBy("h").agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in sorted(_pairs(k))])
+    steps = frame.select(*by, F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in columns.items()])).alias("h", "z")).select(*by, "h", "z.*")
+    return steps.groupBy(*by, "h").agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in sorted(_pairs(k))])
 
 
 def _pairs(k: int) -> set[tuple[str, str]]:
@@ -112,45 +95,53 @@ def _pairs(k: int) -> set[tuple[str, str]]:
     return pairs | {tuple(sorted((a, target))) for features, target, _ in _plans(k).values() for a in features}
 
 
-def fit(payload: DataFrame, k: int, l2: float = 1e-3) -> dict[str, np.ndarray]:
-    """Coefficients of the trainable adapters on the rows given (k neighbours each)."""
-    steps = [r.asDict() for r in step_products(payload, k).orderBy("h").collect()]  # one row a step
-    if not steps:
-        raise ValueError("no rows to fit on")
-    whole = {key: sum(r[key] for r in steps) for key in steps[0]}
-    out = {}
-    for name, (features, target, per_step) in _plans(k).items():
-        found = np.array([solve(_row(r, features, target), len(features), l2) for r in (steps if per_step else [whole])])
-        out[name] = found if per_step else found[0]
-        if name.endswith("mix_scalar"):
-            out[name] = np.clip(out[name], 0, 1)
-    return out
+def fit_table(payload: DataFrame, k: int, l2: float = 1e-3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, method, h, beta): coefficients of the trainable adapters on the rows given (k neighbours each).
+
+    h is the step, -1 for methods that share coefficients over all steps. Lazy, as any table.
+    """
+    products = step_products(payload, k, by)
+    sums = [c for c in products.columns if c not in (*by, "h")]
+    # Each step's sums count for the step and for the whole.
+    both = products.withColumn("h", F.explode(F.array(F.col("h"), F.lit(-1))))
+    both = both.groupBy(*by, "h").agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in sums])
+    cell = lambda a, b: F.col(f"`{'*'.join(sorted((a, b)))}`")
 
+    def system(name: str, features: list[str], target: str) -> Column:
+        xx = F.array(*[F.array(*[cell(a, b) for b in features]) for a in features])
+        return F.struct(F.lit(name).alias("method"), xx.alias("xx"), F.array(*[cell(a, target) for a in features]).alias("xy"))
 
-def _row(sums: dict, features: list[str], target: str) -> dict:
-    """The row of gram() for some features and a target, out of named products."""
-    product = lambda a, b: sums["*".join(sorted((a, b)))]
-    out = {"n": sums["n"]} | {f"xy_{i}": product(a, target) for i, a in enumerate(features)}
-    return out | {f"xx_{i}_{j}": product(a, features[j]) for i, a in enumerate(features) for j in range(i, len(features))}
+    plans = {per: F.array(*[system(n, f, t) for n, (f, t, p) in _plans(k).items() if p == per]) for per in (True, False)}
+    each = both.select(*by, "h", "n", F.explode(F.when(F.col("h") < 0, plans[False]).otherwise(plans[True])).alias("s")).select(*by, "h", "n", "s.*")
+    found = solve_ridge(each, l2)
+    clipped = F.transform("beta", lambda b: F.least(F.greatest(b, F.lit(0.0)), F.lit(1.0)))
+    return found.select(*by, "method", "h", F.when(F.col("method").endswith("mix_scalar"), clipped).otherwise(F.col("beta")).alias("beta"))
 
 
-def _literal(x: np.ndarray) -> Column:
-    return F.array(*[_literal(v) if np.ndim(v) else F.lit(float(v)) for v in x])
+def fit(payload: DataFrame, k: int, l2: float = 1e-3) -> dict[str, np.ndarray]:
+    """The coefficients of fit_table() as arrays: a few dozen numbers a step."""
+    rows = fit_table(payload, k, l2).orderBy("method", "h").collect()
+    if not rows:
+        raise ValueError("no rows to fit on")
+    found = {m: np.array([r["beta"] for r in rows if r["method"] == m]) for m in TRAINABLE}
+    return {m: found[m] if per_step else found[m][0] for m, (_, _, per_step) in _plans(k).items()}
 
 
-def predict(payload: DataFrame, coefficients: dict[str, np.ndarray], k: int, suffix: str = "") -> DataFrame:
-    """(split, method, qt, qu, y, sd, yhat) of the methods; with a suffix only the trainable ones."""
-    frame = neighbour_frame(payload)
-    add = lambda base, extra: F.zip_with(base, extra, lambda a, b: a + b)
-    residual, horizon = _over_steps(*_neighbours("es", k)), _over_steps(F.col("pred"), *_neighbours("ys", k))
-    everything = _over_steps(F.col("pred"), *_neighbours("ys", k), F.col("pred_ctx"))
+def nested(models: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, fitted): one row a group, a map from each method to its coefficients by step."""
+    steps = models.groupBy(*by, "method").agg(F.array_sort(F.collect_list(F.struct("h", "beta"))).alias("s"))
+    pairs = F.collect_list(F.struct("method", F.transform("s", lambda x: x["beta"]).alias("steps")))
+    return steps.groupBy(*by).agg(F.map_from_entries(pairs).alias("fitted"))
 
-    def shared(features: Column, b: np.ndarray) -> Column:
-        return F.transform(features, lambda f: A.dot(f, _literal(b)))
 
-    def per_step(features: Column, b: np.ndarray) -> Column:
-        return F.zip_with(features, _literal(b), lambda f, c: A.dot(f, c))
+def predict(payload: DataFrame, models: DataFrame | None, k: int, suffix: str = "", by: tuple[str, ...] = ()) -> DataFrame:
+    """(split, method, qt, qu, y, sd, yhat) of the methods; with a suffix only the trainable ones.
 
+    models is a table of fit_table(), fresh or read back, of the groups by (rows of a group
+    without a model get no prediction). Without models only the methods without a fit.
+    """
+    frame = neighbour_frame(payload)
+    add = lambda base, extra: F.zip_with(base, extra, lambda a, b: a + b)
     methods: dict[str, Column] = {
         "vanilla": F.col("pred"),
         "context_forecast": F.col("pred_ctx"),
@@ -158,16 +149,23 @@ def predict(payload: DataFrame, coefficients: dict[str, np.ndarray], k: int, suf
         "horizon_knn_mean": F.col("ym"),
         "residual_knn_weighted": add("pred", "ew"),
     }
-    c = coefficients
-    if c:
-        lam, mu = float(c["horizon_mix_scalar"][0]), float(c["residual_mix_scalar"][0])
+    if models is not None:
+        one = nested(models, by)
+        # A row a group; one row in all without groups.
+        frame = frame.join(one, list(by)) if by else frame.join(F.broadcast(one), F.lit(True))
+        residual, horizon = _over_steps(*_neighbours("es", k)), _over_steps(F.col("pred"), *_neighbours("ys", k))
+        everything = _over_steps(F.col("pred"), *_neighbours("ys", k), F.col("pred_ctx"))
+        fitted = lambda name: F.col("fitted")[name]
+        scalar = lambda name: fitted(name)[0][0]
+        shared = lambda features, name: F.transform(features, lambda f: A.dot(f, fitted(name)[0]))
+        per_step = lambda features, name: F.zip_with(features, fitted(name), lambda f, c: A.dot(f, c))
         methods |= {
-            "horizon_mix_scalar": F.zip_with("pred", "yw", lambda a, b: a + (b - a) * lam),
-            "residual_mix_scalar": F.zip_with("pred", "ew", lambda a, b: a + b * mu),
-            "residual_ridge_shared": add("pred", shared(residual, c["residual_ridge_shared"])),
-            "residual_ridge_horizon": add("pred", per_step(residual, c["residual_ridge_horizon"])),
-            "horizon_ridge_shared": shared(horizon, c["horizon_ridge_shared"]),
-            "full_ridge_horizon": per_step(everything, c["full_ridge_horizon"]),
+            "horizon_mix_scalar": F.zip_with("pred", "yw", lambda a, b: a + (b - a) * scalar("horizon_mix_scalar")),
+            "residual_mix_scalar": F.zip_with("pred", "ew", lambda a, b: a + b * scalar("residual_mix_scalar")),
+            "residual_ridge_shared": add("pred", shared(residual, "residual_ridge_shared")),
+            "residual_ridge_horizon": add("pred", per_step(residual, "residual_ridge_horizon")),
+            "horizon_ridge_shared": shared(horizon, "horizon_ridge_shared"),
+            "full_ridge_horizon": per_step(everything, "full_ridge_horizon"),
         }
     if suffix:
         methods = {f"{m}{suffix}": e for m, e in methods.items() if m in TRAINABLE}
@@ -178,8 +176,8 @@ def predict(payload: DataFrame, coefficients: dict[str, np.ndarray], k: int, suf
 
 def run(payload: DataFrame, k: int, l2: float = 1e-3, fit_on_eval: bool = False) -> DataFrame:
     """Predictions of all methods for all splits, fitted on train; with eval-fitted bounds if asked for."""
-    out = predict(payload, fit(payload.where("split = 'train'"), k, l2), k)
+    out = predict(payload, fit_table(payload.where("split = 'train'"), k, l2), k)
     if fit_on_eval:
         last = payload.where("split = 'eval'")
-        out = out.unionByName(predict(last, fit(last, k, l2), k, suffix="_eval_fit"))
+        out = out.unionByName(predict(last, fit_table(last, k, l2), k, suffix="_eval_fit"))
     return out

@@ -92,17 +92,17 @@ def batch_model(rows: DataFrame, predict: Callable[[np.ndarray], np.ndarray], co
     return rows.withColumn(column, run(x))
 
 
-def payload(queries: DataFrame, neighbours: DataFrame, windows: DataFrame, vanilla: Forecaster, contextual: Forecaster, lookbacks: bool = False) -> DataFrame:
+def payload(queries: DataFrame, neighbours: DataFrame, windows: DataFrame, vanilla: Forecaster, contextual: Forecaster, lookbacks: bool = False, stride: int | None = None) -> DataFrame:
     """One row a query: x, y, mu, sd, pred, pred_ctx and nbrs by rank.
 
     A neighbour holds rank, nt, nu, distance, its mu and sd, its horizon ys and residual es
     (actual minus its own forecast) on the query's scale. Neighbour windows are joined by
     key, so that only the k rows of a query are ever held. Queries without neighbours keep
     empty nbrs and their context forecast is the plain one. With lookbacks, a neighbour also
-    holds its lookback xs on the query's scale.
+    holds its lookback xs on the query's scale. stride is that of a stored table of windows.
     """
     q = queries.select("split", F.col("t").alias("qt"), F.col("series_id").alias("qu"), "x", "y", "mu", "sd")
-    found = lookup(neighbours, windows).join(q.select("split", "qt", "qu", "mu", "sd"), ["split", "qt", "qu"])
+    found = lookup(neighbours, windows, stride).join(q.select("split", "qt", "qu", "mu", "sd"), ["split", "qt", "qu"])
     residual = F.zip_with("yc", vanilla(F.col("xc"), None), lambda a, b: a - b)
     scaled = found.withColumns(
         {

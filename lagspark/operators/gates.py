@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lagspark.functions import arrays as A
+from lagspark.sources.tables import cut
 
 from . import boosting
 from .adapters import neighbour_frame
@@ -199,9 +200,13 @@ def roc_curve(scores: DataFrame, score: str = "score", target: str = "target") -
     Rows are first summed by score. Running sums are made within RANGES ranges of scores and
     start from the sums of the ranges above, so no task sorts all scores.
     """
-    rows = _summed(scores, score, target)
-    # One small job: where the ranges end.
-    points = scores.agg(F.percentile_approx(F.col(score).cast("double"), [i / RANGES for i in range(1, RANGES)], 1000).alias("p")).first()["p"] or []
+    return _curve(cut(_summed(scores, score, target)))
+
+
+def _curve(rows: DataFrame) -> DataFrame:
+    """The curve of rows summed by score."""
+    # One small job over the sums: where the ranges end.
+    points = rows.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 1000).alias("p")).first()["p"] or []
     place = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(points))]).cast("array<double>"), lambda x: x >= F.col("score")))
     rows = rows.withColumn("range", place)
     # At most RANGES rows, one partition.
@@ -218,13 +223,18 @@ def roc_curve(scores: DataFrame, score: str = "score", target: str = "target") -
 
 
 def roc_auc(scores: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
-    """(auc, accuracy, n): area by trapezoids, and the share of rows whose score's sign is right; auc is null for one class."""
-    curve = roc_curve(scores, score, target)
+    """(auc, accuracy, n) over the rows with numbers: area by trapezoids, and the share whose score's sign is right; auc is null for one class.
+
+    The scores are read once: both come from their sums by score.
+    """
+    sums = cut(_summed(scores, score, target))
+    curve = _curve(sums)
     # A trapezoid's left edge is where the curve stood before the score's own rows.
     area = F.col("m") / F.col("all_m") * (2 * F.col("tp") - F.col("p")) / F.col("all_p") / 2
     both = (F.col("all_p") > 0) & (F.col("all_m") > 0)
     auc = curve.agg(F.sum(F.when(both, area)).alias("auc"))
-    right = scores.agg(F.avg(((F.col(score) > 0) == (F.col(target) > 0)).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+    right = F.sum(F.when(F.col("score") > 0, F.col("p")).otherwise(F.col("m")))
+    right = sums.agg(F.try_divide(right, F.sum(F.col("p") + F.col("m"))).alias("accuracy"), F.coalesce(F.sum(F.col("p") + F.col("m")), F.lit(0)).alias("n"))
     return auc.join(right, F.lit(True))  # one row each
 
 

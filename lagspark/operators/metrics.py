@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lagspark.functions import arrays as A
+from lagspark.sources.tables import cut
 
 
 def window_losses(payload: DataFrame, pred: str = "pred") -> DataFrame:
@@ -62,13 +65,72 @@ def feature_table(payload: DataFrame) -> DataFrame:
     )
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, points: list[float], buckets: int = 1024) -> DataFrame:
+    """(by, i, quantile): exact quantiles of each group's finite values, between ranks by a straight line.
+
+    A selection by refined histograms: each pass counts, in buckets between two values, those
+    rows that may still hold a wanted rank, and goes on with the bucket that does, from its
+    least to its greatest value. Buckets are equal in turn by value, by the logarithm of the
+    way from the lower end and by that from the upper one, so that values spread over many
+    orders of size take few passes too. Counts are combined before they are shuffled, and no task
+    holds a group's values. Each pass reads rows again, so they should be a stored table.
+    """
+    x = F.col(value).cast("double")
+    v = rows.select(F.struct(*by).alias("k"), x.alias("v")).where(F.coalesce(~F.isnan("v") & (F.abs("v") < F.lit(float("inf"))), F.lit(False)))
+    spans = cut(v.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    wanted = spans.select("k", "n", F.posexplode(F.array(*[F.lit(float(q)) for q in points])).alias("i", "q"))
+    wanted = wanted.select("k", "i", (F.col("q") * (F.col("n") - 1)).alias("at"))
+    ranks = wanted.select("k", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    state = cut(ranks.join(spans, "k").select("k", "rank", "lo", "hi", F.lit(0).cast("long").alias("below")))
+    turn = 0
+    while not (still := state.where("lo < hi")).isEmpty():
+        inside = v.join(still.select("k", "lo", "hi").distinct(), "k").where("v >= lo AND v <= hi")
+        share = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+        octaves = lambda r: F.when(r > 0, F.greatest(F.log2(r) / 1100 + 1, F.lit(0.0))).otherwise(0.0)
+        share = (share, octaves(share), 1 - octaves(1 - share))[turn % 3]
+        turn += 1
+        middle = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1))
+        # The ends are in buckets of their own, so that a pass always gets on.
+        at = F.when(F.col("v") == F.col("lo"), -1).when(F.col("v") == F.col("hi"), buckets).otherwise(middle)
+        counts = inside.groupBy("k", "lo", "hi", at.cast("int").alias("at")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = F.sum("c").over(Window.partitionBy("k", "lo", "hi").orderBy("at"))
+        counts = counts.withColumn("upto", upto)  # at most buckets + 2 rows a range
+        hit = still.join(counts, ["k", "lo", "hi"]).where("rank < below + upto AND rank >= below + upto - c")
+        state = cut(state.where("lo >= hi").unionByName(hit.select("k", "rank", F.col("a").alias("lo"), F.col("b").alias("hi"), F.expr("below + upto - c").alias("below"))))
+    low = state.select("k", F.col("rank").alias("r0"), F.col("lo").alias("v0"))
+    high = state.select("k", F.col("rank").alias("r1"), F.col("lo").alias("v1"))
+    found = wanted.withColumns({"r0": F.floor("at"), "r1": F.ceil("at")}).join(low, ["k", "r0"]).join(high, ["k", "r1"])
+    return found.select("k.*", "i", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("at") - F.col("r0"))).alias("quantile"))
+
+
 def scale_diagnostics(payload: DataFrame) -> DataFrame:
     """Quantiles of the lookback scale and counts of tiny ones, by split."""
-    points = [0.0, 0.001, 0.01, 0.05, 0.1, 0.5]
-    quantiles = F.percentile("sd", F.array(*[F.lit(p) for p in points]))
-    names = ["q0", "q0_1", "q1", "q5", "q10", "q50"]
-    out = payload.groupBy("split").agg(quantiles.alias("q"), *(F.count_if(F.col("sd") < x).alias(f"below_{n}") for n, x in (("1e8", 1e-8), ("1e6", 1e-6), ("1e3", 1e-3))))
-    return out.select("split", *(F.col("q")[i].alias(n) for i, n in enumerate(names)), "below_1e8", "below_1e6", "below_1e3")
+    points = {"q0": 0.0, "q0_1": 0.001, "q1": 0.01, "q5": 0.05, "q10": 0.1, "q50": 0.5}
+    found = quantiles(payload, ["split"], "sd", list(points.values()))
+    wide = found.groupBy("split").agg(*[F.max(F.when(F.col("i") == i, F.col("quantile"))).alias(n) for i, n in enumerate(points)])
+    tiny = payload.groupBy("split").agg(*(F.count_if(F.col("sd") < x).alias(f"below_{n}") for n, x in (("1e8", 1e-8), ("1e6", 1e-6), ("1e3", 1e-3))))
+    return tiny.join(wide, "split", "left").select("split", *points, "below_1e8", "below_1e6", "below_1e3")
+
+
+#: A state of evaluation: how many windows, and the sums of their losses.
+SUMS = ("n", "mse_sum", "mae_sum", "nmse_sum")
+
+
+def evaluation_state(predictions: DataFrame, by: tuple[str, ...] = ("split", "method")) -> DataFrame:
+    """(by, n and the sums of losses) of a batch of predictions; states of several batches merge."""
+    losses = (A.mse("yhat", "y"), A.mae("yhat", "y"), A.nmse("yhat", "y", "sd"))
+    return predictions.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(x).alias(c) for x, c in zip(losses, SUMS[1:])])
+
+
+def merge_states(states: list[DataFrame], by: tuple[str, ...] = ("split", "method")) -> DataFrame:
+    """One state out of those of disjoint batches; any order and grouping gives the same."""
+    return reduce(DataFrame.unionByName, states).groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def finished(state: DataFrame, reference: str = "vanilla") -> DataFrame:
+    """The scores of method_scores() from a state."""
+    scores = state.select("split", "method", *[(F.col(f"{c}_sum") / F.col("n")).alias(c) for c in ("mse", "mae", "nmse")])
+    return _against(scores, reference)
 
 
 def method_scores(predictions: DataFrame, reference: str = "vanilla") -> DataFrame:
@@ -79,6 +141,11 @@ def method_scores(predictions: DataFrame, reference: str = "vanilla") -> DataFra
     scores = predictions.groupBy("split", "method").agg(
         F.avg(A.mse("yhat", "y")).alias("mse"), F.avg(A.mae("yhat", "y")).alias("mae"), F.avg(A.nmse("yhat", "y", "sd")).alias("nmse")
     )
+    return _against(scores, reference)
+
+
+def _against(scores: DataFrame, reference: str) -> DataFrame:
+    """scores with the improvement of their nmse over the reference's, by split."""
     base = scores.where(F.col("method") == reference).select("split", F.col("nmse").alias("ref"))
     change = (F.col("ref") - F.col("nmse")) / F.greatest("ref", F.lit(1e-12)) * 100
     return scores.join(base, "split", "left").withColumn("relative_nmse_improvement_pct", change).drop("ref")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagspark.functions import arrays as A
+from lagspark.sources.tables import numbered
 
 from .windows import SPLITS
 
@@ -51,7 +52,8 @@ def validate(payload: DataFrame, required: Iterable[str] = SPLITS) -> DataFrame:
     payload = require_splits(payload, required)
     h = F.size("y")
     odd = (F.size("pred") != h) | (F.size("pred_ctx") != h) | F.exists("nbrs", lambda n: (F.size(n["ys"]) != h) | (F.size(n["es"]) != h))
-    bad = payload.agg(F.count_if(F.coalesce(odd, F.lit(True))).alias("n"), (F.count("*") - F.count_distinct(*KEYS)).alias("twice")).first()
+    by_key = payload.groupBy(*KEYS).agg(F.count("*").alias("c"), F.count_if(F.coalesce(odd, F.lit(True))).alias("o"))
+    bad = by_key.agg(F.coalesce(F.sum("o"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("twice")).first()
     if bad["n"]:
         raise ValueError(f"{bad['n']} rows hold arrays of unequal horizons")
     if bad["twice"]:
@@ -85,6 +87,21 @@ def sample(payload: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return payload.withColumn("__digest", digest).orderBy("__digest", *KEYS).limit(most).drop("__digest")
 
 
+def draw(payload: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n uniform draws with repeats: rows with draw, the number of the draw, from 0.
+
+    Rows are numbered in the order of their keys by counts of ranges, and each draw looks up
+    the row of a number that the digest of seed and draw gives: a join of n rows, whatever the
+    table's size. No rows give no draws.
+    """
+    placed = numbered(payload.select(*KEYS), list(KEYS), "__place")
+    total = placed.agg(F.count("*").alias("__n"))  # one row
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"))), 1, 13), 16, 10).cast("long")
+    asked = payload.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(total), F.lit(True)).where("__n > 0")
+    asked = asked.select("draw", (digest % F.col("__n")).alias("__place"))
+    return payload.join(placed.join(asked, "__place").drop("__place"), list(KEYS))
+
+
 def merge(sources: list[DataFrame], keys: Iterable[str] = (*KEYS, "method")) -> DataFrame:
     """One row a key out of several tables; the last table that has the key wins. Columns may be missing from some."""
     if not sources:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .metrics import quantiles
+
 SETTING = r"/(\d+[_-]\d+)/"
 RECORD = "dataset string, setting string, method string, split string, metric string, value double, path string"
 
@@ -97,7 +99,8 @@ def scale_exponents(means: DataFrame, reference: str) -> DataFrame:
     """(dataset, setting, exponent): floor(log10) of the median size of the reference's values."""
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") != 0)
     rows = means.where((F.col("method") == reference) & finite)
-    return rows.groupBy("dataset", "setting").agg(F.floor(F.log10(F.percentile(F.abs("value"), 0.5))).cast("long").alias("exponent"))
+    median = quantiles(rows.withColumn("value", F.abs("value")), ["dataset", "setting"], "value", [0.5])
+    return median.select("dataset", "setting", F.floor(F.log10("quantile")).cast("long").alias("exponent"))
 
 
 def sweep_matrix(means: DataFrame, variants: list[str], runs: list[str], reference: float, higher_is_better: bool = False) -> DataFrame:

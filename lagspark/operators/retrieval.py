@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from lagspark.functions import arrays as A
 
 METRICS = ("euclidean", "cosine", "pearson")
+#: A block's strides in time and its series: at most their product of windows.
+DATES, SERIES = 64, 64
 
 
 @dataclass(frozen=True)
@@ -120,25 +122,100 @@ def knn_join(queries: DataFrame, store: DataFrame, policy: StorePolicy, k: int,
     return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("split", "qt", "qu", "rank", "nt", "nu", "distance")
 
 
-def knn_blocks(queries: DataFrame, store: DataFrame, policy: StorePolicy, k: int, metric: str = "euclidean", block: int = 4096) -> DataFrame:
-    """knn_join for large stores: query and store blocks of one phase meet in matrix products.
+def needed_chunks(asked: DataFrame, width: int) -> DataFrame:
+    """(phase, chunk): the cells of the store, by phase and stretch of width positions, that some query may look at."""
+    spans = asked.groupBy("phase", F.floor(F.col("t") / width).alias("at")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    cells = F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))
+    return spans.select(F.col("phase").cast("int").alias("phase"), F.explode(cells.cast("array<int>")).alias("chunk")).distinct()
 
-    Each side is dealt into blocks by a hash, so that no phase is one task; a block pair
-    returns at most k rows a query, and a window merges them. Differences are summed exactly
-    for the pairs that a product with an error bound does not rule out. Blocks hold about
-    ``block`` rows whatever the sizes, and empty phases cost nothing.
+
+def within(store: DataFrame, asked: DataFrame, policy: StorePolicy, dates: int) -> DataFrame:
+    """The store's rows in the cells that are needed.
+
+    A stored table of windows (``windows.placed`` with the same stride and dates) is partitioned
+    by these cells: there the cells are broadcast, at most as many as the table has folders, so
+    that only their folders are read.
+    """
+    cells = needed_chunks(asked, policy.stride * dates)
+    if {"phase", "chunk"} <= set(store.columns):
+        return store.join(F.broadcast(cells), ["phase", "chunk"], "left_semi")
+    own = store.withColumns({"phase": F.pmod("t", F.lit(policy.stride)).cast("int"), "chunk": F.floor(F.col("t") / (policy.stride * dates)).cast("int")})
+    return own.join(cells, ["phase", "chunk"], "left_semi").drop("phase", "chunk")
+
+
+def summaries(rows: DataFrame, metric: str) -> DataFrame:
+    """One row a block (phase, c, b) of rows: its number, starts, bounds, centroid, radius, and how far its shortest vector is from unit length."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = np.array(table.column("feat").to_pylist())
+        centre = x.mean(axis=0)
+        radius = np.sqrt(((x - centre) ** 2).sum(axis=1).max()) * (1 + 1e-12)
+        short = 0.0 if metric == "euclidean" else max(0.0, 1 - float((x * x).sum(axis=1).min()))
+        t, lo, hi = (table.column(c).to_numpy() for c in ("t", "lo", "hi"))
+        keys = [table.column(c)[0].as_py() for c in ("phase", "c", "b")]
+        values = [*keys, len(x), t.min(), t.max(), lo.min(), lo.max(), hi.min(), hi.max(), centre.tolist(), radius, short]
+        return pa.table({n: pa.array([v]) for n, v in zip(names, values)})
+
+    names = ["phase", "c", "b", "n", "t_min", "t_max", "lo_min", "lo_max", "hi_min", "hi_max", "centre", "radius", "short"]
+    schema = ", ".join(f"{n} long" for n in names[:10]) + ", centre array<double>, radius double, short double"
+    return rows.groupBy("phase", "c", "b").applyInArrow(run, schema)
+
+
+def block_pairs(asked: DataFrame, store: DataFrame, k: int, metric: str, width: int) -> DataFrame:
+    """(phase, qc, qb, sc, sb): the pairs of a query block and a store block that can hold a neighbour.
+
+    A pair is left out if no start of the store block lies in a query's range, or if it is
+    farther off than k windows are that every query of the block may use: those of the
+    nearest store blocks that lie whole in all their ranges, by centroids and radii.
     """
+    q, s = summaries(asked, metric), summaries(store, metric)
+    q = q.select("phase", F.col("c").alias("qc"), F.col("b").alias("qb"), "lo_min", "lo_max", "hi_min", "hi_max", F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"), F.col("short").alias("q_short"))
+    s = s.select("phase", F.col("c").alias("sc"), F.col("b").alias("sb"), "n", "t_min", "t_max", "centre", "radius", "short")
+    q = q.withColumn("sc", F.explode(F.sequence(F.floor(F.col("lo_min") / width), F.floor(F.col("hi_max") / width))))
+    pairs = q.join(s, ["phase", "sc"]).where("t_max >= lo_min AND t_min <= hi_max")
+    gap, spread = F.sqrt(A.squared_distance("q_centre", "centre")), F.col("q_radius") + F.col("radius")
+    least, most = F.greatest(gap - spread, F.lit(0.0)), gap + spread
+    if metric != "euclidean":  # of unit vectors the distance is half the squared one
+        least, most = least * least / 2, most * most / 2 + (F.col("q_short") + F.col("short")) / 2
+    pairs = pairs.withColumns({"least": least * (1 - 1e-9) - 1e-9, "most": most * (1 + 1e-9) + 1e-9})
+    usable = F.when((F.col("t_min") >= F.col("lo_max")) & (F.col("t_max") <= F.col("hi_min")), F.col("n")).otherwise(0)
+    block = Window.partitionBy("phase", "qc", "qb")
+    enough = F.sum(usable).over(block.orderBy("most").rangeBetween(Window.unboundedPreceding, Window.currentRow)) >= k
+    pairs = pairs.withColumn("enough", F.when(enough, F.col("most"))).withColumn("limit", F.min("enough").over(block))
+    return pairs.where("limit IS NULL OR least <= limit").select("phase", "qc", "qb", "sc", "sb")
+
+
+def dealt(queries: DataFrame, store: DataFrame, policy: StorePolicy, k: int, metric: str = "euclidean", dates: int = DATES, series: int = SERIES, query_dates: int | None = None) -> DataFrame:
+    """Query and store rows, each once for each pair of blocks that it takes part in.
+
+    A block holds the windows of one phase that start within ``dates`` strides of each other
+    and belong to ``series`` neighbouring series, so its size is bounded whatever the table.
+    Only summaries of blocks are paired; rows are dealt out after that.
+    """
+    stride, width = policy.stride, policy.stride * dates
     q = store_bounds(prepared(queries, metric), policy).where("keep_n > 0")
-    n_phases = policy.stride
-    n_q = max(1, -(-queries.count() // (block * n_phases)))
-    n_s = max(1, -(-store.count() // (block * n_phases)))
-    deal = lambda n: F.pmod(F.xxhash64("series_id", "t"), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select(F.lit(True).alias("asks"), "split", "series_id", "t", "feat", "lo", "hi", F.pmod("lo", F.lit(n_phases)).alias("phase"), deal(n_q).alias("qb"), spread(n_s).alias("sb"))
-    right = prepared(store, metric).select(
-        F.lit(False).alias("asks"), F.lit("").alias("split"), "series_id", "t", "feat", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"),
-        F.pmod("t", F.lit(n_phases)).alias("phase"), spread(n_q).alias("qb"), deal(n_s).alias("sb"),
-    )
+    if not policy.online:  # a fixed store may be declared beyond the windows that there are
+        edge = store.agg(F.min("t").alias("__a"), F.max("t").alias("__b"))  # one row
+        q = q.join(F.broadcast(edge), F.lit(True)).withColumns({"lo": F.greatest("lo", F.col("__a") + F.pmod(F.col("lo") - F.col("__a"), F.lit(stride))), "hi": F.least("hi", "__b")}).where("lo <= hi")
+    block = lambda per: (F.floor(F.col("t") / (stride * per)).alias("c"), F.floor(F.col("series_id") / series).alias("b"))
+    asked = q.select(F.lit(True).alias("asks"), "split", "series_id", "t", "feat", "lo", "hi", F.pmod("lo", F.lit(stride)).alias("phase"), *block(query_dates or dates))
+    none = F.lit(0).cast("long")
+    kept = prepared(within(store, asked, policy, dates), metric).select(
+        F.lit(False).alias("asks"), F.lit("").alias("split"), "series_id", "t", "feat", none.alias("lo"), none.alias("hi"), F.pmod("t", F.lit(stride)).alias("phase"), *block(dates)
+    )
+    pairs = block_pairs(asked, kept, k, metric, width)
+    ends = F.array(F.struct(F.lit(True).alias("asks"), F.col("qc").alias("c"), F.col("qb").alias("b")), F.struct(F.lit(False).alias("asks"), F.col("sc").alias("c"), F.col("sb").alias("b")))
+    both = pairs.withColumn("end", F.explode(ends)).select("phase", "qc", "qb", "sc", "sb", "end.*")
+    return asked.unionByName(kept).join(both, ["phase", "asks", "c", "b"])
+
+
+def knn_blocks(queries: DataFrame, store: DataFrame, policy: StorePolicy, k: int, metric: str = "euclidean", **blocks: int) -> DataFrame:
+    """knn_join for large stores: the pairs of blocks that can hold a neighbour meet in matrix products.
+
+    A pair of blocks returns at most k rows a query, and a window merges them. Differences
+    are summed exactly for the window pairs that a product with an error bound does not rule
+    out. A store of bounded history is read, and dealt out, only where queries look.
+    """
 
     def tile(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
@@ -148,7 +225,8 @@ def knn_blocks(queries: DataFrame, store: DataFrame, policy: StorePolicy, k: int
             x, y = (np.array(t.column("feat").to_pylist()) for t in (a, b))
             lo, hi, qt, qu = (a.column(c).to_numpy() for c in ("lo", "hi", "t", "series_id"))
             nt, nu = b.column("t").to_numpy(), b.column("series_id").to_numpy()
-            xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            # Lengths play no part in angles, whatever a vector without a direction has.
+            xx, yy = ((x * x).sum(axis=1), (y * y).sum(axis=1)) if metric == "euclidean" else (np.ones(len(x)), np.ones(len(y)))
             for s in range(0, len(x), 256):
                 # One product for a slice of queries; what it surely rules out is not summed exactly.
                 about = xx[s : s + 256, None] + yy - 2 * (x[s : s + 256] @ y.T)
@@ -169,15 +247,23 @@ def knn_blocks(queries: DataFrame, store: DataFrame, policy: StorePolicy, k: int
         kinds = [pa.string(), *[pa.int64()] * 4, pa.float64()]
         return pa.table([pa.array([x for part in v for x in part], t) for v, t in zip(found.values(), kinds)], names=list(found))
 
-    tiles = left.unionByName(right).groupBy("phase", "qb", "sb").applyInArrow(tile, "split string, qt long, qu long, nt long, nu long, distance double")
+    rows = dealt(queries, store, policy, k, metric, **blocks)
+    tiles = rows.groupBy("phase", "qc", "qb", "sc", "sb").applyInArrow(tile, "split string, qt long, qu long, nt long, nu long, distance double")
     rank = F.row_number().over(Window.partitionBy("split", "qt", "qu").orderBy("distance", "nu", "nt"))
     return tiles.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("split", "qt", "qu", "rank", "nt", "nu", "distance")
 
 
-def lookup(neighbours: DataFrame, windows: DataFrame) -> DataFrame:
-    """neighbours with their windows' lookback xc and horizon yc and the lookback's mu_c, sd_c."""
-    w = windows.select(F.col("t").alias("nt"), F.col("series_id").alias("nu"), F.col("x").alias("xc"), F.col("y").alias("yc"), F.col("mu").alias("mu_c"), F.col("sd").alias("sd_c"))
-    return neighbours.join(w, ["nt", "nu"])
+def lookup(neighbours: DataFrame, windows: DataFrame, stride: int | None = None, dates: int = DATES) -> DataFrame:
+    """neighbours with their windows' lookback xc and horizon yc and the lookback's mu_c, sd_c.
+
+    With the stride that a stored table is partitioned by, its cells are part of the key.
+    """
+    cells = ["phase", "chunk"] if stride else []
+    w = windows.select(*cells, F.col("t").alias("nt"), F.col("series_id").alias("nu"), F.col("x").alias("xc"), F.col("y").alias("yc"), F.col("mu").alias("mu_c"), F.col("sd").alias("sd_c"))
+    if not stride:
+        return neighbours.join(w, ["nt", "nu"])
+    placed = neighbours.withColumns({"phase": F.pmod("nt", F.lit(stride)).cast("int"), "chunk": F.floor(F.col("nt") / (stride * dates)).cast("int")})
+    return placed.join(w, ["phase", "chunk", "nt", "nu"]).drop("phase", "chunk")
 
 
 def leave_one_out(found: DataFrame) -> DataFrame:

@@ -55,13 +55,18 @@ def windows(series: DataFrame, lags: int, horizon: int, chunk: int = CHUNK) -> D
     return found.select("series_id", "t", F.slice("v", 1, lags).alias("x"), F.slice("v", lags + 1, horizon).alias("y"))
 
 
+def placed(rows: DataFrame, stride: int, dates: int) -> DataFrame:
+    """rows with the cell (phase, chunk) of a stored table: start modulo stride, and stretch of stride * dates starts."""
+    return rows.withColumns({"phase": F.pmod("t", F.lit(stride)).cast("int"), "chunk": F.floor(F.col("t") / (stride * dates)).cast("int")})
+
+
 def with_stats(rows: DataFrame, x: str = "x") -> DataFrame:
     """mu and sd (population) of the lookback."""
     return rows.withColumns({"mu": A.mean(x), "sd": A.std(x)})
 
 
-def features(rows: DataFrame, space: str = "instance") -> DataFrame:
-    """feat: raw lookbacks, instance-normalised ones, or Fourier magnitudes of these."""
+def features(rows: DataFrame, space: str = "instance", lags: int | None = None) -> DataFrame:
+    """feat: raw lookbacks, instance-normalised ones, or Fourier magnitudes of these (lags: their length)."""
     if space == "raw":
         return rows.withColumn("feat", F.col("x"))
     rows = rows if "mu" in rows.columns else with_stats(rows)
@@ -69,27 +74,43 @@ def features(rows: DataFrame, space: str = "instance") -> DataFrame:
     if space == "instance":
         return rows
     if space == "fourier":
-        return rows.withColumn("feat", _magnitudes("feat"))
+        if not lags:
+            raise ValueError("the Fourier space needs the number of lags")
+        return rows.withColumn("feat", _magnitudes("feat", lags))
     raise ValueError(f"unknown space {space}")
 
 
-def _magnitudes(column: str):
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: np.abs(np.fft.fft(np.asarray(v, float))))
+def _magnitudes(column: str, n: int):
+    """|DFT| of an array of n: products with a constant basis for half the frequencies, the others mirror them."""
+    angle = 2 * np.pi / n * np.outer(np.arange(n // 2 + 1), np.arange(n))
+    numbers = lambda row: F.array(*[F.lit(float(v)) for v in row])
+    basis = F.array(*[F.struct(numbers(c).alias("c"), numbers(s).alias("s")) for c, s in zip(np.cos(angle), np.sin(angle))])
+    half = F.transform(basis, lambda b: F.sqrt(F.pow(A.dot(column, b["c"]), F.lit(2.0)) + F.pow(A.dot(column, b["s"]), F.lit(2.0))))
+    # Frequency n - f has the magnitude of f.
+    return F.concat(half, F.reverse(F.slice(half, 2, (n - 1) // 2)))
 
-    return run(column)
 
+def query_starts(rows: DataFrame, splits: str | tuple[str, ...], bounds: tuple[int, int, int, int], lags: int, horizon: int, stride: int, cell: int | None = None) -> DataFrame:
+    """Windows that lie whole in a split's period, every stride positions from its start, with their split.
 
-def query_starts(rows: DataFrame, split: str, bounds: tuple[int, int, int, int], lags: int, horizon: int, stride: int) -> DataFrame:
-    """Windows that lie whole in the split's period, every stride positions from its start."""
-    if split not in SPLITS:
-        raise ValueError(f"unknown split {split}")
+    Periods follow each other, so a window is in one split at most and all splits are one
+    scan. cell is the length in positions of a stored table's chunks: other folders are not read.
+    """
+    splits = (splits,) if isinstance(splits, str) else tuple(splits)
+    if not splits or not set(splits) <= set(SPLITS):
+        raise ValueError(f"unknown split among {splits}")
     if stride <= 0:
         raise ValueError("a stride is positive")
-    at = SPLITS.index(split)
-    lo, hi = bounds[at], bounds[at + 1] - lags - horizon
-    return rows.where((F.col("t") >= lo) & (F.col("t") <= hi) & ((F.col("t") - lo) % stride == 0)).withColumn("split", F.lit(split))
+    t, name, chunks = F.col("t"), F.lit(None).cast("string"), F.lit(False)
+    for split in splits:
+        at = SPLITS.index(split)
+        lo, hi = bounds[at], bounds[at + 1] - lags - horizon
+        name = F.when((t >= lo) & (t <= hi) & ((t - lo) % stride == 0), split).otherwise(name)
+        if cell:
+            chunks = chunks | F.col("chunk").between(lo // cell, max(lo, hi) // cell)
+    first, last = min(bounds[SPLITS.index(s)] for s in splits), max(bounds[SPLITS.index(s) + 1] for s in splits)
+    rows = rows.where(t.between(first, last))
+    return (rows.where(chunks) if cell else rows).withColumn("split", name).where("split IS NOT NULL")
 
 
 def patches(rows: DataFrame, length: int, step: int, x: str = "x") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from lagspark.functions import arrays as A
 from lagspark.operators import adapters, attention, forecasts, gates, metrics, mixture, payloads, report, retrieval, windows
 from lagspark.sources import series as S
+from lagspark.sources import tables as T
 
 from .sql import SQL
 
@@ -29,18 +29,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# Shared inputs.
-
-#: The tables that the last queries keep; an older one is let go for each new one.
-_KEPT: deque[DataFrame] = deque()
-
-
-def keep(df: DataFrame, most: int = 4) -> DataFrame:
-    """df cached, and the oldest cached table beyond the most recent ones freed (it would be worked out anew if still asked for)."""
-    _KEPT.append(df.cache())
-    while len(_KEPT) > most:
-        _KEPT.popleft().unpersist()
-    return df
+# Shared inputs. Windows and prediction tables are stored once an application and read by every query that needs them.
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,36 +41,43 @@ def bounds(long: DataFrame) -> tuple[int, int, int, int]:
 
 
 def all_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int, int]]:
-    """Windows with statistics and features. Cached: queries, store and neighbour lookups all read them."""
-    long = series(spark, sf_dir)
-    rows = windows.features(windows.with_stats(windows.windows(long, LAGS, HORIZON)))
-    return keep(rows), bounds(long)
+    """Windows with statistics and features, stored by phase and chunk: queries, store and neighbour lookups read their folders."""
+    events = read(spark, sf_dir, "events")
+
+    def make() -> DataFrame:
+        rows = windows.features(windows.with_stats(windows.windows(S.event_series(events), LAGS, HORIZON)))
+        return windows.placed(rows, STORE_STRIDE, retrieval.DATES)
+
+    rows = T.stored(spark, f"windows-{T.fingerprint(events)}", make, by=("phase", "chunk"), slices=F.floor(F.col("series_id") / 1024))
+    return rows, windows.split_bounds((rows.agg(F.max("t")).first()[0] or 0) + LAGS + HORIZON)
 
 
 def queries_of(rows: DataFrame, ends: tuple[int, int, int, int], splits=windows.SPLITS) -> DataFrame:
-    some = [windows.query_starts(rows, s, ends, LAGS, HORIZON, QUERY_STRIDE) for s in splits]
-    out = some[0]
-    for df in some[1:]:
-        out = out.unionByName(df)
-    return out
+    return windows.query_starts(rows, splits, ends, LAGS, HORIZON, QUERY_STRIDE, STORE_STRIDE * retrieval.DATES)
 
 
 def online(**how) -> retrieval.StorePolicy:
     return retrieval.StorePolicy(LAGS, HORIZON, PERIOD, STORE_STRIDE, **how)
 
 
-def neighbours(spark: SparkSession, sf_dir: str, splits=windows.SPLITS, metric: str = "euclidean", space: str = "instance"):
+def neighbours(spark: SparkSession, sf_dir: str, metric: str = "euclidean", space: str = "instance"):
     rows, ends = all_windows(spark, sf_dir)
     feats = rows if space == "instance" else windows.features(rows, space)
-    q = queries_of(feats, ends, splits)
+    q = queries_of(feats, ends)
     return retrieval.knn_blocks(q, feats, online(), K, metric), q, rows
 
 
 def payload_of(spark: SparkSession, sf_dir: str, splits=windows.SPLITS, lookbacks: bool = False) -> DataFrame:
-    """The prediction table: persistence, and the blended forecaster given the neighbours."""
-    near, q, rows = neighbours(spark, sf_dir, splits)
-    out = forecasts.payload(q, near, rows, forecasts.persistence(HORIZON), forecasts.blended(HORIZON, PERIOD), lookbacks)
-    return keep(out.where(F.size("nbrs") > 0))
+    """The prediction table of all splits, stored by split: persistence, and the blended forecaster given the neighbours."""
+
+    def make() -> DataFrame:
+        near, q, rows = neighbours(spark, sf_dir)
+        out = forecasts.payload(q, near, rows, forecasts.persistence(HORIZON), forecasts.blended(HORIZON, PERIOD), lookbacks, STORE_STRIDE)
+        return out.where(F.size("nbrs") > 0)
+
+    name = f"payload{'-lookbacks' * lookbacks}-{T.fingerprint(read(spark, sf_dir, 'events'))}"
+    rows = T.stored(spark, name, make, by=("split",), slices=F.pmod(F.xxhash64("qt", "qu"), F.lit(64)))
+    return rows.where(F.col("split").isin(list(splits))) if tuple(splits) != windows.SPLITS else rows
 
 
 def frame_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +232,7 @@ def moving_average_all(spark, sf_dir):
 @query
 def fourier_features(spark, sf_dir):
     rows, _ = all_windows(spark, sf_dir)
-    return windows.features(rows, "fourier").select("series_id", "t", A.rounded("feat").alias("feat"))
+    return flat(windows.features(rows, "fourier", LAGS), ["series_id", "t"], ["feat"], LAGS)
 
 
 @query
@@ -287,26 +283,26 @@ def eligible_queries(spark, sf_dir):
 
 @query
 def knn_euclidean(spark, sf_dir):
-    near, *_ = neighbours(spark, sf_dir, ("eval",))
+    near, *_ = neighbours(spark, sf_dir)
     return near.withColumn("distance", F.round("distance", 6))
 
 
 @query
 def knn_cosine(spark, sf_dir):
-    near, *_ = neighbours(spark, sf_dir, ("eval",), "cosine", "raw")
+    near, *_ = neighbours(spark, sf_dir, metric="cosine", space="raw")
     return near.withColumn("distance", F.round("distance", 6))
 
 
 @query
 def knn_pearson(spark, sf_dir):
-    near, *_ = neighbours(spark, sf_dir, ("eval",), "pearson", "raw")
+    near, *_ = neighbours(spark, sf_dir, metric="pearson", space="raw")
     return near.withColumn("distance", F.round("distance", 6))
 
 
 @query
 def knn_blocked(spark, sf_dir):
     rows, ends = all_windows(spark, sf_dir)
-    near = retrieval.knn_blocks(queries_of(rows, ends, ("eval",)), rows, online(), K)
+    near = retrieval.knn_blocks(queries_of(rows, ends), rows, online(), K, dates=8, series=2, query_dates=4)
     return near.withColumn("distance", F.round("distance", 6))
 
 
@@ -314,7 +310,7 @@ def knn_blocked(spark, sf_dir):
 def knn_embeddings(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.transform("embedding", lambda e: e.cast("double")).alias("feat"), F.lit(0).cast("long").alias("series_id"))
     policy = retrieval.StorePolicy(0, 0, 1, 1, online=False, align=False, store_end=1 << 62)
-    near = retrieval.knn_blocks(rows.where("t % 100 = 0").withColumn("split", F.lit("all")), rows, policy, K + 1)
+    near = retrieval.knn_blocks(rows.where("t % 100 = 0").withColumn("split", F.lit("all")), rows, policy, K + 1, dates=4096, query_dates=100 * 4096)
     # The query itself is among its own k + 1 nearest, or hidden behind as many copies of it.
     from pyspark.sql.window import Window
 
@@ -324,14 +320,14 @@ def knn_embeddings(spark, sf_dir):
 
 @query
 def neighbor_lookup(spark, sf_dir):
-    near, _, rows = neighbours(spark, sf_dir, ("eval",))
-    return flat(retrieval.lookup(near, rows), ["qt", "qu", "rank"], ["xc", "yc"], LAGS)
+    near, _, rows = neighbours(spark, sf_dir)
+    return flat(retrieval.lookup(near, rows, STORE_STRIDE), ["qt", "qu", "rank"], ["xc", "yc"], LAGS)
 
 
 @query
 def leave_one_out_context(spark, sf_dir):
-    near, _, rows = neighbours(spark, sf_dir, ("eval",))
-    each = retrieval.leave_one_out(retrieval.lookup(near, rows)).select("qt", "qu", "rank", F.posexplode("context").alias("i", "w"))
+    near, _, rows = neighbours(spark, sf_dir)
+    each = retrieval.leave_one_out(retrieval.lookup(near, rows, STORE_STRIDE)).select("qt", "qu", "rank", F.posexplode("context").alias("i", "w"))
     other = F.when(F.col("i") + 1 < F.col("rank"), F.col("i") + 1).otherwise(F.col("i") + 2).cast("long")
     each = each.select("qt", "qu", "rank", other.alias("other"), F.slice("w", -HORIZON, HORIZON).alias("y"))
     return flat(each, ["qt", "qu", "rank", "other"], ["y"], HORIZON)
@@ -365,18 +361,18 @@ def linear_forecast(spark, sf_dir):
     return out.select("split", "qt", "qu", F.col("h").cast("long").alias("h"), F.round("v", 4).alias("pred"))
 
 
-def _nbrs(spark, sf_dir, splits=windows.SPLITS) -> DataFrame:
-    return payload_of(spark, sf_dir, splits).select("split", "qt", "qu", F.explode("nbrs").alias("n")).select("split", "qt", "qu", "n.*")
+def _nbrs(spark, sf_dir) -> DataFrame:
+    return payload_of(spark, sf_dir).select("split", "qt", "qu", F.explode("nbrs").alias("n")).select("split", "qt", "qu", "n.*")
 
 
 @query
 def scale_transfer(spark, sf_dir):
-    return _nbrs(spark, sf_dir, ("eval",)).transform(flat, ["split", "qt", "qu", "rank"], ["ys"], HORIZON)
+    return _nbrs(spark, sf_dir).transform(flat, ["split", "qt", "qu", "rank"], ["ys"], HORIZON)
 
 
 @query
 def residual_transfer(spark, sf_dir):
-    return _nbrs(spark, sf_dir, ("eval",)).transform(flat, ["split", "qt", "qu", "rank"], ["es"], HORIZON)
+    return _nbrs(spark, sf_dir).transform(flat, ["split", "qt", "qu", "rank"], ["es"], HORIZON)
 
 
 @query
@@ -434,12 +430,13 @@ def residual_knn(spark, sf_dir):
 
 @query
 def mix_scalars(spark, sf_dir):
-    c = adapters.fit(payload_of(spark, sf_dir).where("split = 'train'"), K, L2)
-    return spark.createDataFrame([(round(float(c["horizon_mix_scalar"][0]), 6), round(float(c["residual_mix_scalar"][0]), 6))], "horizon_mix double, residual_mix double")
+    models = adapters.fit_table(payload_of(spark, sf_dir).where("split = 'train'"), K, L2)
+    of = lambda name: F.round(F.max(F.when(F.col("method") == name, F.col("beta")[0])), 6)
+    return models.agg(of("horizon_mix_scalar").alias("horizon_mix"), of("residual_mix_scalar").alias("residual_mix"))
 
 
-def _scores(predictions: DataFrame) -> DataFrame:
-    out = metrics.method_scores(predictions)
+def _scores(out: DataFrame) -> DataFrame:
+    out = metrics.method_scores(out) if "yhat" in out.columns else out
     return out.select(
         "split", "method", F.round("mse", 6).alias("mse"), F.round("mae", 5).alias("mae"), F.round("nmse", 6).alias("nmse"),
         F.round("relative_nmse_improvement_pct", 5).alias("relative_nmse_improvement_pct"),
@@ -462,9 +459,41 @@ def ridge_scores(spark, sf_dir):
 
 @query
 def ridge_coefficients(spark, sf_dir):
-    c = adapters.fit(payload_of(spark, sf_dir).where("split = 'train'"), K, L2)
-    rows = [(m, h, i, float(v)) for m, x in c.items() for h, line in enumerate(np.atleast_2d(x)) for i, v in enumerate(line)]
-    return spark.createDataFrame(rows, "method string, h int, i int, value double")
+    models = adapters.fit_table(payload_of(spark, sf_dir).where("split = 'train'"), K, L2)
+    rows = models.select("method", F.greatest("h", F.lit(0)).cast("long").alias("h"), F.posexplode("beta").alias("i", "value"))
+    return rows.select("method", "h", F.col("i").cast("long").alias("i"), F.round("value", 5).alias("value"))
+
+
+@query
+def ridge_by_series(spark, sf_dir):
+    """Adapters fitted for each series by itself, and their scores."""
+    rows = payload_of(spark, sf_dir)
+    models = adapters.fit_table(rows.where("split = 'train'"), K, L2, by=("qu",))
+    scored = adapters.predict(rows, models, K, by=("qu",)).where(F.col("method").isin("residual_ridge_shared", "horizon_ridge_shared", "horizon_mix_scalar"))
+    return scored.groupBy("split", "method").agg(F.round(F.avg(A.nmse("yhat", "y", "sd")), 5).alias("nmse"))
+
+
+@query
+def reloaded_scores(spark, sf_dir):
+    """Coefficients written as a version of a model table, read back and joined with the rows they predict."""
+    rows, root = payload_of(spark, sf_dir), f"{T.application_folder(spark)}/models"
+    fitted = adapters.fit_table(rows.where("split = 'train'"), K, L2)
+    version = T.save_model(fitted, root, "adapters", fitted_on="train")
+    models = T.load_model(spark, root, "adapters", version).where("fitted_on = 'train'")
+    return _scores(adapters.predict(rows, models, K).where(F.col("method").isin(list(SIMPLE))))
+
+
+@query
+def merged_scores(spark, sf_dir):
+    """Scores from the merged states of batches, one a weekday of the query's date."""
+    scored = adapters.predict(payload_of(spark, sf_dir), None, K)
+    batches = [metrics.evaluation_state(scored.where(F.pmod(F.floor(F.col("qt") / 24), F.lit(7)) == d)) for d in range(7)]
+    return _scores(metrics.finished(metrics.merge_states(batches)))
+
+
+@query
+def random_draws(spark, sf_dir):
+    return payloads.draw(payload_of(spark, sf_dir), 500, seed=11).select("draw", "split", "qt", "qu")
 
 
 @query
@@ -541,7 +570,7 @@ def gate_summary(spark, sf_dir):
 
 @query
 def metric_views(spark, sf_dir):
-    rows = adapters.predict(payload_of(spark, sf_dir), {}, K)
+    rows = adapters.predict(payload_of(spark, sf_dir), None, K)
     return metrics.metric_view(rows, "horizon_knn_mean", "vanilla", "relative").select("split", F.col("h").cast("long").alias("h"), *r6("value"))
 
 
@@ -636,8 +665,8 @@ def ridge_pair(spark, sf_dir):
     """Ridge of the targets on the plain and the context forecast, by split and step."""
     rows = payload_of(spark, sf_dir).select("split", F.posexplode(F.arrays_zip("pred", "pred_ctx", "y")).alias("h", "z"))
     rows = rows.select("split", "h", F.array("z.pred", "z.pred_ctx").alias("f"), F.col("z.y").alias("target"))
-    fitted = adapters.ridge_pairs(rows, ["split", "h"], L2)
-    return fitted.select("split", F.col("h").cast("long").alias("h"), *(F.round(c, 5).alias(c) for c in ("b0", "b1")))
+    fitted = adapters.ridge(rows, 2, L2, ["split", "h"])
+    return fitted.select("split", F.col("h").cast("long").alias("h"), *(F.round(F.col("beta")[i], 5).alias(f"b{i}") for i in (0, 1)))
 
 
 # Report and mixture.

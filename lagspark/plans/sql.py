@@ -134,6 +134,51 @@ WIDE = """
 w AS (SELECT date_trunc('month', l_shipdate) AS ts, sum(l_quantity) FILTER (l_returnflag || l_linestatus = 'AF') AS af, sum(l_quantity) FILTER (l_returnflag || l_linestatus = 'NF') AS nf,
         sum(l_quantity) FILTER (l_returnflag || l_linestatus = 'NO') AS no, sum(l_quantity) FILTER (l_returnflag || l_linestatus = 'RF') AS rf FROM lineitem GROUP BY ALL)"""
 
+#: Ridge fits of the six trainable adapters by recursive elimination: own is the fit's group besides the step, match that of a row it predicts.
+RIDGE = """
+, fr AS (
+  SELECT w.split, w.qt, w.qu, h.h, list(w.es[h.h] ORDER BY w.rank) AS es, list(w.ys[h.h] ORDER BY w.rank) AS ys FROM weights w, (SELECT unnest(range(1, 13)) AS h) h GROUP BY ALL
+),
+fp AS (SELECT p.*, f.es, f.ys FROM p JOIN fr f USING (split, qt, qu, h)),
+fm AS (
+  SELECT split, qt, qu, h, y, pred, scale, ew, yw, unnest([
+    {'m': 'horizon_mix_scalar', 'g': -1, 'f': [yw - pred], 'z': y - pred}, {'m': 'residual_mix_scalar', 'g': -1, 'f': [ew], 'z': y - pred},
+    {'m': 'residual_ridge_shared', 'g': -1, 'f': es, 'z': y - pred}, {'m': 'horizon_ridge_shared', 'g': -1, 'f': list_concat([pred], ys), 'z': y},
+    {'m': 'residual_ridge_horizon', 'g': h, 'f': es, 'z': y - pred}, {'m': 'full_ridge_horizon', 'g': h, 'f': list_concat(list_concat([pred], ys), [pred_ctx]), 'z': y}
+  ]) AS d FROM fp
+),
+fits AS (SELECT split AS fit, {own} AS own, d.m AS m, d.g AS g, d.f AS f, d.z AS z FROM fm WHERE split IN ({on})),
+cells AS (
+  SELECT fit, own, m, g, i.i, j.i AS j, count(*) AS n, sum(f[i.i] * CASE WHEN j.i > len(f) THEN z ELSE f[j.i] END) AS v
+  FROM fits, (SELECT unnest(range(1, 8)) AS i) i, (SELECT unnest(range(1, 9)) AS i) j WHERE i.i <= len(f) AND j.i <= len(f) + 1 GROUP BY ALL
+),
+roots AS (SELECT fit, own, m, g, i, greatest(sqrt(v / n), 1e-12) AS s FROM cells WHERE i = j),
+normal AS (
+  SELECT c.fit, c.own, c.m, c.g, c.i, a.s, list(c.v / c.n / a.s / coalesce(b.s, 1) + CASE WHEN c.i = c.j THEN 0.001 ELSE 0 END ORDER BY c.j) AS line
+  FROM cells c JOIN roots a ON (a.fit, a.own, a.m, a.g, a.i) = (c.fit, c.own, c.m, c.g, c.i) LEFT JOIN roots b ON (b.fit, b.own, b.m, b.g, b.i) = (c.fit, c.own, c.m, c.g, c.j) GROUP BY ALL
+),
+systems AS (SELECT fit, own, m, g, count(*) AS p, list(line ORDER BY i) AS a, list(s ORDER BY i) AS s FROM normal GROUP BY ALL),
+elim AS (
+  SELECT fit, own, m, g, p, s, 0 AS k, a FROM systems
+  UNION ALL SELECT fit, own, m, g, p, s, k + 1, list_transform(range(1, p + 1), lambda i: CASE WHEN i = k + 1 THEN list_transform(a[i], lambda v: v / a[i][i])
+    ELSE list_transform(range(1, p + 2), lambda j: a[i][j] - a[i][k + 1] / a[k + 1][k + 1] * a[k + 1][j]) END) FROM elim WHERE k < p
+),
+betas AS (
+  SELECT fit, own, m, g, list_transform(range(1, p + 1), lambda i: CASE WHEN m LIKE '%mix_scalar' THEN greatest(0, least(1, a[i][p + 1] / s[i])) ELSE a[i][p + 1] / s[i] END) AS b FROM elim WHERE k = p
+),
+told AS (
+  SELECT x.split, x.qt, x.qu, x.h, x.y, x.scale, x.d.m AS m, b.fit,
+    CASE WHEN x.d.m LIKE '%ridge_shared' AND x.d.m LIKE 'horizon%' OR x.d.m LIKE 'full%' THEN list_dot_product(x.d.f, b.b) ELSE x.pred + list_dot_product(x.d.f, b.b) END AS v
+  FROM fm x JOIN betas b ON b.m = x.d.m AND b.g = x.d.g AND b.own = {match}
+)"""
+
+
+def ridge(final: str, own: str = "0", match: str = "0", on: str = "'train'") -> str:
+    """A query over the ridge fits; the whole chain is recursive then."""
+    text = RIDGE.replace("{own}", own).replace("{match}", match).replace("{on}", on)
+    return f"WITH RECURSIVE {CHAIN.strip()}\n{text.strip()}\n{final}"
+
+
 SQL: dict[str, str] = {
     "resample_sum": twin(SERIES),
     "resample_mean_complete": DAILY.strip(),
@@ -170,31 +215,31 @@ SELECT split, t, series_id, lo0::BIGINT AS lo, (lo0 + (last - lo0) // 24 * 24)::
 , f AS (SELECT *, least(keep_n, 5, 40 // 5) AS kept FROM store WHERE keep_n >= 5)
 SELECT split, t, series_id, (lo + (keep_n - kept) * 24)::BIGINT AS lo, hi::BIGINT AS hi, kept::BIGINT AS keep_n FROM f"""),
     "eligible_queries": twin("SELECT split, t, series_id FROM store WHERE keep_n >= 12"),
-    "knn_euclidean": twin("SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance FROM knn WHERE split = 'eval'"),
+    "knn_euclidean": twin("SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance FROM knn"),
     "knn_cosine": twin("""
 , d AS (SELECT a.split, a.t AS qt, a.series_id AS qu, s.t AS nt, s.series_id AS nu, 1 - list_dot_product(a.x, s.x) / greatest(sqrt(list_dot_product(a.x, a.x)), 1e-8) / greatest(sqrt(list_dot_product(s.x, s.x)), 1e-8) AS distance
- FROM store a JOIN feats s ON a.split = 'eval' AND a.t % 24 = s.t % 24 AND s.t BETWEEN a.lo AND a.hi),
+ FROM store a JOIN feats s ON a.t % 24 = s.t % 24 AND s.t BETWEEN a.lo AND a.hi),
 r AS (SELECT *, (row_number() OVER (PARTITION BY qt, qu ORDER BY distance, nu, nt))::BIGINT AS rank FROM d)
 SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance FROM r WHERE rank <= 5"""),
     "knn_pearson": twin("""
 , c AS (SELECT *, list_transform(x, lambda e: e - mu) AS z FROM feats),
 u AS (SELECT *, list_transform(z, lambda e: e / greatest(sqrt(list_dot_product(z, z)), 1e-8)) AS v FROM c),
 d AS (SELECT a.split, a.t AS qt, a.series_id AS qu, s.t AS nt, s.series_id AS nu, 1 - list_dot_product(b.v, s.v) AS distance
- FROM store a JOIN u b ON a.split = 'eval' AND b.t = a.t AND b.series_id = a.series_id JOIN u s ON a.t % 24 = s.t % 24 AND s.t BETWEEN a.lo AND a.hi),
+ FROM store a JOIN u b ON b.t = a.t AND b.series_id = a.series_id JOIN u s ON a.t % 24 = s.t % 24 AND s.t BETWEEN a.lo AND a.hi),
 r AS (SELECT *, (row_number() OVER (PARTITION BY qt, qu ORDER BY distance, nu, nt))::BIGINT AS rank FROM d)
 SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance FROM r WHERE rank <= 5"""),
-    "neighbor_lookup": twin(flat("qt, qu, rank", ["xc", "yc"], 48, "SELECT * FROM found WHERE split = 'eval'")),
+    "neighbor_lookup": twin(flat("qt, qu, rank", ["xc", "yc"], 48, "SELECT * FROM found")),
     "leave_one_out_context": twin(flat("qt, qu, rank, other", ["y"], 12, """
 SELECT a.qt, a.qu, a.rank, b.rank AS other, list_transform(b.yc, lambda e: (e - b.mu_c) / greatest(b.sd_c, 1e-8) * greatest(a.sd_c, 1e-8) + a.mu_c) AS y
-FROM found a JOIN found b ON a.split = 'eval' AND b.split = 'eval' AND a.qt = b.qt AND a.qu = b.qu AND a.rank <> b.rank""")),
+FROM found a JOIN found b ON a.split = b.split AND a.qt = b.qt AND a.qu = b.qu AND a.rank <> b.rank""")),
     "same_series": twin("SELECT split, qt, qu, same AS same_user_fraction FROM nstats"),
     "persistence_forecast": twin("SELECT split, qt, qu, h - 1 AS h, round(pred, 6) AS pred FROM p"),
     "context_forecast": twin("SELECT split, qt, qu, h - 1 AS h, round(pred_ctx, 6) AS pred FROM p"),
     "linear_forecast": twin("""
 SELECT split, t AS qt, series_id AS qu, h::BIGINT AS h, round(list_sum(list_transform(range(1, 49), lambda i: x[i] * ((h + 1) * i / 2311.0::DOUBLE))) + h, 4) AS pred
 FROM q, (SELECT unnest(range(0, 12)) AS h)"""),
-    "scale_transfer": twin(flat("split, qt, qu, rank", ["ys"], 12, "SELECT * FROM scaled WHERE split = 'eval'")),
-    "residual_transfer": twin(flat("split, qt, qu, rank", ["es"], 12, "SELECT * FROM scaled WHERE split = 'eval'")),
+    "scale_transfer": twin(flat("split, qt, qu, rank", ["ys"], 12, "SELECT * FROM scaled")),
+    "residual_transfer": twin(flat("split, qt, qu, rank", ["es"], 12, "SELECT * FROM scaled")),
     "payload": twin("""
 SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance, round(mu_c, 6) AS mu, round(sd_c, 6) AS sd, i::BIGINT AS i, round(ys[i], 6) AS ys, round(es[i], 6) AS es
 FROM scaled, (SELECT unnest(range(1, 13)) AS i)"""),
@@ -225,9 +270,33 @@ SELECT DISTINCT method, CASE method WHEN 'vanilla' THEN 'plain' WHEN 'context_fo
 u AS (SELECT *, greatest(sqrt(aa / n), 1e-12) AS sa, greatest(sqrt(bb / n), 1e-12) AS sb FROM g),
 m AS (SELECT *, aa / n / sa / sa + 0.001 AS p11, ab / n / sa / sb AS p12, bb / n / sb / sb + 0.001 AS p22, ay / n / sa AS r1, bys / n / sb AS r2 FROM u)
 SELECT split, h - 1 AS h, round((p22 * r1 - p12 * r2) / (p11 * p22 - p12 * p12) / sa, 5) AS b0, round((p11 * r2 - p12 * r1) / (p11 * p22 - p12 * p12) / sb, 5) AS b1 FROM m"""),
+    "ridge_coefficients": ridge("SELECT m AS method, greatest(g - 1, 0)::BIGINT AS h, (i - 1)::BIGINT AS i, round(b[i], 5) AS value FROM betas, (SELECT unnest(range(1, 8)) AS i) WHERE i <= len(b)"),
+    "ridge_scores": ridge("""
+, both_ AS (
+  SELECT split, m AS method, v, y, scale FROM told WHERE fit = 'train' UNION ALL SELECT split, m || '_eval_fit', v, y, scale FROM told WHERE fit = 'eval' AND split = 'eval'
+  UNION ALL SELECT split, z.m, z.v, y, scale FROM methods WHERE z.m NOT LIKE '%mix_scalar'
+),
+sc AS (SELECT split, method, avg((v - y) ** 2) AS mse, avg(abs(v - y)) AS mae, avg(((v - y) / scale) ** 2) AS nmse FROM both_ GROUP BY ALL)
+SELECT s.split, s.method, round(s.mse, 6) AS mse, round(s.mae, 5) AS mae, round(s.nmse, 6) AS nmse, round((r.nmse - s.nmse) / greatest(r.nmse, 1e-12) * 100, 5) AS relative_nmse_improvement_pct
+FROM sc s JOIN sc r ON r.split = s.split AND r.method = 'vanilla'""", on="'train', 'eval'"),
+    "ridge_by_series": ridge("""
+SELECT split, m AS method, round(avg(((v - y) / scale) ** 2), 5) AS nmse FROM told WHERE m IN ('residual_ridge_shared', 'horizon_ridge_shared', 'horizon_mix_scalar') GROUP BY ALL""", own="qu", match="x.qu"),
+    "random_draws": twin("""
+, o AS (SELECT split, qt, qu, row_number() OVER (ORDER BY split, qt, qu) - 1 AS place FROM nstats),
+d AS (SELECT draw, ('0x' || substr(md5('11|' || draw), 1, 13))::BIGINT % (SELECT count(*) FROM o) AS place FROM (SELECT unnest(range(0, 500)) AS draw))
+SELECT draw::BIGINT AS draw, split, qt, qu FROM d JOIN o USING (place)"""),
+    "merged_scores": twin("""
+SELECT s.split, s.method, round(s.mse, 6) AS mse, round(s.mae, 5) AS mae, round(s.nmse, 6) AS nmse, round((r.nmse - s.nmse) / greatest(r.nmse, 1e-12) * 100, 5) AS relative_nmse_improvement_pct
+FROM scores s JOIN scores r ON r.split = s.split AND r.method = 'vanilla' WHERE s.method NOT LIKE '%mix_scalar'"""),
+    "fourier_features": twin("""
+, fz AS (
+  SELECT series_id, t, f.f, list_sum(list_transform(range(0, 48), lambda i: feat[i + 1] * cos(2 * pi() / 48 * f.f * i))) AS re, list_sum(list_transform(range(0, 48), lambda i: feat[i + 1] * sin(2 * pi() / 48 * f.f * i))) AS im
+  FROM feats, (SELECT unnest(range(0, 48)) AS f) f
+)
+SELECT series_id, t, (f + 1)::BIGINT AS i, round(sqrt(re * re + im * im), 6) AS feat FROM fz"""),
     "attention_identity": twin("""
 SELECT split, qt, qu, h - 1 AS h, round(1 / (1 + 3 * exp(-6.0::DOUBLE)) * pred + exp(-6.0::DOUBLE) / (1 + 3 * exp(-6.0::DOUBLE)) * (pred_ctx + 2 * pred), 6) AS yhat FROM p"""),
-    "knn_blocked": twin("SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance FROM knn WHERE split = 'eval'"),
+    "knn_blocked": twin("SELECT split, qt, qu, rank, nt, nu, round(distance, 6) AS distance FROM knn"),
     "window_losses": twin("SELECT split, qt, qu, round(mse, 6) AS mse, round(mae, 6) AS mae, round(nmse, 6) AS nmse FROM losses"),
     "loss_summary": twin("""
 , l AS (SELECT split, qu, 'mse' AS metric, mse AS v FROM losses UNION ALL SELECT split, qu, 'mae', mae FROM losses UNION ALL SELECT split, qu, 'nmse', nmse FROM losses),
@@ -318,5 +387,6 @@ def _merge_ctes(text: str) -> str:
     return text.replace(")\n\n, ", "),\n").replace(")\n, ", "),\n")
 
 
+SQL["reloaded_scores"] = SQL["method_scores"]
 SQL |= {f"{name}_all": SQL[name] for name in ("window_extract", "instance_norm", "patch_unfold", "moving_average")}
 SQL = {name: _merge_ctes(text) for name, text in SQL.items()}

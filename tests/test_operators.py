@@ -139,14 +139,15 @@ def test_context_from_windows(spark):
 
 
 def test_ridge(spark):
+    beta = lambda rows, p, l2: adapters.ridge(rows, p, l2).first()["beta"]
     rows = spark.createDataFrame([([1.0], 1.0), ([1.0], 1.0)], "f array<double>, target double")
-    assert adapters.solve(adapters.gram(rows, 1).first(), 1, 1.0) == pytest.approx([0.5])
+    assert beta(rows, 1, 1.0) == pytest.approx([0.5])
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(4, 2)), rng.normal(size=4)
-    fit = lambda k: adapters.solve(adapters.gram(spark.createDataFrame([((x[i] * k).tolist(), float(y[i] * k)) for i in range(4)], "f array<double>, target double"), 2).first(), 2, 0.4)
+    fit = lambda k: beta(spark.createDataFrame([((x[i] * k).tolist(), float(y[i] * k)) for i in range(4)], "f array<double>, target double"), 2, 0.4)
     assert fit(1) == pytest.approx(fit(100))
     with pytest.raises(ValueError):
-        adapters.solve(adapters.gram(rows, 1).first(), 1, -1.0)
+        beta(rows, 1, -1.0)
 
 
 def test_oracles_keep_vanilla_on_ties(spark):
@@ -229,6 +230,6 @@ def test_blocked_join_equals_join(spark):
     for metric in retrieval.METRICS:
         a, b = (
             {(r["qt"], r["qu"], r["rank"]): (r["nt"], r["nu"]) for r in f.collect()}
-            for f in (retrieval.knn_join(q, store, policy, 3, metric), retrieval.knn_blocks(q, store, policy, 3, metric, block=10))
+            for f in (retrieval.knn_join(q, store, policy, 3, metric), retrieval.knn_blocks(q, store, policy, 3, metric, dates=4, series=2, query_dates=3))
         )
         assert a == b and len(a) == 60 * 3

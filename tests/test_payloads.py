@@ -84,8 +84,8 @@ def test_blocks_of_any_size_and_ties(spark):
     q = store.where("t >= 30").withColumn("split", F.lit("eval"))
     policy = retrieval.StorePolicy(3, 1, 2, 2)
     want = sorted(tuple(r) for r in retrieval.knn_join(q, store, policy, 4).select("qt", "qu", "rank", "nt", "nu").collect())
-    for block in (2, 5000):
-        assert sorted(tuple(r) for r in retrieval.knn_blocks(q, store, policy, 4, block=block).select("qt", "qu", "rank", "nt", "nu").collect()) == want
+    for block in (1, 3, 5000):
+        assert sorted(tuple(r) for r in retrieval.knn_blocks(q, store, policy, 4, dates=block, series=block).select("qt", "qu", "rank", "nt", "nu").collect()) == want
 
 
 def test_adapters_equal_least_squares(spark, payload):
