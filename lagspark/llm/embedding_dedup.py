@@ -40,7 +40,8 @@ from .vectors import matrix, packed
 
 CHUNK = 4096
 #: Centres that a node is opened around, vectors that each of them is picked from, and levels of tables.
-FAN, PICK, LEVELS = 256, 4, 12
+#: FAN * PICK stays within 1000, up to which Spark cuts a ranking before the shuffle, so that no task gets a whole node.
+FAN, PICK, LEVELS = 250, 4, 12
 #: Keys that the vectors of a node are dealt over while they look for their centre.
 SALTS = 64
 #: Radii of the nested levels within a leaf.

@@ -44,10 +44,11 @@ BROADCAST_HASHES = 1_000_000
 #: Keys that the pages of one host are dealt over.
 SALTS = 32
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S
-)
-ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: A tag of common length, and where such a one is looked for; longer and broken ones take the slower way.
+TAG, SHORT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"), 512
+#: What ends a tag's name, and what matters behind it.
+NAME_END, SPECIAL = re.compile(r"[\s/>]"), re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"(?<![^\s=\"'>/])([^\s=\"'>/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAME = re.compile(r"[a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -92,54 +93,144 @@ class Element:
     children: list = field(default_factory=list)  # Elements and strings
 
 
+class Ahead:
+    """What comes next in a page: each stretch is searched once, however often it is asked about."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[re.Pattern | str, tuple[int, int]] = {}
+        self.failed: set[int] = set()
+
+    def next(self, what: re.Pattern | str, at: int) -> int:
+        """The first place from at on; the page's length if there is none."""
+        since, found = self.known.get(what, (0, -1))
+        if since <= at <= found:
+            return found
+        if isinstance(what, str):
+            found = self.page.find(what, at)
+        else:
+            match = what.search(self.page, at)
+            found = match.start() if match else -1
+        found = len(self.page) if found < 0 else found
+        self.known[what] = at, found
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place behind the > that ends a tag whose name ends at at, quoted ones aside; -1 if there is none."""
+        way, size = [], len(self.page)
+        while at not in self.failed:
+            way.append(at)
+            special = self.next(SPECIAL, at)
+            if special == size:
+                break
+            if self.page[special] == ">":
+                return special + 1
+            closing = self.next(self.page[special], special + 1)
+            if closing == size:
+                break
+            at = closing + 1
+        self.failed.update(way)
+        return -1
+
+
+class OpenElements:
+    """The stack of open elements, with the places of each tag in it."""
+
+    def __init__(self, root: Element):
+        self.stack, self.places, self.blocks = [root], {}, []
+
+    def push(self, element: Element) -> None:
+        places = self.places.get(element.tag)
+        if places is None:
+            places = self.places[element.tag] = []
+        places.append(len(self.stack))
+        if element.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags; 0 if there is none."""
+        place = 0
+        for tag in tags:
+            places = self.places.get(tag)
+            if places and places[-1] > place:
+                place = places[-1]
+        return place
+
+    def end(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.stack) > place:
+            element = self.stack.pop()
+            self.places[element.tag].pop()
+            if element.tag in BLOCK:
+                self.blocks.pop()
+
+    def close(self, names, stop) -> None:
+        """Close the innermost element of the names, unless one of stop is open inside it."""
+        place = self.last(names)
+        if place and place >= self.last(stop):
+            self.end(place)
+
+
 def parse(page: str) -> Element:
-    """The element tree of a page."""
+    """The element tree of a page, in time that grows with its length, however it is malformed."""
     root = Element("#root")
-    open_: list[Element] = [root]
+    open_, ahead = OpenElements(root), Ahead(page)
     at, size = 0, len(page)
-
-    def close(names: frozenset, stop: frozenset) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in names:
-                del open_[k:]
-                return
-            if open_[k].tag in stop:
-                return
-
     while at < size:
-        token = TOKEN.match(page, at)
-        at = token.end()
-        tag = token[2]
-        if tag is None:
-            text = token[0]
-            if text[0] != "<" or text == "<":
-                open_[-1].children.append(html.unescape(text) if "&" in text else text)
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            text = page[at:end]
+            open_.stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            at = end
+            continue
+        token = TAG.match(page, at, at + SHORT)
+        if token:
+            ends, tag, attributes = token.groups()
+            tag, at = tag.lower(), token.end()
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
             continue
-        tag = tag.lower()
-        if token[1]:
-            if tag in ("p", "br") and not any(e.tag == tag for e in open_):
+        elif ahead.next(">", at) == size:  # no more tags: the rest up to a comment is text
+            end = page.find("<!--", at)
+            end = size if end < 0 else end
+            open_.stack[-1].children.append(html.unescape(page[at:end]))
+            at = end
+            continue
+        else:
+            after = page[at + 1]
+            ends = "/" if after == "/" else ""
+            first, behind = at + 1 + len(ends), -1
+            if page[first : first + 1].isascii() and page[first : first + 1].isalpha():
+                name_end = ahead.next(NAME_END, first)
+                behind = ahead.tag_end(name_end)
+            if behind < 0:
+                if after in "!?/":
+                    at = ahead.next(">", at) + 1
+                else:
+                    open_.stack[-1].children.append("<")
+                    at += 1
                 continue
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    del open_[k:]
-                    break
-                # An inline end tag doesn't end the block it stands in.
-                if tag not in BLOCK and open_[k].tag in BLOCK:
-                    break
+            tag, attributes, at = page[first:name_end].lower(), page[name_end : behind - 1], behind
+        if ends:
+            place = open_.last((tag,))
+            # An inline end tag doesn't end the block it stands in.
+            if place and (tag in BLOCK or not open_.blocks or place > open_.blocks[-1]):
+                open_.end(place)
             continue
         if tag in ENDS_P:
-            close(frozenset(["p"]), SCOPE)
+            open_.close(("p",), SCOPE)
         if tag in CLOSES:
-            close(*CLOSES[tag])
-        element = Element(tag, token[3])
-        open_[-1].children.append(element)
+            open_.close(*CLOSES[tag])
+        element = Element(tag, attributes)
+        open_.stack[-1].children.append(element)
         if tag in RAW:
             end = RAW[tag].search(page, at)
             at = end.end() if end else size
-        elif tag not in VOID and not token[3].endswith("/"):
-            open_.append(element)
-        elif tag not in VOID and tag in BLOCK:
-            open_.append(element)  # a slash means nothing on an HTML element
+        elif tag not in VOID and (tag in BLOCK or not attributes.endswith("/")):
+            open_.push(element)  # a slash means nothing on an HTML element
     return root
 
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -361,3 +362,16 @@ def test_nearest_takes_one_vector_of_a_repeated_id(spark):
     least = min(([0.5, 0.5], [0.9, 0.1]), key=lambda v: struct.pack("<2d", *v))
     out = {r["vec_id"]: r["score"] for r in ann.nearest(df, F.col("vec_id") == 0, 5).collect()}
     assert out == {1: least[0], 2: 0.0}
+
+
+@pytest.mark.parametrize("page", ["<a b " * 1_000_000, "<div>" * 1_000_000, "<p><button>" + "<div>" * 900_000, "<b>" * 700_000 + "</i>" * 700_000, "<div " + "a" * 5_000_000 + ">", "<a href='x' " * 400_000, "<!x " * 1_200_000])
+def test_malformed_pages_take_time_by_their_length(page):
+    began = time.process_time()
+    html_extract.main_text(html_extract.parse(page))
+    assert time.process_time() - began < 30  # the growth was with the square before: hours
+
+
+def test_tags_longer_than_the_short_way_sees():
+    long = "<p title=\"" + "a>b " * 500 + "\">one</p><p data-x='" + "y" * 2000 + "'>two <b " + "c " * 900 + ">three</b>"
+    assert html_extract.main_text(html_extract.parse(long)) == "one\ntwo three"
+    assert html_extract.main_text(html_extract.parse("<p>a < b <c' " + "d" * 900 + " <p>e")) == "a < b e"  # a tag up to the next >
