@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lagspark.sources.tables import write_text
+
 from .metrics import quantiles
 
 SETTING = r"/(\d+[_-]\d+)/"
+#: Methods that know the target: never the best.
+EXCLUDED = r"(^|/)oracle_"
 RECORD = "dataset string, setting string, method string, split string, metric string, value double, path string"
 
 
@@ -42,6 +46,17 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return table.unionByName(summary).unionByName(flat)
 
 
+def write_metrics(scores: DataFrame, root: str, run: str) -> None:
+    """Scores (dataset, setting, split, method, mse, mae, nmse) as a result tree that discover() reads: a metric list a dataset and setting.
+
+    A list is a row a split and method; the driver passes on one at a time.
+    """
+    cell = F.struct("split", F.col("method").alias("baseline"), "mse", "mae", "nmse")
+    lists = scores.groupBy("dataset", "setting").agg(F.to_json(F.array_sort(F.collect_list(cell))).alias("json"))
+    for row in lists.toLocalIterator():
+        write_text(scores.sparkSession, f"{root}/{row['dataset']}/{row['setting']}/{run}/baselines/baseline_metrics.json", row["json"])
+
+
 def filtered(records: DataFrame, metric: str = "mse", split: str = "eval", datasets=None, settings=None, per_dataset: dict | None = None, methods=None) -> DataFrame:
     """Records of a metric and split (any case); a dataset's own settings replace the global ones."""
     rows = records.where((F.lower("metric") == metric.lower()) & (F.lower("split") == split.lower()))
@@ -75,6 +90,27 @@ def improvements(means: DataFrame, reference: str, higher_is_better: bool = Fals
     return joined.select("level", "dataset", "setting", "method", "value", "ref", F.when(F.abs("ref") > 0, change / F.abs("ref") * 100).alias("improvement_pct"))
 
 
+def table(means: DataFrame, methods: list[str], reference: str, higher_is_better: bool = False) -> DataFrame:
+    """(level, dataset, setting, each method, each method + '_pct'): cells, and their averages by dataset, by setting and overall.
+
+    One aggregation over grouping sets, pivoted; improvements over the reference come from the
+    columns beside them. A method or reference without a value leaves nulls.
+    """
+    d, s, m = F.col("dataset"), F.col("setting"), F.col("method")
+    levels = means.groupingSets([[d, s, m], [d, m], [s, m], [m]], d, s, m).agg(F.avg("value").alias("value"), F.grouping_id().alias("g"))
+    level = F.when(F.col("g") == 0, "cell").when(F.col("g") == 2, "dataset").when(F.col("g") == 4, "setting").otherwise("overall")
+    wide = levels.withColumn("level", level).groupBy("level", "dataset", "setting").pivot("method", list(dict.fromkeys([*methods, reference]))).agg(F.first("value"))
+    ref = F.col(f"`{reference}`")
+    change = lambda v: (ref - v) * (-1.0 if higher_is_better else 1.0)
+    pct = [F.when(F.abs(ref) > 0, change(F.col(f"`{n}`")) / F.abs(ref) * 100).alias(f"{n}_pct") for n in methods]
+    return wide.select("level", "dataset", "setting", *[F.col(f"`{n}`") for n in methods], *pct)
+
+
+def column_order(methods: list[str], reference: str, exclude: str = EXCLUDED) -> list[str]:
+    """Column heads: the reference, then by name in any case, and those that take no part in the marking of the best last."""
+    return sorted(methods, key=lambda m: (m != reference, bool(re.search(exclude, m)), m.casefold(), m))
+
+
 def positive_only(means: DataFrame, reference: str, higher_is_better: bool = False) -> DataFrame:
     """The reference and the methods that improve on it overall."""
     good = improvements(means, reference, higher_is_better).where("level = 'overall' AND improvement_pct > 0").select("method")
@@ -86,7 +122,7 @@ def pivoted(means: DataFrame, methods: list[str]) -> DataFrame:
     return means.groupBy("dataset", "setting").pivot("method", methods).agg(F.avg("value"))
 
 
-def best_flags(means: DataFrame, higher_is_better: bool = False, exclude: str = r"(^|/)oracle_") -> DataFrame:
+def best_flags(means: DataFrame, higher_is_better: bool = False, exclude: str = EXCLUDED) -> DataFrame:
     """means with best: the row's best value among the methods that are not excluded."""
     row = Window.partitionBy("dataset", "setting")
     inside = F.when(~F.col("method").rlike(exclude), F.col("value"))
@@ -120,15 +156,30 @@ def latex_escape(text: str) -> str:
     return re.sub(r"([&%$#_{}])", r"\\\1", text)
 
 
-def render(means: DataFrame, methods: list[str], reference: str, decimals: int = 2, caption: str = "", label: str = "", higher_is_better: bool = False) -> str:
-    """The main table as LaTeX; the driver holds its cells only."""
+def _tabular(heads: list[str], lines: list[list[str]], rules: set[int], caption: str, label: str, left: int = 2) -> str:
+    """LaTeX of a table whose first columns are names; rules are numbers of lines that a rule goes before."""
+    out = [r"\begin{table}", r"\centering", rf"\begin{{tabular}}{{{'l' * left}{'r' * (len(heads) - left)}}}", r"\toprule", " & ".join(heads) + r" \\", r"\midrule"]
+    for i, cells in enumerate(lines):
+        out += [r"\midrule"] * (i in rules) + [" & ".join(cells) + r" \\"]
+    return "\n".join([*out, r"\bottomrule", r"\end{tabular}", rf"\caption{{{caption}}}", rf"\label{{{label}}}", r"\end{table}"])
+
+
+def _percent(x: float | None) -> str:
+    return "--" if x is None or x != x else rf"{x:.2f}\%"
+
+
+def render(
+    means: DataFrame, methods: list[str], reference: str, decimals: int = 2, caption: str = "", label: str = "", higher_is_better: bool = False, scales: dict[str, int] | None = None, levels: tuple[str, ...] = ("overall",)
+) -> str:
+    """The main table as LaTeX: cells, then improvement rows of the wanted levels; the driver holds its cells only.
+
+    scales gives a row's power of ten by dataset/setting or by dataset, in place of the median's.
+    """
     flags = {(r["dataset"], r["setting"], r["method"]): r for r in best_flags(means, higher_is_better).collect()}
-    scale = {(r["dataset"], r["setting"]): r["exponent"] for r in scale_exponents(means, reference).collect()}
-    rows = sorted({(d, s) for d, s, _ in flags}, key=lambda x: (x[0].casefold(), setting_key(x[1])))
-    head = " & ".join(["Dataset", "Setting", *(latex_escape(m) for m in methods)])
-    out = [r"\begin{table}", r"\centering", rf"\begin{{tabular}}{{ll{'r' * len(methods)}}}", r"\toprule", head + r" \\", r"\midrule"]
-    for d, s in rows:
-        e = scale.get((d, s)) or 0
+    scale, own = {(r["dataset"], r["setting"]): r["exponent"] for r in scale_exponents(means, reference).collect()}, scales or {}
+    lines = []
+    for d, s in sorted({(d, s) for d, s, _ in flags}, key=lambda x: (x[0].casefold(), x[0], setting_key(x[1]))):
+        e = own.get(f"{d}/{s}", own.get(d, scale.get((d, s)) or 0))
         cells = []
         for m in methods:
             r = flags.get((d, s, m))
@@ -138,9 +189,26 @@ def render(means: DataFrame, methods: list[str], reference: str, decimals: int =
             text = f"{r['value'] / 10.0**e:.{decimals}f}"
             cells.append(rf"\textbf{{{text}}}" if r["best"] else text)
         unit = rf" ($10^{{{e}}}$)" if e else ""
-        out.append(" & ".join([latex_escape(d), latex_escape(s) + unit, *cells]) + r" \\")
-    out.append(r"\midrule")
-    for r in sorted(improvements(means, reference, higher_is_better).where("level = 'overall'").collect(), key=lambda r: r["method"]):
-        if r["method"] in methods and r["improvement_pct"] is not None:
-            out.append(rf"Overall & {latex_escape(r['method'])} & \multicolumn{{{len(methods)}}}{{l}}{{{r['improvement_pct']:.2f}\%}} \\")
-    return "\n".join([*out, r"\bottomrule", r"\end{tabular}", rf"\caption{{{caption}}}", rf"\label{{{label}}}", r"\end{table}"])
+        lines.append([latex_escape(d), latex_escape(s) + unit, *cells])
+    changes = [r for r in table(means, methods, reference, higher_is_better).collect() if r["level"] in levels]
+    for r in sorted(changes, key=lambda r: (levels.index(r["level"]), (r["dataset"] or "").casefold(), setting_key(r["setting"] or ""))):
+        lines.append([r["level"].capitalize(), latex_escape(r["dataset"] or r["setting"] or ""), *[_percent(r[f"{m}_pct"]) for m in methods]])
+    heads = ["Dataset", "Setting", *(latex_escape(m) for m in methods)]
+    return _tabular(heads, lines, {len(lines) - len(changes)}, caption, label)
+
+
+def render_sweep(matrix: DataFrame, variants: list[str], runs: list[str], decimals: int = 3, caption: str = "", label: str = "", higher_is_better: bool = False) -> str:
+    """The matrix of a sweep as LaTeX: a variant a line, value and improvement of each run, the best of a run bold."""
+    cells = {(r["variant"], r["run"]): (r["value"], r["improvement_pct"]) for r in matrix.collect()}  # variants x runs
+    edge = max if higher_is_better else min
+    best = {run: edge((v for (_, r), (v, _) in cells.items() if r == run and v is not None), default=None) for run in runs}
+
+    def text(variant: str, run: str) -> str:
+        value, change = cells.get((variant, run), (None, None))
+        if value is None:
+            return "--"
+        shown = rf"\textbf{{{value:.{decimals}f}}}" if value == best[run] else f"{value:.{decimals}f}"
+        return f"{shown} ({_percent(change)})"
+
+    lines = [[latex_escape(v), *[text(v, r) for r in runs]] for v in variants]
+    return _tabular(["Variant", *(latex_escape(r) for r in runs)], lines, set(), caption, label, left=1)

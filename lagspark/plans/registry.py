@@ -672,15 +672,27 @@ def ridge_pair(spark, sf_dir):
 # Report and mixture.
 
 
+#: Steps of the settings that the reports compare, by name.
+SETTINGS = {"48_6": 6, "48_12": 12}
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    """Result records read back from a tree of metric files: a dataset a series, a setting a number of steps."""
+    root = f"{T.application_folder(spark)}/results-{T.fingerprint(read(spark, sf_dir, 'events'))}"
+    if not T.exists(spark, f"{root}/done"):
+        names = series(spark, sf_dir).select(F.col("series_id").alias("qu"), F.col("series_name").alias("dataset")).distinct()
+        scored = adapters.run(payload_of(spark, sf_dir), K, L2).where(F.col("method").isin(list(SIMPLE)))
+        cut = F.array(*[F.struct(F.lit(n).alias("setting"), *[F.slice(c, 1, h).alias(c) for c in ("y", "yhat")]) for n, h in SETTINGS.items()])
+        scored = scored.select("split", "method", "qu", "sd", F.explode(cut).alias("c")).select("split", "method", "qu", "sd", "c.*").join(names, "qu")
+        state = metrics.evaluation_state(scored, ("dataset", "setting", "split", "method"))
+        report.write_metrics(state.select("dataset", "setting", "split", "method", *[(F.col(f"{c}_sum") / F.col("n")).alias(c) for c in ("mse", "mae", "nmse")]), root, "adapters")
+        T.write_text(spark, f"{root}/done", "")
+    return report.discover(spark, root)
+
+
 def _means(spark, sf_dir) -> DataFrame:
-    """Result records of three made-up runs, from the method scores."""
-    s = metrics.method_scores(adapters.run(payload_of(spark, sf_dir), K, L2).where(F.col("method").isin(list(SIMPLE))))
-    s = s.select("split", "method", "nmse")
-    one = s.select("*", F.lit("events").alias("dataset"), F.lit("48_12").alias("setting"))
-    two = s.select("split", "method", (F.col("nmse") * F.when(F.col("method") == "vanilla", 9.0).otherwise(8.1)).alias("nmse"), F.lit("events").alias("dataset"), F.lit("96_24").alias("setting"))
-    three = s.select("split", "method", (F.col("nmse") * 0.5).alias("nmse"), F.lit("shifted").alias("dataset"), F.lit("48_12").alias("setting"))
-    records = one.unionByName(two).unionByName(three).withColumn("metric", F.lit("nmse")).withColumnRenamed("nmse", "value")
-    return report.averaged(report.filtered(records, "NMSE", "EVAL"))
+    means = report.averaged(report.filtered(_records(spark, sf_dir), "NMSE", "EVAL", methods=SIMPLE))
+    return means.withColumn("method", F.substring_index("method", "/", -1))
 
 
 @query
@@ -689,6 +701,26 @@ def results_pivot(spark, sf_dir):
     return report.pivoted(_means(spark, sf_dir), names).select("dataset", "setting", *r6(*names))
 
 
+@query
+def results_table(spark, sf_dir):
+    """Cells and their averages by series, by setting and overall, with improvements beside them."""
+    names = ["horizon_knn_mean", "context_forecast", "horizon_mix_scalar"]
+    out = report.table(_means(spark, sf_dir), names, "vanilla")
+    return out.select("level", "dataset", "setting", *r6(*names), *[F.round(f"{n}_pct", 5).alias(f"{n}_pct") for n in names])
+
+
+@query
+def csv_series(spark, sf_dir):
+    """Hourly sums of the events written as a wide CSV with a sidecar, and loaded from it: two series dropped or renamed by its options."""
+    events, long = read(spark, sf_dir, "events"), series(spark, sf_dir)
+    root = f"{T.application_folder(spark)}/csv-{T.fingerprint(events)}"
+    if not T.exists(spark, f"{root}/config.json"):
+        names = [r[0] for r in long.select("series_name").distinct().orderBy("series_name").collect()]  # one row a series
+        S.write_csv(long.groupBy("ts").pivot("series_name", names).agg(F.first("value")), f"{root}/events.csv")
+        T.write_text(spark, f"{root}/config.json", '{"date_col": "ts", "drop_users": [1], "aggr": "sum", "aggr_period": "d", "wide": {"rename_users": true}}')
+    return S.load_csv(spark, root, scope="wide").select("t", "ts", "series_id", "series_name", *r6("value"))
+
+
 @query
 def improvement_of_averages(spark, sf_dir):
     out = report.improvements(_means(spark, sf_dir), "vanilla")
@@ -713,7 +745,7 @@ def scale_exponents(spark, sf_dir):
 @query
 def sweep_matrix(spark, sf_dir):
     means = _means(spark, sf_dir).withColumn("method", F.concat_ws("/", "setting", "method"))
-    out = report.sweep_matrix(means, ["vanilla", "horizon_knn_mean", "missing"], ["48_12", "96_24"], 2.0)
+    out = report.sweep_matrix(means, ["vanilla", "horizon_knn_mean", "missing"], list(SETTINGS), 2.0)
     return out.select("variant", "run", *r6("value"), F.round("improvement_pct", 5).alias("improvement_pct"))
 
 

@@ -101,9 +101,8 @@ curve AS (
          sum(neg) OVER d / (SELECT sum(neg) FROM peers)::DOUBLE AS fpr FROM peers WINDOW d AS (ORDER BY score DESC)
 ),
 records AS (
-  SELECT s.split, s.method, s.nmse, 'events' AS dataset, '48_12' AS setting FROM scores s
-  UNION ALL SELECT split, method, nmse * CASE WHEN method = 'vanilla' THEN 9 ELSE 8.1 END, 'events', '96_24' FROM scores
-  UNION ALL SELECT split, method, nmse * 0.5, 'shifted', '48_12' FROM scores
+  SELECT m.split, z.m AS method, n.series_name AS dataset, '48_' || g.g AS setting, avg(((z.v - y) / scale) ** 2) AS nmse
+  FROM methods m JOIN names n ON n.series_id = m.qu, (VALUES (6), (12)) g(g) WHERE m.h <= g.g GROUP BY ALL
 ),
 means AS (SELECT dataset, setting, method, avg(nmse) AS value FROM records WHERE lower(split) = 'eval' GROUP BY ALL),
 levels AS (
@@ -357,6 +356,18 @@ SELECT least(floor((x - lo) / (hi - lo) * 60), 59)::BIGINT AS bin, count(*)::BIG
     "results_pivot": twin("""
 SELECT dataset, setting, round(avg(value) FILTER (method = 'vanilla'), 6) AS vanilla, round(avg(value) FILTER (method = 'horizon_knn_mean'), 6) AS horizon_knn_mean,
   round(avg(value) FILTER (method = 'context_forecast'), 6) AS context_forecast FROM means GROUP BY dataset, setting"""),
+    "results_table": twin("""
+, g AS (
+  SELECT CASE grouping(dataset, setting) WHEN 0 THEN 'cell' WHEN 1 THEN 'dataset' WHEN 2 THEN 'setting' ELSE 'overall' END AS level, dataset, setting,
+    avg(value) FILTER (method = 'vanilla') AS v, avg(value) FILTER (method = 'horizon_knn_mean') AS a, avg(value) FILTER (method = 'context_forecast') AS b, avg(value) FILTER (method = 'horizon_mix_scalar') AS c
+  FROM means GROUP BY GROUPING SETS ((dataset, setting), (dataset), (setting), ())
+)
+SELECT level, dataset, setting, round(a, 6) AS horizon_knn_mean, round(b, 6) AS context_forecast, round(c, 6) AS horizon_mix_scalar, round((v - a) / abs(v) * 100, 5) AS horizon_knn_mean_pct,
+  round((v - b) / abs(v) * 100, 5) AS context_forecast_pct, round((v - c) / abs(v) * 100, 5) AS horizon_mix_scalar_pct FROM g"""),
+    "csv_series": twin("""
+, d AS (SELECT series_id, date_trunc('day', ts)::TIMESTAMP AS ts, sum(value) AS value FROM series WHERE series_id <> 1 GROUP BY ALL),
+k AS (SELECT *, (dense_rank() OVER (ORDER BY ts) - 1)::BIGINT AS t, (dense_rank() OVER (ORDER BY series_id) - 1)::BIGINT AS s FROM d)
+SELECT t, ts, s AS series_id, 'user_' || s AS series_name, round(value, 6) AS value FROM k"""),
     "improvement_of_averages": twin("""
 SELECT l.level, l.dataset, l.setting, l.method, round(l.value, 6) AS value, round((r.value - l.value) / abs(r.value) * 100, 5) AS improvement_pct
 FROM levels l JOIN levels r ON r.method = 'vanilla' AND r.level = l.level AND r.dataset IS NOT DISTINCT FROM l.dataset AND r.setting IS NOT DISTINCT FROM l.setting"""),
@@ -366,7 +377,7 @@ SELECT dataset, setting, method, round(value, 6) AS value FROM means WHERE metho
     "best_flag": twin("SELECT dataset, setting, method, value = min(value) OVER (PARTITION BY dataset, setting) AS best FROM means"),
     "scale_exponents": twin("SELECT dataset, setting, floor(log10(abs(value)))::BIGINT AS exponent FROM means WHERE method = 'vanilla'"),
     "sweep_matrix": twin("""
-, c AS (SELECT v.v AS variant, r.r AS run FROM (VALUES ('vanilla'), ('horizon_knn_mean'), ('missing')) v(v), (VALUES ('48_12'), ('96_24')) r(r)),
+, c AS (SELECT v.v AS variant, r.r AS run FROM (VALUES ('vanilla'), ('horizon_knn_mean'), ('missing')) v(v), (VALUES ('48_6'), ('48_12')) r(r)),
 m AS (SELECT method, setting, avg(value) AS value FROM means GROUP BY ALL)
 SELECT c.variant, c.run, round(m.value, 6) AS value, round((2 - m.value) / 2 * 100, 5) AS improvement_pct FROM c LEFT JOIN m ON m.method = c.variant AND m.setting = c.run"""),
     "adapter_identity_init": twin("""

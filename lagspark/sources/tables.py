@@ -49,6 +49,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(where))
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none if there is no such folder."""
+    where, fs = _path(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, from any store that Spark reads."""
+    return "\n".join(r[0] for r in spark.read.option("wholetext", "true").text(path).collect())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, in any store that Spark writes to; its folders are made."""
+    where, fs = _path(spark, path)
+    fs.mkdirs(where.getParent())
+    stream = fs.create(where, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def fingerprint(df: DataFrame) -> str:
     """A digest of the names, sizes and times of the files that df reads: changes when they do."""
     spark, marks = df.sparkSession, []
