@@ -170,29 +170,25 @@ def earliest_deadlines(weights: list[int], blocks: list[int]) -> tuple[np.ndarra
     """The source and the slot of every block, in order of the slots.
 
     Block j of weight w is released at floor(j W / w) and due by ceil((j + 1) W / w), W the sum.
-    A source without blocks left keeps its slots, empty; the last source left fills its own.
+    A source without blocks left takes no more slots; those at which no block is released stay
+    empty and are passed over at once, so there are as many steps as blocks.
     """
-    total, left = sum(weights), sum(b > 0 for b in blocks)
-    waiting, ready = [(0, i) for i in range(len(weights))], []
+    total, ready = sum(weights), []
+    waiting = [(0, i) for i, b in enumerate(blocks) if b]
     had, picks, slots, slot = [0] * len(weights), [], [], 0
-    while left > 1:
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             i = heapq.heappop(waiting)[1]
             heapq.heappush(ready, (-(-(had[i] + 1) * total // weights[i]), i))
         i = heapq.heappop(ready)[1]
-        if had[i] < blocks[i]:
-            picks.append(i)
-            slots.append(slot)
-            left -= had[i] + 1 == blocks[i]
+        picks.append(i)
+        slots.append(slot)
         had[i] += 1
-        heapq.heappush(waiting, (had[i] * total // weights[i], i))
         slot += 1
-    for i, n in enumerate(blocks):
-        for j in range(had[i], n):
-            slot = max(slot, j * total // weights[i])
-            picks.append(i)
-            slots.append(slot)
-            slot += 1
+        if had[i] < blocks[i]:
+            heapq.heappush(waiting, (had[i] * total // weights[i], i))
     return np.array(picks, np.int64), np.array(slots, np.int64)
 
 

@@ -375,3 +375,18 @@ def test_tags_longer_than_the_short_way_sees():
     long = "<p title=\"" + "a>b " * 500 + "\">one</p><p data-x='" + "y" * 2000 + "'>two <b " + "c " * 900 + ">three</b>"
     assert html_extract.main_text(html_extract.parse(long)) == "one\ntwo three"
     assert html_extract.main_text(html_extract.parse("<p>a < b <c' " + "d" * 900 + " <p>e")) == "a < b e"  # a tag up to the next >
+
+
+@pytest.mark.parametrize("weights", [[10**6, 1, 1], [5, 3, 1], [1, 1, 1], [7]])
+def test_blocks_stay_in_their_windows_whatever_the_weights(weights):
+    """Steps are as many as blocks, however unequal weights are; each block is between its release and its deadline."""
+    rng, began = random.Random(len(weights)), time.process_time()
+    for _ in range(20):
+        blocks, total = [rng.randint(0, 40) for _ in weights], sum(weights)
+        picks, slots = mixing.earliest_deadlines(weights, blocks)
+        assert (np.diff(slots) > 0).all() and np.bincount(picks, minlength=len(weights)).tolist() == blocks if sum(blocks) else not len(picks)
+        had = [0] * len(weights)
+        for i, slot in zip(picks.tolist(), slots.tolist()):
+            assert had[i] * total // weights[i] <= slot < -(-(had[i] + 1) * total // weights[i])
+            had[i] += 1
+    assert time.process_time() - began < 1
