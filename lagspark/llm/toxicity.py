@@ -20,7 +20,11 @@ toxic text are high and well supported, with the log-odds as weight. Small fixed
 the other symbols; their insults and threats keep a fixed weight as a prior, and count more
 where the labels say so. The arcs' weights are learned too: how much likelier or less likely
 texts with a match over the arc are toxic than those with a match beside it, drawn to the
-fixed weight by PRIOR texts. A logistic curve over the clause scores is then fitted. Arcs and
+fixed weight by PRIOR texts. What weakens (negation, report) is never learned above its fixed
+weight and what strengthens never below 1, so chance meetings of words cannot turn a negation
+round. A logistic curve over the clause scores is then fitted: their
+sum, the best one, and their sum by the words of the text and SPAN further ones, on
+log scales, so one weak match does not decide a text however short. Arcs and
 curve are fitted on labelled rows that the lexicon has not seen. At most about PER_CLASS
 labelled rows of each class are learned from, never held-out ones.
 
@@ -66,7 +70,7 @@ WORDS = {
     " crétin abruti connard ordure dummkopf trottel abschaum imbécil basura estúpido",
     THREAT: "kill hurt destroy beat burn murder tuer frapper détruire töten schlagen vernichten matar golpear destruir",
     TARGET: "you your yours they them tu toi vous ton votre du dich dein ihr euch tú ti usted ustedes vosotros",
-    NEGATION: "not no never nobody nothing ne pas jamais rien nicht kein keine nie niemals nunca jamás nada",
+    NEGATION: "not no never ne pas jamais nicht kein keine nie niemals nunca jamás",
     REPORT: "said says say told tells wrote quoted claims reported dit disait écrit raconte sagte sagt schrieb behauptet dijo dice escribió",
     ACTOR: "i we je nous ich wir yo nosotros",
 }
@@ -75,9 +79,11 @@ SYMBOL = {word: symbol for symbol, words in WORDS.items() for word in words.spli
 FIXED_WEIGHT = 2.0
 #: Weights of the arcs before anything is learned: negated, reported, an aimed insult, an aimed
 #: threat, one that an actor utters at a target, an insult behind another in its clause.
-ARCS = {"negated": 0.4, "reported": 0.6, "aimed": 1.3, "threatened": 2.0, "ordered": 1.5, "again": 1.0}
+ARCS = {"negated": 0.2, "reported": 0.2, "aimed": 1.3, "threatened": 2.0, "ordered": 1.5, "again": 1.0}
 #: Texts that an arc's fixed weight counts for beside the labelled ones, and the bounds of what is learned.
 PRIOR, LEAST, MOST = 20.0, 0.1, 4.0
+#: Words that a text's rate of matches is taken over beside its own.
+SPAN = 200
 #: Words that negation and an address reach.
 REACH = 4
 
@@ -212,10 +218,11 @@ class Grammar:
         return found, len(symbols)
 
     def features(self, text: str) -> tuple[float, float, float, int]:
-        """log(1 + sum of the clause scores), the best clause, matched clauses a hundred words, matched clauses."""
+        """log(1 + sum of the clause scores), the best clause, log(1 + that sum a hundred words), matched clauses."""
         found, size = self.clauses(text)
         scores = [self.clause(c) for c in found]
-        return math.log1p(sum(scores)), max(scores, default=0.0), 100 * len(found) / max(size, 1), len(found)
+        total = sum(scores)
+        return math.log1p(total), max(scores, default=0.0), math.log1p(100 * total / (size + SPAN)), len(found)
 
     def taken_by(self, text: str) -> tuple[set[str], set[str]]:
         """The arcs that some match of the text takes, and those that some match which could take them does not."""
@@ -237,7 +244,8 @@ def arc_weights(rows: list[tuple[int, str, int, int]]) -> dict[str, float]:
         beside = {y: sum(b for label, arc, _, b in rows if arc == name and label == y) for y in (0, 1)}
         share = (beside[1] + 0.5) / (sum(beside.values()) + 1)
         learned = (took[1] + PRIOR * fixed * share) / ((sum(took.values()) + PRIOR) * share)
-        out[name] = min(MOST, max(LEAST, learned))
+        least, most = (LEAST, fixed) if fixed < 1 else (1.0, MOST)
+        out[name] = min(most, max(least, learned))
     return out
 
 

@@ -210,6 +210,26 @@ def test_arc_weights_are_learned_and_change_predictions(spark):
     assert right[scorer] >= 390 and right[flat] <= 310
 
 
+def test_negated_and_reported_matches_stay_below_the_threshold(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfghklm") for _ in range(6)) for _ in range(300)]
+    data = []
+    for i in range(1600):
+        text = [rng.choice(words) for _ in range(rng.choice((10, 40, 160, 400)))]
+        if i % 4 == 0:
+            for _ in range(1 + len(text) // 60):
+                text.insert(rng.randrange(len(text)), rng.choice(["moron", "idiot", "stupid", "scum"]))
+        data.append((i, " ".join(text)))
+    docs = spark.createDataFrame(data, DOCS)
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1600)], "doc_id long, toxic int")
+    scorer = toxicity.learn(docs, marks, F.lit(True))
+    assert all(w >= 1 if toxicity.ARCS[n] >= 1 else w <= toxicity.ARCS[n] for n, w in scorer.grammar.arcs.items())
+    of = lambda t: scorer.score(t)[0]
+    assert of("you are an idiot") >= 0.3 and of("i will kill you") >= 0.3
+    for mild in ("you are not an idiot", "i will never kill you", "he said the man was stupid"):
+        assert of("the cat sat on the mat") < of(mild) < 0.3, mild
+
+
 def test_learners_on_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     scorer = toxicity.learn(empty, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
