@@ -165,6 +165,39 @@ def metric_view(predictions: DataFrame, method: str, reference: str, view: str =
     return a.join(b, keys).select(*keys, value.alias("value"))
 
 
+#: Errors of one step that the views show.
+ERRORS = ("difference", "mse", "nmse")
+
+
+def views(predictions: DataFrame, reference: str, by: str = "h") -> DataFrame:
+    """(split, method, step or window, metric, direct, improvement, relative) of every method.
+
+    Errors are averaged by step (by="h") or by window, NaN left out; improvement is the
+    reference's taken from it, relative is that by the reference's, null where this is next to 0.
+    All methods and metrics come from one aggregation, and the reference meets them by key.
+    """
+    keys = {"h": ["split", "h"], "window": ["split", "qt", "qu"]}.get(by)
+    if keys is None:
+        raise ValueError(f"views are by h or by window, not by {by}")
+    rows = predictions.select("split", "method", "qt", "qu", A.clamped("sd").alias("s"), F.posexplode(F.arrays_zip("yhat", "y")).alias("h", "z"))
+    miss = F.col("z.yhat") - F.col("z.y")
+    errors = dict(zip(ERRORS, (miss, F.pow(miss, F.lit(2.0)), F.pow(miss / F.col("s"), F.lit(2.0)))))
+    means = rows.groupBy(*keys, "method").agg(*[F.avg(F.when(~F.isnan(e), e)).alias(n) for n, e in errors.items()])
+    long = means.select(*keys, "method", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("direct")) for n in ERRORS])).alias("m"))
+    long = long.select(*keys, "method", "m.*")
+    ref = long.where(F.col("method") == reference).select(*keys, "metric", F.col("direct").alias("ref"))
+    gain = F.col("direct") - F.col("ref")
+    out = long.join(ref, [*keys, "metric"], "left")
+    return out.select(*keys, "method", "metric", "direct", gain.alias("improvement"), F.when(F.abs("ref") > 1e-12, gain / F.col("ref")).alias("relative"))
+
+
+def view_averages(predictions: DataFrame, reference: str) -> DataFrame:
+    """(split, method, metric, direct, improvement, relative, window_relative): the views' averages over the steps, and that of the windows' own relative changes."""
+    steps = views(predictions, reference).groupBy("split", "method", "metric").agg(*[F.avg(c).alias(c) for c in ("direct", "improvement", "relative")])
+    own = views(predictions, reference, "window").groupBy("split", "method", "metric").agg(F.avg("relative").alias("window_relative"))
+    return steps.join(own, ["split", "method", "metric"])
+
+
 def correlation(features: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation over the finite pairs; null for fewer than two points or no variance."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))

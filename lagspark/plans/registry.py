@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagspark.functions import arrays as A
-from lagspark.operators import adapters, attention, forecasts, gates, metrics, mixture, payloads, report, retrieval, windows
+from lagspark.operators import adapters, attention, forecasts, gates, metrics, mixture, payloads, report, retrieval, runs, windows
 from lagspark.sources import series as S
 from lagspark.sources import tables as T
 
@@ -584,6 +584,78 @@ def loss_histogram(spark, sf_dir):
     return metrics.histogram(gates.gate_features(payload_of(spark, sf_dir)), "target")
 
 
+@query
+def step_views(spark, sf_dir):
+    """Every method's errors by step: direct, against the plain forecast, and relative to it."""
+    rows = adapters.predict(payload_of(spark, sf_dir), None, K)
+    out = metrics.views(rows, "vanilla")
+    return out.select("split", "method", F.col("h").cast("long").alias("h"), "metric", F.round("direct", 5).alias("direct"), F.round("improvement", 5).alias("improvement"), *_relative())
+
+
+@query
+def window_views(spark, sf_dir):
+    """Every method's errors by window, as step_views shows them by step."""
+    rows = adapters.predict(payload_of(spark, sf_dir), None, K)
+    out = metrics.views(rows, "vanilla", "window")
+    return out.select("split", "method", "qt", "qu", "metric", F.round("direct", 5).alias("direct"), F.round("improvement", 5).alias("improvement"), *_relative())
+
+
+def _relative() -> list:
+    """Relative changes of squared errors; those of differences may be over next to nothing."""
+    return [F.round(F.when(F.col("metric") != "difference", F.col("relative")), 4).alias("relative")]
+
+
+@query
+def view_averages(spark, sf_dir):
+    out = metrics.view_averages(adapters.predict(payload_of(spark, sf_dir), None, K), "vanilla").where("metric <> 'difference'")
+    return out.select("split", "method", "metric", *[F.round(c, 4).alias(c) for c in ("direct", "improvement", "relative", "window_relative")])
+
+
+# Runs.
+
+
+def _run(spark, sf_dir) -> runs.Run:
+    """A run written from the prediction table and loaded again; its later source replaces a method and a gate of the earlier one."""
+    root, rows = f"{T.application_folder(spark)}/run-{T.fingerprint(read(spark, sf_dir, 'events'))}", payload_of(spark, sf_dir)
+    if not T.exists(spark, f"{root}/done"):
+        own = ("horizon_knn_mean", "residual_knn_weighted")
+        scored = adapters.predict(rows, None, K).where(F.col("method").isin(list(own)))
+        # The baselines hold a first try at a gate, the context forecast itself; of the gates it is another one, in the eval split only.
+        shown = rows.select("split", F.lit("bayes_context_scalar").alias("method"), "qt", "qu", F.col("pred_ctx").alias("yhat"))
+        f = gates.gate_features(rows)
+        score = lambda name, c: f.select("split", F.lit(name).alias("gate"), "qt", "qu", c.alias("score"))
+        runs.save(root, rows)
+        first = score("shift", F.col("target")).unionByName(score("target", F.col("target")))
+        runs.save(root, source="baselines", forecasts=scored.select(*shown.columns).unionByName(shown), gates=first)
+        runs.save(root, source="gates", forecasts=gates.bayes_gates(rows).where("split = 'eval'").select(*shown.columns), gates=score("shift", -F.col("context_shift_mean")).where("split <> 'train'"))
+        T.write_text(spark, f"{root}/done", "")
+    return runs.load(spark, root)
+
+
+@query
+def run_scores(spark, sf_dir):
+    """Scores of all forecasts of a run whose sources are merged at loading."""
+    return _gate_nmse(_run(spark, sf_dir).joined())
+
+
+@query
+def run_gates(spark, sf_dir):
+    """How often the gates of a run take the context forecast, and how often rightly."""
+    return runs.gate_shares(_run(spark, sf_dir)).select("split", "gate", "n", *r6("taken_pct", "right_pct"))
+
+
+@query
+def feature_file(spark, sf_dir):
+    """The feature table of all splits written as CSV and read back by its own columns."""
+    folder = f"{T.application_folder(spark)}/features-{T.fingerprint(read(spark, sf_dir, 'events'))}.csv"
+    table = metrics.feature_table(payload_of(spark, sf_dir))
+    if not T.exists(spark, f"{folder}/_SUCCESS"):
+        S.write_csv(table, folder)
+    out = spark.read.csv(folder, header=True, schema=table.schema)
+    names = ("forecast_disagreement", "query_mean", "query_std", "neighbour_mean_mean", "neighbour_mean_std", "neighbour_std_mean", "neighbour_std_std")
+    return out.select("split", "qt", "qu", "context_better", "neighbours", *r6("base_loss", "context_loss", "oracle_loss"), *r6(*names))
+
+
 # Prediction tables as inputs.
 
 

@@ -133,6 +133,16 @@ WIDE = """
 w AS (SELECT date_trunc('month', l_shipdate) AS ts, sum(l_quantity) FILTER (l_returnflag || l_linestatus = 'AF') AS af, sum(l_quantity) FILTER (l_returnflag || l_linestatus = 'NF') AS nf,
         sum(l_quantity) FILTER (l_returnflag || l_linestatus = 'NO') AS no, sum(l_quantity) FILTER (l_returnflag || l_linestatus = 'RF') AS rf FROM lineitem GROUP BY ALL)"""
 
+#: The views of five methods' errors by some keys.
+VIEWS = """
+, viewed AS (
+  SELECT {keys}, z.m AS method, avg(z.v - y) AS difference, avg((z.v - y) ** 2) AS mse, avg(((z.v - y) / scale) ** 2) AS nmse
+  FROM methods WHERE z.m NOT LIKE '%mix%' GROUP BY ALL
+),
+shown AS (
+  SELECT * EXCLUDE (r), max(r) OVER (PARTITION BY {keys}, metric) AS ref
+  FROM (SELECT *, CASE WHEN method = 'vanilla' THEN direct END AS r FROM (UNPIVOT viewed ON difference, mse, nmse INTO NAME metric VALUE direct))
+)"""
 #: Ridge fits of the six trainable adapters by recursive elimination: own is the fit's group besides the step, match that of a row it predicts.
 RIDGE = """
 , fr AS (
@@ -349,6 +359,36 @@ SELECT d.split, 'oracle_context_scalar' AS method, round(avg(CASE WHEN abs(l.mse
 FROM d JOIN losses l USING (split, qt, qu) GROUP BY d.split"""),
     "metric_views": twin("""
 SELECT split, h - 1 AS h, round((avg(((pred - y) / scale) ** 2) - avg(((ym - y) / scale) ** 2)) / avg(((pred - y) / scale) ** 2), 6) AS value FROM p GROUP BY split, h"""),
+    "step_views": twin(f"""{VIEWS.format(keys="split, h")}
+SELECT split, method, h - 1 AS h, metric, round(direct, 5) AS direct, round(direct - ref, 5) AS improvement, CASE WHEN metric <> 'difference' AND abs(ref) > 1e-12 THEN round((direct - ref) / ref, 4) END AS relative
+FROM shown"""),
+    "window_views": twin(f"""{VIEWS.format(keys="split, qt, qu")}
+SELECT split, method, qt, qu, metric, round(direct, 5) AS direct, round(direct - ref, 5) AS improvement, CASE WHEN metric <> 'difference' AND abs(ref) > 1e-12 THEN round((direct - ref) / ref, 4) END AS relative
+FROM shown"""),
+    "view_averages": twin(f"""{VIEWS.format(keys="split, h")}
+{VIEWS.format(keys="split, qt, qu").replace("shown AS", "shown_w AS").replace("viewed", "viewed_w")}
+, w AS (SELECT split, method, metric, avg(CASE WHEN abs(ref) > 1e-12 THEN (direct - ref) / ref END) AS window_relative FROM shown_w GROUP BY ALL)
+SELECT split, method, metric, round(avg(direct), 4) AS direct, round(avg(direct - ref), 4) AS improvement, round(avg(CASE WHEN abs(ref) > 1e-12 THEN (direct - ref) / ref END), 4) AS relative,
+  round(any_value(window_relative), 4) AS window_relative FROM shown JOIN w USING (split, method, metric) WHERE metric <> 'difference' GROUP BY split, method, metric"""),
+    "run_scores": twin("""
+, f AS (
+  SELECT split, z.m AS method, z.v AS v, y, scale FROM methods WHERE z.m IN ('vanilla', 'context_forecast', 'horizon_knn_mean', 'residual_knn_weighted')
+  UNION ALL SELECT split, 'bayes_context_scalar', CASE WHEN split = 'eval' THEN bayes_scalar ELSE pred_ctx END, y, scale FROM gated
+  UNION ALL SELECT split, 'bayes_context_horizon', bayes_step, y, scale FROM gated WHERE split = 'eval'
+)
+SELECT split, method, round(avg(((v - y) / scale) ** 2), 6) AS nmse FROM f GROUP BY split, method"""),
+    "run_gates": twin("""
+, f AS (
+  SELECT *, 'target' AS gate, target AS score FROM losses UNION ALL SELECT *, 'shift', CASE WHEN split = 'train' THEN target ELSE -shift_mean END FROM losses
+)
+SELECT split, gate, count(*)::BIGINT AS n, round(avg((score > 0)::INT::DOUBLE) * 100, 6) AS taken_pct,
+  round(avg(CASE WHEN abs(mse_ctx - mse) > 1e-12 THEN ((mse_ctx < mse) = (score > 0))::INT::DOUBLE END) * 100, 6) AS right_pct FROM f GROUP BY split, gate"""),
+    "feature_file": twin("""
+, d AS (SELECT split, qt, qu, avg((pred_ctx - pred) ** 2) AS dis, any_value(mu) AS mu FROM p GROUP BY split, qt, qu)
+SELECT l.split, l.qt, l.qu, l.mse_ctx < l.mse AS context_better, n.k::BIGINT AS neighbours, round(l.mse, 6) AS base_loss, round(l.mse_ctx, 6) AS context_loss, round(least(l.mse, l.mse_ctx), 6) AS oracle_loss,
+  round(d.dis, 6) AS forecast_disagreement, round(d.mu, 6) AS query_mean, round(l.sd, 6) AS query_std, round(n.mu_mean, 6) AS neighbour_mean_mean, round(n.mu_std, 6) AS neighbour_mean_std,
+  round(n.sd_mean, 6) AS neighbour_std_mean, round(n.sd_std, 6) AS neighbour_std_std
+FROM losses l JOIN nstats n USING (split, qt, qu) JOIN d USING (split, qt, qu)"""),
     "feature_correlation": twin("SELECT count(*)::BIGINT AS n, round(corr(d_mean, (l.mse - l.mse_ctx) / greatest(l.mse, 1e-8) * 100), 6) AS r FROM losses l JOIN nstats USING (split, qt, qu)"),
     "loss_histogram": twin("""
 , v AS (SELECT sign(target) * ln(1 + abs(target)) AS x FROM losses), s AS (SELECT min(x) AS lo, max(x) AS hi FROM v)
