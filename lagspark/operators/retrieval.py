@@ -47,6 +47,14 @@ class StorePolicy:
             raise ValueError("strides and periods are positive")
         if self.align and self.stride % self.period:
             raise ValueError("the stride is no multiple of the period")
+        if self.lags < 0 or self.horizon < 0 or self.n_series <= 0:
+            raise ValueError("lags and horizon are not negative, and there is a series at least")
+        if any(cap is not None and cap <= 0 for cap in (self.max_dates, self.max_windows)):
+            raise ValueError("caps on dates and windows are positive")
+        if self.min_dates is not None and self.min_dates < 0:
+            raise ValueError("min_dates is not negative")
+        if self.history_end is not None and self.history_start >= self.history_end:
+            raise ValueError("a history starts before it ends")
         if self.min_dates is not None and self.max_dates is not None and self.min_dates > self.max_dates:
             raise ValueError("min_dates is over max_dates")
         if not self.online and self.store_start >= self.store_end:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagspark.functions import arrays as A
-from lagspark.operators import adapters, attention, forecasts, gates, metrics, mixture, payloads, report, retrieval, runs, windows
+from lagspark.operators import adapters, attention, batches, forecasts, gates, metrics, mixture, payloads, report, retrieval, runs, windows
 from lagspark.sources import series as S
 from lagspark.sources import tables as T
 
@@ -597,7 +597,7 @@ def window_views(spark, sf_dir):
     """Every method's errors by window, as step_views shows them by step."""
     rows = adapters.predict(payload_of(spark, sf_dir), None, K)
     out = metrics.views(rows, "vanilla", "window")
-    return out.select("split", "method", "qt", "qu", "metric", F.round("direct", 5).alias("direct"), F.round("improvement", 5).alias("improvement"), *_relative())
+    return out.select("split", "method", "qt", "qu", "metric", *r6("direct", "improvement"), *_relative())
 
 
 def _relative() -> list:
@@ -611,6 +611,31 @@ def view_averages(spark, sf_dir):
     return out.select("split", "method", "metric", *[F.round(c, 4).alias(c) for c in ("direct", "improvement", "relative", "window_relative")])
 
 
+# Batches of a learner.
+
+
+@query
+def batch_neighbours(spark, sf_dir):
+    """Neighbours' horizons and residuals as a learner reads them, on the query's own scale."""
+    rows = batches.prepare(payload_of(spark, sf_dir)).select("split", "qt", "qu", F.explode("nbrs").alias("n")).select("split", "qt", "qu", "n.rank", "n.ys", "n.es")
+    return flat(rows, ["split", "qt", "qu", "rank"], ["ys", "es"], HORIZON)
+
+
+@query
+def batch_restored(spark, sf_dir):
+    """Forecasts halfway between the plain and the context one, made on the query's own scale and brought back."""
+    rows = batches.prepare(payload_of(spark, sf_dir)).withColumn("yhat", F.zip_with("pred", "pred_ctx", lambda a, b: (a + b) / 2))
+    return by_step(batches.restore(rows, ["yhat"]), "yhat")
+
+
+@query
+def batch_losses(spark, sf_dir):
+    """The context forecast's loss under each normalisation; they agree."""
+    rows = payload_of(spark, sf_dir)
+    each = [batches.prepare(rows, how).select("split", F.lit(how).alias("how"), batches.loss("pred_ctx").alias("l")) for how in batches.NORMALISATIONS]
+    return each[0].unionByName(each[1]).groupBy("split", "how").agg(F.round(F.avg("l"), 6).alias("loss"))
+
+
 # Runs.
 
 

@@ -363,13 +363,18 @@ SELECT split, h - 1 AS h, round((avg(((pred - y) / scale) ** 2) - avg(((ym - y)
 SELECT split, method, h - 1 AS h, metric, round(direct, 5) AS direct, round(direct - ref, 5) AS improvement, CASE WHEN metric <> 'difference' AND abs(ref) > 1e-12 THEN round((direct - ref) / ref, 4) END AS relative
 FROM shown"""),
     "window_views": twin(f"""{VIEWS.format(keys="split, qt, qu")}
-SELECT split, method, qt, qu, metric, round(direct, 5) AS direct, round(direct - ref, 5) AS improvement, CASE WHEN metric <> 'difference' AND abs(ref) > 1e-12 THEN round((direct - ref) / ref, 4) END AS relative
+SELECT split, method, qt, qu, metric, round(direct, 6) AS direct, round(direct - ref, 6) AS improvement, CASE WHEN metric <> 'difference' AND abs(ref) > 1e-12 THEN round((direct - ref) / ref, 4) END AS relative
 FROM shown"""),
     "view_averages": twin(f"""{VIEWS.format(keys="split, h")}
 {VIEWS.format(keys="split, qt, qu").replace("shown AS", "shown_w AS").replace("viewed", "viewed_w")}
 , w AS (SELECT split, method, metric, avg(CASE WHEN abs(ref) > 1e-12 THEN (direct - ref) / ref END) AS window_relative FROM shown_w GROUP BY ALL)
 SELECT split, method, metric, round(avg(direct), 4) AS direct, round(avg(direct - ref), 4) AS improvement, round(avg(CASE WHEN abs(ref) > 1e-12 THEN (direct - ref) / ref END), 4) AS relative,
   round(any_value(window_relative), 4) AS window_relative FROM shown JOIN w USING (split, method, metric) WHERE metric <> 'difference' GROUP BY split, method, metric"""),
+    "batch_neighbours": twin(flat("split, qt, qu, rank", ["ys", "es"], 12, """
+  SELECT split, qt, qu, rank, list_transform(ys, lambda e: (e - mu) / greatest(sd, 1e-8)) AS ys, list_transform(es, lambda e: e / greatest(sd, 1e-8)) AS es FROM scaled""")),
+    "batch_restored": twin("SELECT split, qt, qu, h - 1 AS h, round((pred + pred_ctx) / 2, 6) AS yhat FROM p"),
+    "batch_losses": twin("""
+SELECT split, unnest(['instance', 'none']) AS how, round(avg(((pred_ctx - y) / scale) ** 2), 6) AS loss FROM p GROUP BY split"""),
     "run_scores": twin("""
 , f AS (
   SELECT split, z.m AS method, z.v AS v, y, scale FROM methods WHERE z.m IN ('vanilla', 'context_forecast', 'horizon_knn_mean', 'residual_knn_weighted')

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from lagspark.operators import metrics, runs
+from lagspark.operators import batches, metrics, retrieval, runs
 from pyspark.sql import functions as F
 
 PAYLOAD = "split string, qt long, qu long, y array<double>, sd double, pred array<double>, pred_ctx array<double>"
@@ -87,3 +87,31 @@ def test_views_equal_plain_numbers(spark):
     assert all(r["improvement"] == 0 and r["relative"] == 0 for r in same)
     with pytest.raises(ValueError):
         metrics.views(rows, "ref", "month")
+
+
+def test_batches_come_back_and_lose_the_same(spark):
+    nbrs = [(1, 7.0, [3.0, 5.0], [1.0, -1.0])]
+    data = [("eval", 0, 0, [1.0, 3.0], [2.0, 6.0], 2.0, 0.5, [1.0, 1.0], [4.0, 2.0], nbrs), ("eval", 1, 0, [5.0, 5.0], [5.0, 6.0], 5.0, 0.0, [5.0, 5.0], [5.0, 7.0], [])]
+    kind = "x array<double>, y array<double>, mu double, sd double, pred array<double>, pred_ctx array<double>, nbrs array<struct<rank:long, sd:double, ys:array<double>, es:array<double>>>"
+    rows = spark.createDataFrame(data, f"split string, qt long, qu long, {kind}")
+    made = batches.prepare(rows).orderBy("qt").collect()
+    assert made[0]["x"] == [-2.0, 2.0] and made[0]["y"] == [0.0, 8.0] and made[0]["loss_scale"] == 1.0
+    assert tuple(made[0]["nbrs"][0]) == (1, 7.0, [2.0, 6.0], [2.0, -2.0]) and made[1]["nbrs"] == []
+    assert np.isclose(made[1]["y"][1], 1e8)  # a flat lookback: the deviation is clamped
+    back = batches.restore(batches.prepare(rows), ["x", "y", "pred", "pred_ctx"]).orderBy("qt").collect()
+    for r, want in zip(back, data):
+        assert all(np.allclose(r[c], want[i]) for c, i in (("x", 3), ("y", 4), ("pred", 7), ("pred_ctx", 8)))
+    losses = [[r["l"] for r in batches.prepare(rows, how).select("qt", batches.loss("pred").alias("l")).orderBy("qt").collect()] for how in batches.NORMALISATIONS]
+    assert np.allclose(*losses) and np.isclose(losses[0][0], ((1 / 0.5) ** 2 + (5 / 0.5) ** 2) / 2)
+    raw = batches.restore(batches.prepare(rows, "none"), ["pred"], "none")
+    assert raw.drop("loss_scale").exceptAll(rows).isEmpty()
+    for f in (lambda: batches.prepare(rows, "batch"), lambda: batches.restore(rows, ["pred"], "batch")):
+        with pytest.raises(ValueError):
+            f()
+
+
+@pytest.mark.parametrize("wrong", [{"max_dates": 0}, {"max_windows": -1}, {"min_dates": -1}, {"n_series": 0}, {"history_start": 9, "history_end": 9}, {"min_dates": 3, "max_dates": 2},
+                                   {"online": False, "store_start": 5, "store_end": 5}, {"stride": 0}, {"period": 5}])
+def test_store_policies_are_checked(wrong):
+    with pytest.raises(ValueError):
+        retrieval.StorePolicy(**{"lags": 4, "horizon": 2, "period": 4, "stride": 8} | wrong)
