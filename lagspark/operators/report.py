@@ -15,6 +15,8 @@ from .metrics import quantiles
 SETTING = r"/(\d+[_-]\d+)/"
 #: Methods that know the target: never the best.
 EXCLUDED = r"(^|/)oracle_"
+#: Relative differences of averages that are as small come from the order of summation.
+ROUNDING = 1e-12
 RECORD = "dataset string, setting string, method string, split string, metric string, value double, path string"
 
 
@@ -84,10 +86,10 @@ def improvements(means: DataFrame, reference: str, higher_is_better: bool = Fals
     )
     level = F.when(F.col("gd") == 0, "dataset").when(F.col("gs") == 0, "setting").otherwise("overall")
     rows = rows.withColumn("level", level).drop("gd", "gs")
-    ref = rows.where(F.col("method") == reference).select(F.col("level").alias("l"), F.col("dataset").alias("d"), F.col("setting").alias("s"), F.col("value").alias("ref"))
-    joined = rows.join(ref, (F.col("level") == F.col("l")) & F.col("dataset").eqNullSafe(F.col("d")) & F.col("setting").eqNullSafe(F.col("s")), "left")
+    # The reference's average is its own row's, not summed again in another order: its improvement is exactly 0.
+    ref = F.max(F.when(F.col("method") == reference, F.col("value"))).over(Window.partitionBy("level", "dataset", "setting"))
     change = (F.col("ref") - F.col("value")) * (-1.0 if higher_is_better else 1.0)
-    return joined.select("level", "dataset", "setting", "method", "value", "ref", F.when(F.abs("ref") > 0, change / F.abs("ref") * 100).alias("improvement_pct"))
+    return rows.withColumn("ref", ref).select("level", "dataset", "setting", "method", "value", "ref", F.when(F.abs("ref") > 0, change / F.abs("ref") * 100).alias("improvement_pct"))
 
 
 def table(means: DataFrame, methods: list[str], reference: str, higher_is_better: bool = False) -> DataFrame:
@@ -112,9 +114,10 @@ def column_order(methods: list[str], reference: str, exclude: str = EXCLUDED) ->
 
 
 def positive_only(means: DataFrame, reference: str, higher_is_better: bool = False) -> DataFrame:
-    """The reference and the methods that improve on it overall."""
-    good = improvements(means, reference, higher_is_better).where("level = 'overall' AND improvement_pct > 0").select("method")
-    return means.join(good, "method", "left_semi").unionByName(means.where(F.col("method") == reference).select("method", *[c for c in means.columns if c != "method"]))
+    """The reference and the methods that improve on it overall, by more than the rounding of sums: equal forecasts are no improvement in any order of summation."""
+    better = (F.col("improvement_pct") > ROUNDING * 100) | (F.col("method") == reference)
+    good = improvements(means, reference, higher_is_better).where((F.col("level") == "overall") & better).select("method")
+    return means.join(good, "method", "left_semi")
 
 
 def pivoted(means: DataFrame, methods: list[str]) -> DataFrame:
@@ -127,7 +130,7 @@ def best_flags(means: DataFrame, higher_is_better: bool = False, exclude: str =
     row = Window.partitionBy("dataset", "setting")
     inside = F.when(~F.col("method").rlike(exclude), F.col("value"))
     edge = (F.max if higher_is_better else F.min)(inside).over(row)
-    close = F.abs(F.col("value") - edge) <= F.greatest(F.lit(1e-12) * F.greatest(F.abs("value"), F.abs(edge)), F.lit(1e-15))
+    close = F.abs(F.col("value") - edge) <= F.greatest(F.lit(ROUNDING) * F.greatest(F.abs("value"), F.abs(edge)), F.lit(1e-15))
     return means.withColumn("best", F.coalesce(close & inside.isNotNull(), F.lit(False)))
 
 

@@ -1,6 +1,7 @@
 """Result trees written and read back, tables with levels, scales and sweeps, and CSV files from any store."""
 
 import json
+import os
 
 import pytest
 from lagspark import tables
@@ -25,6 +26,32 @@ def test_levels_beside_the_cells(means):
     assert all(r["gone"] is None and r["gone_pct"] is None for r in rows.values())
 
 
+def test_improvement_does_not_depend_on_the_order_of_sums(spark, tmp_path):
+    columns = "dataset string, setting string, method string, value double"
+    data = [(d, "2_1", m, v) for m, vs in (("ref", (0.1, 0.2, 0.3)), ("same", (0.3, 0.2, 0.1)), ("new", (0.1, 0.2, 0.2))) for d, v in zip("abc", vs)]
+    folder = str(tmp_path)
+
+    def turned(batches):  # in the other order each time, as fetches from several executors may come
+        rows, n = list(batches), 0
+        while True:
+            try:
+                os.close(os.open(f"{folder}/{n}", os.O_CREAT | os.O_EXCL))
+                break
+            except FileExistsError:
+                n += 1
+        for b in rows[:: 1 - n % 2 * 2]:
+            yield b.take(list(range(b.num_rows))[:: 1 - n % 2 * 2])
+
+    some = spark.createDataFrame(data, columns).coalesce(1).mapInArrow(turned, columns)
+    # 0.1 + 0.2 + 0.3 is more than 0.3 + 0.2 + 0.1: a reference summed twice would improve on itself and come twice.
+    for _ in range(2):
+        overall = {r["method"]: r["improvement_pct"] for r in report.improvements(some, "ref").where("level = 'overall'").collect()}
+        assert overall["ref"] == 0 and abs(overall["same"]) < 1e-9 and overall["new"] == pytest.approx(100 / 6)
+        for rows in (some, spark.createDataFrame(data, columns).coalesce(1)):
+            assert sorted(r["method"] for r in report.positive_only(rows, "ref").collect()) == ["new"] * 3 + ["ref"] * 3
+        some.count()
+
+
 def test_rendered_table(means):
     names = report.column_order(["oracle_x", "new", "Zed", "ref"], "ref")
     assert names == ["ref", "new", "Zed", "oracle_x"]
