@@ -6,7 +6,9 @@ every language, and EM estimates the proportions. The set of languages grows in
 of the proportions while the penalised likelihood (BIC) rises: a language is taken
 only if it explains the words better by more than its parameter costs. The prediction is
 the language with the largest proportion in the chosen set, the score that proportion.
-Each document stops by itself, so its result is the same in any batch.
+Each document stops by itself, so its result is the same in any batch. Words count by how
+often they stand in the document, so memory follows the different words of a few texts, not
+the length of the longest ones.
 
 Learning uses at most about PER_LANGUAGE labelled documents of each language (a hash of the
 row picks them), never held-out ones. Texts are used whole, however long. A text that is
@@ -21,10 +23,12 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +45,43 @@ SMOOTH = 0.05
 STILL = 1e-3
 #: Words that a task remembers the likelihoods of.
 MEMO = 150_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Rows worked on at once, and the bytes of their texts times the languages; a longer text is worked on alone.
+PART_ROWS, PART_BYTES = 256, 8 << 20
+#: Characters of a text whose words are listed at once, and new words whose likelihoods are worked out at once.
+STRETCH, NEW_WORDS = 1 << 20, 1 << 16
+WORD, BREAK = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters (Unicode category L); other numerals than digits end a run as digits do."""
-    found = WORD.findall(text.lower())
+    return _runs(text.lower())
+
+
+def _runs(lowered: str) -> list[str]:
+    found = WORD.findall(lowered)
     if "".join(found).isalpha():
         return found
     return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
+def word_lists(text: str) -> Iterator[list[str]]:
+    """words_of(text) in stretches of about STRETCH characters, cut where no word runs on."""
+    text, at = text.lower(), 0
+    while at < len(text):
+        found = BREAK.search(text, min(at + STRETCH, len(text)))
+        end = found.start() if found else len(text)
+        yield _runs(text[at:end])
+        at = end
+
+
+def tally(text: str) -> Counter[str]:
+    """How often each word stands in a text."""
+    out: Counter[str] = Counter()
+    for words in word_lists(text):
+        out.update(words)
+    return out
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of all words, one after the other, and where each word's begin."""
     chars = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
@@ -90,9 +120,9 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                words = words_of(as_text(text.as_py()))
-                if words:
-                    found += np.bincount(grams(words)[0], minlength=BUCKETS)
+                for words in word_lists(as_text(text.as_py())):
+                    if words:
+                        found += np.bincount(grams(words)[0], minlength=BUCKETS)
         for lang, found in total.items():
             at = np.nonzero(found)[0]
             yield pa.RecordBatch.from_arrays(
@@ -122,63 +152,85 @@ class Likelihoods:
             self.size = 0
 
     def learn(self, words: Iterable[str]) -> None:
-        """Rows for the words that have none yet, all at once."""
+        """Rows for the words that have none yet, NEW_WORDS at once."""
         rows = self.rows
-        fresh = [w for w in set(words) if w not in rows]
-        if not fresh:
-            return
-        codes, starts = grams(fresh)
-        log = np.add.reduceat(self.log[codes], starts, axis=0)
-        made = np.maximum(np.exp(log - log.max(axis=1, keepdims=True)), 1e-30)
-        while self.size + len(fresh) > len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[self.size : self.size + len(fresh)] = made
-        rows.update(zip(fresh, range(self.size, self.size + len(fresh))))
-        self.size += len(fresh)
-
-
-def em(like: np.ndarray, n_words: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after convergence from share, and the log likelihoods; documents that have converged leave the rounds."""
-    out, live, rows, size, now = share.copy(), np.arange(len(share)), like, n_words, share
+        new = [w for w in set(words) if w not in rows]
+        for first in range(0, len(new), NEW_WORDS):
+            fresh = new[first : first + NEW_WORDS]
+            codes, starts = grams(fresh)
+            log = np.add.reduceat(self.log[codes], starts, axis=0)
+            made = np.maximum(np.exp(log - log.max(axis=1, keepdims=True)), 1e-30)
+            while self.size + len(fresh) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.table[self.size : self.size + len(fresh)] = made
+            rows.update(zip(fresh, range(self.size, self.size + len(fresh))))
+            self.size += len(fresh)
+
+
+def em(like: np.ndarray, sizes: np.ndarray, share: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions after convergence from share, and the log likelihoods; documents that have converged leave the rounds.
+
+    like has a row a different word, sizes of them a document; times says how often each word stands there.
+    """
+    total = np.add.reduceat(times, _starts(sizes), dtype=np.float64)
+    out, live, rows, weight, size, now = share.copy(), np.arange(len(share)), like, times[:, None], sizes, share
     while len(live):
         part = rows * np.repeat(now, size, axis=0)
         part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-35)
-        new = np.add.reduceat(part, _starts(size), axis=0) / size[:, None]
+        part *= weight
+        new = np.add.reduceat(part, _starts(size), axis=0) / total[:, None]
         on = np.abs(new - now).max(axis=1) >= STILL
         out[live] = new
         if not on.all():
-            rows, live, size, new = rows[np.repeat(on, size)], live[on], size[on], new[on]
+            kept = np.repeat(on, size)
+            rows, weight, live, size, total, new = rows[kept], weight[kept], live[on], size[on], total[on], new[on]
         now = new
-    fit = np.log(np.maximum((like * np.repeat(out, n_words, axis=0)).sum(axis=1), 1e-35, dtype=np.float64))
-    return out, np.add.reduceat(fit, _starts(n_words))
+    fit = np.log(np.maximum((like * np.repeat(out, sizes, axis=0)).sum(axis=1), 1e-35, dtype=np.float64)) * times
+    return out, np.add.reduceat(fit, _starts(sizes))
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def mixtures(like: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Proportions of the chosen language set of each document; like has a row a word, starts the first word of each."""
-    n_words = np.diff(np.append(starts, len(like)))
-    n_langs = like.shape[1]
-    full, _ = em(like, n_words, np.full((len(starts), n_langs), 1 / n_langs, np.float32))
+def mixtures(like: np.ndarray, starts: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Proportions of the chosen language set of each document.
+
+    like has a row a word, starts the first word of each document, times how often each word stands there (once).
+    """
+    sizes = np.diff(np.append(starts, len(like)))
+    times = np.ones(len(like), np.float32) if times is None else times
+    n_words, n_langs = np.add.reduceat(times, starts, dtype=np.float64), like.shape[1]
+    full, _ = em(like, sizes, np.full((len(starts), n_langs), 1 / n_langs, np.float32), times)
     order = np.argsort(-full, axis=1, kind="stable")
     best, best_value = np.zeros_like(full), np.full(len(starts), -np.inf)
-    live, rows, sizes = np.arange(len(starts)), like, n_words
+    live, rows = np.arange(len(starts)), like
     for size in range(1, n_langs + 1):
         mask = np.zeros((len(live), n_langs), np.float32)
         np.put_along_axis(mask, order[live, :size], 1, axis=1)
         share = full[live] * mask + mask * np.float32(1e-6)
-        share, fit = em(rows, sizes, (share / share.sum(axis=1, keepdims=True)).astype(np.float32))
-        value = fit - (size - 1) * np.log(np.maximum(sizes, 2)) / 2
+        share, fit = em(rows, sizes, (share / share.sum(axis=1, keepdims=True)).astype(np.float32), times)
+        value = fit - (size - 1) * np.log(np.maximum(n_words[live], 2)) / 2
         better = value > best_value[live]
         best[live[better]], best_value[live[better]] = share[better], value[better]
         if not better.any():
             break
-        rows, live, sizes = rows[np.repeat(better, sizes)], live[better], sizes[better]
+        kept = np.repeat(better, sizes)
+        rows, times, live, sizes = rows[kept], times[kept], live[better], sizes[better]
     return best
 
 
+def parts(batch: pa.RecordBatch, place: int, languages: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most PART_ROWS rows, whose texts (column place) have at most PART_BYTES over the languages, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, before = 0, 0
+    while first < batch.num_rows:
+        full = int(np.searchsorted(ends, before + PART_BYTES // max(1, languages), "right"))
+        last = min(first + PART_ROWS, max(first + 1, full), batch.num_rows)
+        yield batch.slice(first, last - first)
+        first, before = last, int(ends[last - 1])
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, languages, proportions) of every row; the chosen set by falling proportion."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -189,8 +241,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         model = shared.value
         words = Likelihoods(model)
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                some = batch.slice(part, 256)
+            for some in parts(batch, 1, len(model.languages)):
                 words.fresh()
                 yield _batch(some, id_col, model, words)
 
@@ -200,13 +251,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def _batch(rows: pa.RecordBatch, id_col: str, model: Model, words: Likelihoods) -> pa.RecordBatch:
     n = rows.num_rows
     pred, score, sets, shares = [UND] * n, [0.0] * n, [[]] * n, [[]] * n
-    split = [words_of(as_text(text.as_py())) for text in rows.column(1)] if model.languages else []
+    split = [tally(as_text(text.as_py())) for text in rows.column(1)] if model.languages else []
     who = [i for i, found in enumerate(split) if found]
     words.learn(itertools.chain.from_iterable(split))
     if who:
         at = [np.fromiter(map(words.rows.__getitem__, split[i]), np.int64, len(split[i])) for i in who]
         starts = np.cumsum([0] + [len(a) for a in at[:-1]])
-        found = mixtures(words.table[np.concatenate(at)], starts)
+        times = np.concatenate([np.fromiter(split[i].values(), np.float32, len(split[i])) for i in who])
+        found = mixtures(words.table[np.concatenate(at)], starts, times)
         for i, share in zip(who, found.astype(float)):
             order = [int(k) for k in np.argsort(-share, kind="stable") if share[k] > 0]
             pred[i], score[i] = model.languages[order[0]], min(1.0, float(share[order[0]]))
@@ -235,8 +287,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
         model = shared.value
         words = Likelihoods(model)
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                some = batch.slice(part, 256)
+            for some in parts(batch, place, len(model.languages)):
                 words.fresh()
                 texts = some.column(place).cast(pa.binary())
                 made = _batch(pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["id", "text"]), "id", model, words)

@@ -6,8 +6,11 @@ import random
 import re
 import struct
 import time
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lagspark.llm import (
     ann, embedding_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec, substring_dedup, toxicity,
@@ -282,6 +285,39 @@ def test_mixtures_equal_plain_em_alone_and_together():
         assert np.allclose(plain_mixture(d.astype(float)), share, atol=5e-3)
 
 
+def test_language_memory_does_not_follow_the_length_of_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    counts = np.random.default_rng(1).integers(0, 50, (4, language_id.BUCKETS))
+    model = language_id.Model(["aa", "bb", "cc", "dd"], counts.astype(float))
+    long = " ".join(rng.choice(vocabulary) for _ in range(400_000))
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([long.encode()])], ["doc_id", "text"])
+    words = language_id.Likelihoods(model)
+    tracemalloc.start()
+    found = language_id._batch(rows, "doc_id", model, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(long)  # measured: 9.6 bytes a character; 24.3 with a row of likelihoods for every word
+    split = language_id.words_of(long)
+    plain = language_id.mixtures(words.table[[words.rows[w] for w in split]], np.array([0]))[0]
+    assert found.column("score")[0].as_py() == pytest.approx(float(plain.max()), abs=1e-4)
+
+    texts = ["", None, "ab1 cd" * 30, long[:4000], long[:4000], "x", "ΑΣ ΑΣ2ΣΑ İx " * 50]
+    monkeypatch.setattr(language_id, "STRETCH", 7)
+    monkeypatch.setattr(language_id, "NEW_WORDS", 3)
+    assert all([w for some in language_id.word_lists(t) for w in some] == language_id.words_of(t) for t in texts if t is not None)
+    assert all(language_id.tally(t) == Counter(language_id.words_of(t)) for t in texts if t is not None)
+    some = language_id.Likelihoods(model)
+    some.learn(vocabulary)
+    assert all(np.array_equal(some.table[some.rows[w]], words.table[words.rows[w]]) for w in set(split))
+    monkeypatch.setattr(language_id, "PART_BYTES", 4 * 5000)
+    monkeypatch.setattr(language_id, "PART_ROWS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    made = list(language_id.parts(batch.slice(1), 1, 4))
+    assert pa.Table.from_batches(made).to_pylist() == batch.slice(1).to_pylist() and [b.num_rows for b in made] == [3, 3]
+    assert [b.num_rows for b in language_id.parts(batch, 1, 400)] == [2, 1, 1, 1, 1, 1] and not list(language_id.parts(batch.slice(7), 1, 4))
+
+
 def test_more_than_three_languages_and_letters(spark):
     make = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst"}
     rng = random.Random(8)
